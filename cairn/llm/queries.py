@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, toxicity
-from cairn.llm.common import fold, table
+from cairn.llm import langid, mixing, orc_tokens, simhash, toxicity
+from cairn.llm.common import fold, shared_dir, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,15 +20,29 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", fold("doc_id", 5) == 0), "text", fitted).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fitted = langid.fit(docs.where(fold("doc_id", 3) != 1), "text", "lang")
     return langid.identify(docs.select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out")), "text", fitted).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op4_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    orc_tokens.write(table(spark, sf_dir, "documents"), "doc_id", "text", path, public_tokenizers.path("byte_bpe_50k.json"))
+    return orc_tokens.with_crc(orc_tokens.read(spark, path))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op4_orc_tokens, op6_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_source_mixing": mixing.ORACLE}
