@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, mixing, orc_tokens, simhash, toxicity
+from cairn.llm import decontamination, langid, licenses, mixing, orc_tokens, simhash, toxicity
 from cairn.llm.common import fold, shared_dir, table
 
 
@@ -40,8 +40,17 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.digest(licenses.scans(docs, "text").drop("text"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op4_orc_tokens, op6_source_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op4_orc_tokens, op6_source_mixing, op9_license_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
