@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, langid, licenses, mixing, orc_tokens, simhash, toxicity
+from cairn.llm import decontamination, html_text, langid, licenses, mixing, orc_tokens, simhash, toxicity, vptree
 from cairn.llm.common import fold, shared_dir, table
 
 
@@ -36,10 +36,18 @@ def op4_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.with_crc(orc_tokens.read(spark, path))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "html").select("page_id", "url", "text", "n_chars")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "vec_id % 50 = 0", k=5)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.digest(licenses.scans(docs, "text").drop("text"))
@@ -50,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op4_orc_tokens, op6_source_mixing, op9_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op4_orc_tokens, op5_main_text, op6_source_mixing, op7_nearest_neighbours, op9_license_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
