@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, html_text, langid, licenses, mixing, orc_tokens, simhash, toxicity, vptree
+from cairn.llm import decontamination, html_text, langid, licenses, mixing, orc_tokens, simhash, suffix_dedup, toxicity, vptree
 from cairn.llm.common import fold, shared_dir, table
 
 
@@ -48,6 +48,10 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "vec_id % 50 = 0", k=5)
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), "doc_id", "text").drop("spans")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.digest(licenses.scans(docs, "text").drop("text"))
@@ -58,7 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op4_orc_tokens, op5_main_text, op6_source_mixing, op7_nearest_neighbours, op9_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op4_orc_tokens, op5_main_text, op6_source_mixing, op7_nearest_neighbours, op8_repeated_passages, op9_license_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
