@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Texts handed to a vectorised kernel at once; bounds a Python worker's memory.
 SLICE_BYTES = 8 << 20
+#: Rows of a few numbers each that a join may broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` marked for broadcasting if it has no more than `rows` rows; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fold(doc_id: Column | str, k: int) -> Column:
     """crc32 of the id as text, modulo `k`; null ids count as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
