@@ -101,3 +101,18 @@ def sampled(df: DataFrame, text: str, most: int) -> DataFrame:
     if n <= most:
         return df
     return df.where(F.pmod(F.xxhash64(F.lit(7), F.col(text)), F.lit(1_000_000)) < F.lit(int(1_000_000 * most / n)))
+
+
+def repeated(df: DataFrame, doc_id: str, text: str, decided: DataFrame) -> DataFrame:
+    """Each document of `df` as often as `decided` (doc_id, tie, copies) says, tie being its text's MD5 digest.
+
+    A document is an id and a text: of rows that repeat both, one counts, with
+    the copies of all.  Documents that `decided` lacks, or gives no copies, go.
+    """
+    each = decided.groupBy("doc_id", "tie").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    d = each.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "copies").hint("shuffle_hash")
+    row = df.select(F.struct("*").alias("row"), F.col(doc_id).alias("_d"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    if row.groupBy("_d", "_t").count().where("count > 1").limit(1).count():
+        row = row.groupBy("_d", "_t").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    out = row.join(d, row["_d"].eqNullSafe(d["_id"]) & (row["_t"] == d["_tie"]))
+    return out.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

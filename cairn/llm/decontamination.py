@@ -15,6 +15,7 @@ punctuation doesn't count.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import slices
+from cairn.llm.common import appended, slices
 from cairn.llm.licenses import words_of
 
 SEED, TILE, COVERAGE = 5, 3, 0.8
@@ -118,24 +119,55 @@ def contaminated(df: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    kinds = dict(docs.dtypes)
     bench = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    kinds = dict(docs.dtypes) | {"item_id": dict(bench.dtypes)["item_id"]}
-    schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, n_words long, covered long"
+    schema = f"doc_id {kinds['doc_id']}, item_id {dict(bench.dtypes)['item_id']}, n_words long, covered long"
     item_type = bench.schema["item_id"].dataType
-    n_bytes = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = -(-n_bytes // BLOCK_BYTES)
     out = spark.createDataFrame([], schema)
-    for k in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # BLOCK_BYTES or so
-        share = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
+    for share in _blocks(bench):
         out = out.unionByName(docs.mapInArrow(functools.partial(_block, share, item_type), schema))
     return out.withColumn("coverage", F.col("covered") / F.col("n_words")).where(F.col("coverage") >= coverage)
 
 
+def clean(df: DataFrame, text: str, items: DataFrame, item_text: str, *, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of `df` that hold none of `items`; they are decided on where they are read, without a join."""
+    bench = items.select(F.lit(0).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    out = df.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.lit(False).alias("held"))
+    for share in _blocks(bench):
+
+        def work(b: pa.RecordBatch, share=share) -> list[pa.Array]:
+            index = _index(share)
+            return [pa.array([h or any(c >= coverage * n for _, n, c in index.matches(t)) for t, h in zip(b.column("text").to_pylist(), b.column("held").to_pylist(), strict=True)], pa.bool_())]
+
+        out = appended(out, "text", {"held": "boolean"}, work)
+    return out.where("not held").select("row.*")
+
+
+def _blocks(bench: DataFrame) -> Iterator:
+    """The items (item_id, text) in broadcasts (name, items) of BLOCK_BYTES or so."""
+    n_bytes = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = -(-n_bytes // BLOCK_BYTES)
+    for k in range(blocks):
+        rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        yield bench.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r["item_id"], r["text"]) for r in rows]))
+
+
+_INDEX: dict[str, Index] = {}
+
+
+def _index(share) -> Index:
+    """The index of a broadcast block, built once in a worker."""
+    name, items = share.value
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = Index(items)
+    return _INDEX[name]
+
+
 def _block(share, item_type, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    index = Index(share.value)
+    index = _index(share)
     for whole in batches:
         for b in slices(whole, "text"):
             row, key, n_words, covered = [], [], [], []

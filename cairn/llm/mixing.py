@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checkpointed
+from cairn.llm.common import checkpointed, repeated
 
 #: Copies of a document at most, and the weights of sources in code point order, repeating.
 MOST, WEIGHTS = 3, (1, 2, 3)
@@ -64,7 +64,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(df: DataFrame, doc_id: str, text: str, source: str, *, seed: str = "mix") -> DataFrame:
-    """Per row of `df`: doc_id, source (as `src`, with `none` for null), size, source_size, target, copies, taken.
+    """Per row of `df`: doc_id, tie (the text's MD5 digest), source (as `src`, with `none` for null), size, source_size, target, copies, taken.
 
     size counts words; a null or empty text has 0 and takes nothing.  A null
     source is a source of its own, last in order.  Rows with equal ids are
@@ -96,7 +96,12 @@ def mix(df: DataFrame, doc_id: str, text: str, source: str, *, seed: str = "mix"
     placed = ranged.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(before, keys)
     more = ((2 * (F.col("before") + F.col("within")) + F.col("size")).cast("double") <= 2 * F.col("need")).cast("long")
     copies = F.when(F.col("size") > 0, F.col("copies") + more).otherwise(F.lit(0))
-    return placed.withColumn("copies", copies.cast("long")).select("doc_id", "none", "src", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return placed.withColumn("copies", copies.cast("long")).select("doc_id", "tie", "none", "src", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(df: DataFrame, doc_id: str, text: str, source: str, *, seed: str = "mix") -> DataFrame:
+    """The rows of `df`, each as often as the mix takes it.  Documents without a word go, as no mix needs them."""
+    return repeated(df, doc_id, text, mix(df, doc_id, text, source, seed=seed).select("doc_id", "tie", "copies"))
 
 
 #: The same mix in another engine's SQL, ranking each source as a whole.

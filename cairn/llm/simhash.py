@@ -20,43 +20,65 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import appended, checkpointed
+from cairn.llm.common import appended, checkpointed, mix64, repeated
 from cairn.llm.components import connected
 
 WIDTH, RADIUS, SEED = 4, 4, 42
+#: Min-hashes of a sketch.
+SKETCH = 32
 #: Tiles over all population counts, and the fingerprints that a tile holds at least and at most (8 bytes each).
 TILES, LEAST, MOST = 40, 2048, 1 << 21
 #: Rows and columns of a block of comparisons.
 BLOCK = (64, 4096)
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """The fingerprint of one text; null counts as empty, and a text without a word has zero."""
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The XXH64 of each shingle of a text, repeats included: of the whole text if it has fewer words; none without a word or for null."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     n = len(words) - width + 1
     if n <= 1:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     starts = [0, *(gaps[: n - 1] + 1).tolist()]
     ends = [*gaps[width - 1 :].tolist(), len(line)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes set; zero without any."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
+    for i in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+_FACTORS = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH min-hashes, 15 bits of each: two texts agree in about the share of them that is their shingles' Jaccard similarity."""
+    out = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        np.minimum(out, (hashes[i : i + 4096, None] * _FACTORS[None, :]).min(axis=0), out=out)
+    return (mix64(out) >> np.uint64(49)).astype(np.int16)
 
-def fingerprints(df: DataFrame, text: str, width: int = WIDTH) -> DataFrame:
-    """`df` with fp, the fingerprint's 64 bits as a long."""
+
+def fingerprints(df: DataFrame, text: str, width: int = WIDTH, *, sketches: bool = False) -> DataFrame:
+    """`df` with fp, the fingerprint's 64 bits as a long, and, if asked for, the sketch."""
 
     def work(b: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array(np.array([fingerprint(t, width) for t in b.column(text).to_pylist()], np.uint64).view(np.int64))]
+        got = [shingles(t, width) for t in b.column(text).to_pylist()]
+        fp = pa.array(np.array([fingerprint(h) for h in got], np.uint64).view(np.int64))
+        if not sketches:
+            return [fp]
+        flat = np.concatenate([sketch(h) for h in got]) if got else np.zeros(0, np.int16)
+        return [fp, pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * SKETCH), pa.array(flat))]
 
-    return appended(df, text, {"fp": "long"}, work)
+    return appended(df, text, {"fp": "long"} | ({"sketch": "array<smallint>"} if sketches else {}), work)
 
 
 class Forest:
@@ -133,18 +155,40 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return packed.join(jobs, "tile").groupBy("pair").applyInArrow(work, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, doc_id: str, text: str, *, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """Per row of `df`: doc_id, fingerprint (16 hex digits), component_id, the least id among all reachable by links.
+def groups(df: DataFrame, doc_id: str, text: str, *, width: int = WIDTH, radius: int = RADIUS, agree: float = 0.0) -> DataFrame:
+    """Per row of `df`: doc_id, tie (the text's MD5 digest), fp and component_id, the least id among all reachable by links.
 
     Fingerprints link at `radius` or fewer differing bits; equal ones always
-    do, also those of empty and null texts (zero).  Null ids stay null and are
-    least of nothing: a component without any id has a null component_id.
-    Repeated rows are kept.  Other columns play no part.
+    do, also those of empty and null texts (zero).  With `agree` over zero, a
+    link also needs sketches that agree in that share of their places, so that a wide
+    radius links no strangers.  Null ids stay null and are least of nothing: a
+    component without any id has a null component_id.  Repeated rows are kept.
+    Other columns play no part.
     """
-    docs = checkpointed(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", width).drop("text"))
-    reps = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    root = connected(links(reps.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
+    docs = checkpointed(fingerprints(rows, "text", width, sketches=agree > 0).drop("text"))
+    of_rep = [F.min("doc_id").alias("rep"), *([F.min_by("sketch", F.struct("doc_id", "tie")).alias("sketch")] if agree > 0 else [])]
+    reps = checkpointed(docs.groupBy("fp").agg(*of_rep))
+    linked = links(reps.select("fp"), radius)
+    if agree > 0:
+        a, b = reps.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), reps.select(F.col("fp").alias("b"), F.col("sketch").alias("y"))
+        same = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda e: e))
+        linked = linked.join(a, "a").join(b, "b").where(same >= agree * SKETCH).select("a", "b")
+    root = connected(linked).withColumnRenamed("node", "fp")
     labelled = reps.join(root, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = labelled.join(least, "root").select("fp", "component_id")
-    return docs.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = labelled.join(least, "root").select("fp", "root", "component_id")
+    return docs.join(of, "fp").select("doc_id", "tie", "fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, doc_id: str, text: str, *, width: int = WIDTH, radius: int = RADIUS, agree: float = 0.0) -> DataFrame:
+    """Per row of `df`: doc_id, fingerprint (16 lowercase hex digits) and component_id; see `groups`."""
+    got = groups(df, doc_id, text, width=width, radius=radius, agree=agree)
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, doc_id: str, text: str, *, width: int = WIDTH, radius: int = RADIUS, agree: float = 0.0) -> DataFrame:
+    """The rows of `df` but for one of each group: the least id stays (null ids last; of equal ids, the least digest of the text)."""
+    got = groups(df, doc_id, text, width=width, radius=radius, agree=agree)
+    kept = got.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")).alias("k")).select("k.doc_id", "k.tie", F.lit(1).alias("copies"))
+    return repeated(df, doc_id, text, kept)
