@@ -1,13 +1,67 @@
-"""A corpus pipeline over `documents`."""
+"""A corpus pipeline over `documents`: language, near-duplicates, benchmarks, mix, token files.
+
+Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; all
+but the last return the columns of `documents`.  Between stages a table is
+written to the shared folder, so a lost executor never costs more than a stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import decontamination, langid, mixing, orc_tokens, simhash
+from cairn.llm.common import shared_dir, table
+
+#: Near-duplicates: words of a shingle, differing bits, and share of min-hashes that must agree.  Texts of five-word
+#: similarity 0.8 differ in ten bits or so; strangers within this radius fail the second test.
+WIDTH, RADIUS, AGREE = 5, 12, 0.4
+
+#: No SQL: the stages' models, fingerprints and tilings are beyond it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the corpus has; those that the identifier rejects go."""
+    fitted = langid.fit(docs, "text", "lang")
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return langid.identify(rows, "text", fitted).where("not rejected").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the least id stays."""
+    return simhash.one_of_each(docs, "doc_id", "text", width=WIDTH, radius=RADIUS, agree=AGREE)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, "text", table(spark, sf_dir, "benchmark"), "text")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed(docs, "doc_id", "text", "source")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in the shared folder; returns, as read back, each document's place, length and checksum."""
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    orc_tokens.write(docs, "doc_id", "text", path, public_tokenizers.path("byte_bpe_50k.json"))
+    return orc_tokens.with_crc(orc_tokens.read(spark, path))
+
+
+STAGES = [("language ID", language), ("near-duplicates", near_duplicates), ("decontamination", decontaminate), ("source mixing", mix), ("token files", tokens)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents at `sf_dir`."""
+    out, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        if k:
+            out.write.parquet(f"{folder}/{k}")
+            out = spark.read.parquet(f"{folder}/{k}")
+        out = stage(spark, out, sf_dir)
+    return out
