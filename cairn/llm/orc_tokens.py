@@ -12,12 +12,14 @@ document's place among all ids is its file's sum plus `first`.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from cairn.llm.common import slices
 
 END = 0
-#: Pieces whose ids a worker remembers; it starts anew beyond that.
+#: Pieces whose ids a worker remembers; beyond that it starts anew, and keeps those that come up again.
 MEMORY = 300_000
+#: Pieces that are encoded as one text.
+TOGETHER = 200
 STRIPE_BYTES, INDEX_ROWS, FALSE_POSITIVES = 32 << 20, 1000, 0.01
 
 #: White space that may join a neighbouring space in one token: where it occurs, a text is cut with more care.
@@ -43,32 +47,77 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its own core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.plain = Tokenizer.from_file(path), {}, {}
-
-    def _learn(self, memory: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = [p for p in pieces if p not in memory]
-        for p, e in zip(new, self.tokenizer.encode_batch([before + p for p in new], add_special_tokens=False), strict=True):
-            memory[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
+        self.tokenizer, self.spaced, self.plain, self.old = Tokenizer.from_file(path), {}, {}, {}
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(tokens.values()) + 1, bool)
+        for token, i in tokens.items():
+            self.opens[i] = token.startswith("\u0120")  # how this vocabulary writes a leading space
+
+    def _learn_plain(self, pieces: set[str]) -> None:
+        for p in pieces - self.plain.keys():
+            self.plain[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_spaced(self, pieces: set[str]) -> None:
+        """Ids of pieces that follow a space, many in one text: only the first token of each begins with the space."""
+        new = []
+        for p in pieces - self.spaced.keys():
+            if (known := self.old.get(p)) is not None:
+                self.spaced[p] = known
+            else:
+                new.append(p)
+        for i in range(0, len(new), TOGETHER):
+            some = new[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) == len(some) and not first[0]:
+                raw, cuts = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+                self.spaced.update(zip(some, (raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+            else:  # a special token stands in some piece
+                for p in some:
+                    self.spaced[p] = np.array(self.tokenizer.encode(" " + p, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Where the pieces of each text begin in all pieces; per piece, which of the distinct ids it has; these."""
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        which, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        offsets = offsets - offsets[0]
+        firsts = [words[i] for i in which[offsets[:-1]].tolist()]
+        self._learn_plain(set(firsts))
+        self._learn_spaced(set(words))
+        which[offsets[:-1]] = len(words) + np.arange(len(firsts))  # what begins a text follows no space
+        return offsets, which, [*map(self.spaced.__getitem__, words), *map(self.plain.__getitem__, firsts)]
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null), each text's followed by `end`, and how many each has."""
         if len(self.spaced) + len(self.plain) > MEMORY:
-            self.spaced, self.plain = {}, {}
-        if _RUNS.search(text):
-            pieces = _CUTS.split(text)
-            self._learn(self.plain, set(pieces), "")
-            return b"".join(map(self.plain.__getitem__, pieces))
-        first, *rest = text.split(" ")
-        self._learn(self.plain, {first}, "")
-        try:
-            return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
-        except KeyError:
-            self._learn(self.spaced, set(rest), " ")
-            return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
+            self.old, self.spaced, self.plain = self.spaced, {}, {}
+        careful = [i for i, t in enumerate(texts.to_pylist()) if _RUNS.search(t)]
+        if careful:  # one by one, with every other text in its place
+            out = []
+            for i in range(len(texts)):
+                if i in set(careful):
+                    pieces = _CUTS.split(texts[i].as_py())
+                    self._learn_plain(set(pieces))
+                    out.append(np.frombuffer(b"".join(map(self.plain.__getitem__, pieces)) + end, "<u4"))
+                else:
+                    out.append(self.encode(texts.slice(i, 1), end)[0])
+            return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+        offsets, which, ids = self._pieces(texts)
+        ids.append(end)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        slots = np.empty(len(which) + len(texts), np.int64)  # every piece, and an end after each text
+        slots[np.arange(len(which)) + np.repeat(np.arange(len(texts)), np.diff(offsets))] = which
+        slots[offsets[1:] + np.arange(len(texts))] = len(ids) - 1
+        many = sizes[slots]
+        reach = np.cumsum(many)
+        got = flat[np.repeat(begin[slots] - (reach - many), many) + np.arange(reach[-1] if len(reach) else 0)]
+        return got, np.add.reduceat(many, offsets[:-1] + np.arange(len(texts))) if len(texts) else many
 
 
 @functools.cache
@@ -92,12 +141,10 @@ def write(df: DataFrame, doc_id: str, text: str, path: str, tokenizer: str, *, e
         encoder, number, first = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
             for b in slices(whole, "text"):
-                ids = [encoder.encode(t or "") + tail for t in b.column("text").to_pylist()]
-                many = np.array([len(x) // 4 for x in ids], np.int64)
+                ids, many = encoder.encode(b.column("text"), tail)
                 ends = np.cumsum(many)
-                values = pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number, np.int32)), b.column("doc_id"), pa.array(first + ends - many), pa.array(many), lists], ["part", "doc_id", "first", "n_tokens", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(many), number, np.int32)), b.column("doc_id"), pa.array(first + ends - many), pa.array(many), lists], ["part", "doc_id", "first", "n_tokens", "ids"])
                 first += int(ends[-1])
 
     rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
