@@ -20,8 +20,8 @@ def label(code: Column, names: dict[int, str], other: str) -> Column:
 def short_count(n: Column) -> Column:
     """1234567 as 1.2M, 1234 as 1.2K."""
     return (
-        F.when(n >= 1_000_000, F.format_string("%.1fM", F.bround(n / 1e6, 1)))
-        .when(n >= 1_000, F.format_string("%.1fK", F.bround(n / 1e3, 1)))
+        F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6))
+        .when(n >= 1_000, F.format_string("%.1fK", n / 1e3))
         .otherwise(n.cast("string"))
     )
 

@@ -144,7 +144,8 @@ def matched(frames: DataFrame, scene: DataFrame) -> DataFrame:
         rows = [] if got is None else [(key[0], *(got[k] for k in ("tx", "ty", "tz", "score", "inliers", "rounds", "converged")))]
         return pd.DataFrame(rows, columns=["frame_id", "tx", "ty", "tz", "score", "inliers", "rounds", "converged"])
 
-    return frames.select("frame_id", "x", "y", "z").groupBy("frame_id").cogroup(scene.select("frame_id", "x", "y", "z").groupBy("frame_id")).applyInPandas(
+    own = lambda d: d.select(F.col("frame_id").alias("frame_id"), *(F.col(a).cast("double").alias(a) for a in "xyz")).groupBy("frame_id")  # noqa: E731  two sides of one table need columns of their own
+    return own(frames).cogroup(own(scene)).applyInPandas(
         work, "frame_id long, tx double, ty double, tz double, score double, inliers long, rounds long, converged boolean"
     )
 

@@ -86,22 +86,23 @@ def pruned(nodes: DataFrame, depth: int) -> DataFrame:
     """`nodes` (with depth) after nodes at `depth` - 1 took in their children.
 
     A node does so when all its present children are leaves that agree on
-    log-odds over zero or not; it takes its first child's fields.
+    log-odds over zero or not; it takes its first child's fields.  Rows dealt
+    by chunk need no further shuffle.
     """
-    up = lambda c: F.expr(f"cast(shiftright(cast({c} as int), greatest(0, depth - {depth - 1})) as smallint)").alias(f"p{c[1]}")
-    below = nodes.where(F.col("depth") >= depth).select("*", *(up(c) for c in LEAF), (F.col("log_odds") > 0).alias("o"), keys.octant(F.col("ix"), F.col("iy"), F.col("iz")).alias("oct"))
-    parent = [*CHUNK, "px", "py", "pz"]
-    fields = [c for c in nodes.columns if c not in (*CHUNK, *LEAF, "depth")]
-    groups = below.groupBy(*parent).agg((F.max("depth") == depth).alias("flat"), (F.min("o") == F.max("o")).alias("same"), F.min_by(F.struct(*fields), "oct").alias("first"))
-    done = groups.where("flat and same")
-    taken = done.select(*CHUNK, *(F.col(f"p{a}").alias(f"i{a}") for a in "xyz"), F.lit(depth - 1).alias("depth"), *(F.col(f"first.{c}").alias(c) for c in fields))
-    left = below.join(done.select(*parent), parent, "left_anti").select(*nodes.columns)
-    return nodes.where(F.col("depth") < depth).select(*nodes.columns).unionByName(left).unionByName(taken.select(*nodes.columns))
+    up = {f"_p{a}": F.expr(f"cast(shiftright(cast(i{a} as int), greatest(0, depth - {depth - 1})) as smallint)") for a in "xyz"}
+    marks = {"_below": F.col("depth") >= depth, "_o": F.col("log_odds") > 0, "_octant": keys.octant(F.col("ix"), F.col("iy"), F.col("iz"))}
+    w = Window.partitionBy(*CHUNK, *up, "_below")
+    group = {"_same": (F.min("_o").over(w) == F.max("_o").over(w)) & (F.max("depth").over(w) == depth), "_first": F.col("_octant") == F.min("_octant").over(w)}
+    taken = F.col("_below") & F.col("_same")
+    out = nodes.withColumns(up | marks).withColumns(group).withColumn("_taken", taken).where(~F.col("_taken") | F.col("_first"))
+    out = out.withColumns({f"i{a}": F.when(F.col("_taken"), F.col(f"_p{a}")).otherwise(F.col(f"i{a}")) for a in "xyz"})
+    out = out.withColumn("depth", F.when(F.col("_taken"), depth - 1).otherwise(F.col("depth")))
+    return out.select(*nodes.columns)
 
 
 def pruned_all(voxels: DataFrame) -> DataFrame:
-    """All five levels, leaves first."""
-    nodes = voxels.withColumn("depth", F.lit(K.DEPTH))
+    """All five levels, leaves first, after one shuffle by chunk."""
+    nodes = voxels.withColumn("depth", F.lit(K.DEPTH)).repartition(*CHUNK)
     for depth in range(K.DEPTH, 0, -1):
         nodes = pruned(nodes, depth)
     return nodes

@@ -674,10 +674,10 @@ def scale_median(spark, sf_dir):
     return sequence.scales(s).withColumn("scale", F.round("scale", 6))
 
 
-@register("short_forms", "SELECT c_custkey, CASE WHEN c_custkey * 977 >= 1000000 THEN printf('%.1fM', c_custkey * 977 / 1e6) WHEN c_custkey * 977 >= 1000 THEN printf('%.1fK', c_custkey * 977 / 1e3) ELSE CAST(c_custkey * 977 AS VARCHAR) END AS short, (c_custkey // 60) || ':' || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0') AS clock, CASE c_custkey % 4 WHEN 0 THEN 'Wide' WHEN 1 THEN 'Ultra-Wide' WHEN 2 THEN 'Dog' ELSE 'Unknown' END AS lens, CASE WHEN c_custkey % 3 > 0 THEN 0.5e0 / (c_custkey % 3) END AS fraction FROM customer")
+@register("short_forms", "SELECT c_custkey, CASE WHEN c_custkey * 976 >= 1000000 THEN printf('%.1fM', c_custkey * 976 / 1e6) WHEN c_custkey * 976 >= 1000 THEN printf('%.1fK', c_custkey * 976 / 1e3) ELSE CAST(c_custkey * 976 AS VARCHAR) END AS short, (c_custkey // 60) || ':' || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0') AS clock, CASE c_custkey % 4 WHEN 0 THEN 'Wide' WHEN 1 THEN 'Ultra-Wide' WHEN 2 THEN 'Dog' ELSE 'Unknown' END AS lens, CASE WHEN c_custkey % 3 > 0 THEN 0.5e0 / (c_custkey % 3) END AS fraction FROM customer")
 def short_forms(spark, sf_dir):
     n = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", text.short_count(n * 977).alias("short"), text.minutes(n).alias("clock"), text.label(n % 4, text.CAMERA_LABELS, "Unknown").alias("lens"), text.fraction(F.lit(0.5), n % 3).alias("fraction"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.short_count(n * 976).alias("short"), text.minutes(n).alias("clock"), text.label(n % 4, text.CAMERA_LABELS, "Unknown").alias("lens"), text.fraction(F.lit(0.5), n % 3).alias("fraction"))
 
 
 # --- grouped ----------------------------------------------------------------
@@ -714,3 +714,55 @@ def subtractive_fold(spark, sf_dir):
     obs = fold.keyed(view(spark, sf_dir, "obs"))
     local = obs.select("cx", "cy", "cz", "seq", *((F.col(a) - F.col(f"c{a}")).alias(f"l{a}") for a in "xyz"), "hit", (F.col("seq") % 3 + 3).cast("int").alias("depth"))
     return grouped.subtractive(local)
+
+
+@register("vio_replay")
+def vio_replay(spark, sf_dir):
+    """Pose fusion over sessions of mixed samples."""
+    s = table(spark, sf_dir, "events").selectExpr(
+        "user_id % 8 session", "event_id seq", "element_at(array('video', 'imu', 'encoder'), cast(event_id % 3 + 1 as int)) kind", "event_id / 64D t",
+        "value / 100D px", "event_id / 1000D py", "0D pz", "0D qx", "0D qy", "0D qz", "1D qw", "0.5D vx", "0D vy", "0D vz",
+    )
+    from cairn.streaming.live import replay
+
+    return replay(s).select("session", "seq", "state", *(F.round(c, 6).alias(c) for c in ("x", "y", "z", "scale")))
+
+
+@register("map_file_roundtrip", FOLD + ", g AS (SELECT * FROM folded WHERE log_odds >= 0), v AS (SELECT DISTINCT cx, cy, cz, ix, iy, iz FROM g) SELECT cx, cy, cz, count(*) AS voxels, CAST(0.85::FLOAT * 1 AS FLOAT) AS log_odds FROM v GROUP BY cx, cy, cz")
+def map_file_roundtrip(spark, sf_dir):
+    """An export coded as map files and decoded again: every voxel comes back as one hit."""
+    from cairn.sources import maps
+
+    at = world.exported(voxels(spark, sf_dir)).withColumn("part", F.floor("y"))
+    files = maps.maps_of(at, "part", name="round")
+
+    def decode(batches):
+        import pandas as pd
+
+        for b in batches:
+            for data in b["content"]:
+                v = maps.decode_map(data)[1]
+                yield pd.DataFrame({a: v[a].astype(float) for a in "xyz"} | {"seq": range(len(v)), "hit": True})
+
+    back = fold.keyed(files.mapInPandas(decode, "x double, y double, z double, seq long, hit boolean"))
+    leaves = back.groupBy(*fold.KEY).agg(fold.log_odds().alias("log_odds"))
+    return leaves.groupBy("cx", "cy", "cz").agg(F.count(F.lit(1)).alias("voxels"), F.max("log_odds").alias("log_odds"))
+
+
+@register("wire_roundtrip", f"WITH pixels AS ({view_sql('pixels')}) SELECT frame_id AS sequence, CAST(count(*) AS INTEGER) AS width FROM pixels WHERE d IS NOT NULL GROUP BY frame_id")
+def wire_roundtrip(spark, sf_dir):
+    """Frames with depth rasters, coded to length-prefixed messages and read back."""
+    import numpy as np
+    import pandas as pd
+
+    from cairn.sources import wire
+
+    def encode(key, rows: pd.DataFrame) -> pd.DataFrame:
+        depth = rows.sort_values(["u", "v", "d"])["d"].to_numpy().astype("<f2")
+        f = wire.Frame(int(key[0]), 1.0, image=b"\xff\xd8", depth_width=len(depth), depth_height=1, depth=depth.tobytes())
+        status = wire.prefixed(wire.encode_status((1, 2, 3, 4, 5, 6)))
+        return pd.DataFrame({"content": [status + wire.prefixed(wire.encode_frame(f)) + wire.prefixed(wire.stop_marker()) + np.bytes_(b"rest")]})
+
+    pixels = view(spark, sf_dir, "pixels").where("d is not null")
+    messages = pixels.groupBy("frame_id").applyInPandas(encode, "content binary")
+    return wire.frames(messages).where("kind = 'frame' and length(depth) = 2 * depth_width").select("sequence", F.col("depth_width").alias("width"))
