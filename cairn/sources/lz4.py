@@ -19,7 +19,7 @@ def compress(data: bytes) -> bytes:
 
 
 def decompress(data: bytes, size: int) -> bytes | None:
-    """The `size` bytes that were compressed; None for anything else.  A bare block is taken too."""
+    """The `size` bytes that were compressed; None for anything else."""
     out, at = b"", 0
     try:
         while data[at : at + 4] in (_BLOCK, _STORED):
@@ -31,8 +31,6 @@ def decompress(data: bytes, size: int) -> bytes | None:
                 n = struct.unpack_from("<I", data, at + 4)[0]
                 out += data[at + 8 : at + 8 + n]
                 at += 8 + n
-        if not at:
-            out = _CODEC.decompress(data, size, asbytes=True)
     except (OSError, struct.error, ValueError):
         return None
-    return out if len(out) == size else None
+    return out if at and len(out) == size else None
