@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts handed to a vectorised kernel at once; bounds a Python worker's memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Bytes that Spark hands to a Python worker at once, where the session sets no bound of its own.
+BATCH_BYTES, SPARK_BATCH = 16 << 20, "67108864b"
 #: Rows of a few numbers each that a join may broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -76,12 +78,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python workers of BATCH_BYTES at most: rows alone are no bound where texts are long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == SPARK_BATCH:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of `df` bears."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def appended(df: DataFrame, text: str, new: dict[str, str], work) -> DataFrame:
     """`df` with the columns `new` (name -> type) that work(record batch) returns as Arrow arrays.
 
     A column of `df` that bears one of the new names (in any case) is replaced.
     Batches are cut so that `text` takes about SLICE_BYTES in each.
     """
+    bounded_batches(df.sparkSession)
     taken = {n.lower() for n in new}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
     schema = T.StructType([*kept, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in new.items())])
@@ -111,7 +129,7 @@ def repeated(df: DataFrame, doc_id: str, text: str, decided: DataFrame) -> DataF
     """
     each = decided.groupBy("doc_id", "tie").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
     d = each.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "copies").hint("shuffle_hash")
-    row = df.select(F.struct("*").alias("row"), F.col(doc_id).alias("_d"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    row = df.select(F.struct("*").alias("row"), F.col(doc_id).alias("_d"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_t"))  # clashes with no name
     if row.groupBy("_d", "_t").count().where("count > 1").limit(1).count():
         row = row.groupBy("_d", "_t").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     out = row.join(d, row["_d"].eqNullSafe(d["_id"]) & (row["_t"] == d["_tie"]))

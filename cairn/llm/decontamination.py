@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import appended, slices
+from cairn.llm.common import appended, bounded_batches, slices, unused
 from cairn.llm.licenses import words_of
 
 SEED, TILE, COVERAGE = 5, 3, 0.8
@@ -118,6 +118,7 @@ def contaminated(df: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     null.  Other columns play no part.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     kinds = dict(docs.dtypes)
     bench = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
@@ -132,15 +133,16 @@ def contaminated(df: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
 def clean(df: DataFrame, text: str, items: DataFrame, item_text: str, *, coverage: float = COVERAGE) -> DataFrame:
     """The rows of `df` that hold none of `items`; they are decided on where they are read, without a join."""
     bench = items.select(F.lit(0).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    out = df.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.lit(False).alias("held"))
+    held = unused(df, "held")
+    out = df.withColumn(held, F.lit(False))
     for share in _blocks(bench):
 
         def work(b: pa.RecordBatch, share=share) -> list[pa.Array]:
             index = _index(share)
-            return [pa.array([h or any(c >= coverage * n for _, n, c in index.matches(t)) for t, h in zip(b.column("text").to_pylist(), b.column("held").to_pylist(), strict=True)], pa.bool_())]
+            return [pa.array([h or any(c >= coverage * n for _, n, c in index.matches(t)) for t, h in zip(b.column(text).to_pylist(), b.column(held).to_pylist(), strict=True)], pa.bool_())]
 
-        out = appended(out, "text", {"held": "boolean"}, work)
-    return out.where("not held").select("row.*")
+        out = appended(out, text, {held: "boolean"}, work)
+    return out.where(~F.col(held)).drop(held)
 
 
 def _blocks(bench: DataFrame) -> Iterator:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import mix64, slices
+from cairn.llm.common import bounded_batches, mix64, slices
 
 PAD = 32
 #: Cells (n-gram types times classes) that a model may hold at most; about 16 bytes each.
@@ -110,6 +110,7 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def count(df: DataFrame, text: str, label: str, classes: list[str], order: int) -> DataFrame:
     """n-grams of the highest order with a count per class: (gram, c0, c1, ...). Rows whose label is not in `classes` don't count."""
     k = len(classes)
+    bounded_batches(df.sparkSession)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows, sums = np.zeros(0, np.uint64), np.zeros((0, order), np.uint32), np.zeros((0, k), np.int64)

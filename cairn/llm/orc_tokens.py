@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import slices
+from cairn.llm.common import bounded_batches, slices
 
 END = 0
 #: Pieces whose ids a worker remembers; beyond that it starts anew, and keeps those that come up again.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Pieces that are encoded as one text.
 TOGETHER = 200
 STRIPE_BYTES, INDEX_ROWS, FALSE_POSITIVES = 32 << 20, 1000, 0.01
@@ -134,6 +134,7 @@ def write(df: DataFrame, doc_id: str, text: str, path: str, tokenizer: str, *, e
     the session unless given.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
 

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import mix64
+from cairn.llm.common import bounded_batches, mix64
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text whose anchors are computed at once, and anchors that a task holds before it sends them on.
@@ -376,6 +376,7 @@ def repeats(df: DataFrame, doc_id: str, text: str, *, length: int = LENGTH) -> D
     if not 2 * GRAM < length <= 255:
         raise ValueError(f"length must be in ({2 * GRAM}, 255]")
     spark = df.sparkSession
+    bounded_batches(spark)
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.md5(body)
     rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("tie"), body.alias("text"), digest.alias("md5"))
