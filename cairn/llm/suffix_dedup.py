@@ -383,11 +383,11 @@ def repeats(df: DataFrame, doc_id: str, text: str, *, length: int = LENGTH) -> D
     n_bytes = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
     firsts = rows.groupBy("md5").agg(F.min(F.struct("id", "tie")).alias("f")).select("f.id", "f.tie")
-    texts = rows.select("doc_id", "id", "tie", "text").repartition(shards, "id", "tie")  # read three times, written once
-    sent = texts.join(firsts.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text").mapInArrow(_find(shards, length), "shard int, id long, tie long, blob binary")
+    texts = rows.select("doc_id", "id", "tie", "text").repartition(shards, "id", "tie")  # written once, as all who read it take every column
+    sent = texts.join(firsts.hint("shuffle_hash"), ["id", "tie"]).select("doc_id", "id", "tie", "text").mapInArrow(_find(shards, length), "shard int, id long, tie long, blob binary")
     found = sent.groupBy("shard").applyInArrow(_shared, "id long, tie long, kind int, blob binary")
     wanted = found.groupBy("id", "tie").agg(F.collect_list(F.struct("kind", "blob")).alias("found"))  # no more than a document holds
-    cut = texts.select("id", "tie", "text").join(wanted.hint("shuffle_hash"), ["id", "tie"]).mapInArrow(_cut(shards, length), "shard int, id long, tie long, blob binary")
+    cut = texts.join(wanted.hint("shuffle_hash"), ["id", "tie"]).mapInArrow(_cut(shards, length), "shard int, id long, tie long, blob binary")
     covered = cut.groupBy("shard").applyInArrow(_covered(length), "id long, tie long, kind int, blob binary")
     status = firsts.select("id", "tie", F.lit(1).alias("first"), F.lit(None).cast("binary").alias("blob")).unionByName(covered.select("id", "tie", F.lit(0).alias("first"), "blob"))
     status = status.groupBy("id", "tie").agg(F.max("first").alias("first"), F.collect_list("blob").alias("blobs"))
