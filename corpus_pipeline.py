@@ -11,7 +11,6 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, langid, mixing, orc_tokens, simhash
 from cairn.llm.common import shared_dir, table
@@ -26,9 +25,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus has; those that the identifier rejects go."""
-    fitted = langid.fit(docs, "text", "lang")
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return langid.identify(rows, "text", fitted).where("not rejected").select("row.*")
+    return langid.known(docs, "text", langid.fit(docs, "text", "lang"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
