@@ -3,9 +3,9 @@
 Parser events cut a page into lines, one per block element; a line knows its
 text, the tags within it, its innermost article (or main part) and its parent.
 The ratio of characters to tags is smoothed with a Gaussian over the page; lines
-at or above a standard deviation are content, the others are not.  Content lines settle
-the content regions: the articles that hold any, and outside of articles, the
-stretches of lines between two of the same parent.  Lines inside menus, headers,
+at or above a standard deviation, by themselves and smoothed, are content.
+Content lines settle the content regions: the articles that hold any, and
+outside of articles, the stretches of lines between two of the same parent.  Lines inside menus, headers,
 footers, sidebars, notices, adverts, forms, comments and the like are no
 candidates.
 """
@@ -154,7 +154,10 @@ def chosen(lines: list[Line]) -> list[Line]:
     reach = int(3 * SIGMA)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     smooth = np.convolve(ratio, kernel / kernel.sum(), mode="full")[reach : reach + len(ratio)]
-    content = smooth >= THRESHOLD * smooth.std()
+    least = THRESHOLD * smooth.std()
+    content = (smooth >= least) & (ratio >= least)  # a neighbour's ratio alone makes no content
+    if not content.any():
+        content = smooth >= least
     articles = {x.article for x, c in zip(lines, content, strict=True) if c and x.article}
     articles = articles or {x.article for x in lines if x.article}
     if articles:
