@@ -63,3 +63,41 @@ def transform(q: tuple, t: tuple, p: tuple) -> tuple[Column, Column, Column]:
 def inverse_transform(q: tuple, t: tuple, p: tuple) -> tuple[Column, Column, Column]:
     """R' (p - t)."""
     return rotate((-q[0], -q[1], -q[2], q[3]), tuple(a - b for a, b in zip(p, t, strict=True)))
+
+
+POSE = ("px", "py", "pz", "qx", "qy", "qz", "qw")
+
+
+def pose_json(*fields: Column) -> Column:
+    """A pose as a JSON object of its seven numbers."""
+    return F.to_json(F.struct(*(c.cast("double").alias(n) for n, c in zip(POSE, fields, strict=True))))
+
+
+def pose_of(text: Column) -> Column:
+    """The pose of a JSON object; null for what isn't one."""
+    return F.from_json(text, ", ".join(f"{n} double" for n in POSE))
+
+
+def matrix(q: tuple[Column, ...]) -> list[list[Column]]:
+    """The rotation matrix of a unit quaternion, by rows."""
+    x, y, z, w = q
+    return [[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]]
+
+
+def quaternion(m: list[list[Column]]) -> Column:
+    """The unit quaternion (x, y, z, w) of a rotation matrix, by its largest component."""
+    trace = m[0][0] + m[1][1] + m[2][2]
+
+    def of(s: Column, *parts: Column) -> Column:
+        return F.array(*(p / s for p in parts))
+
+    def root(c: Column) -> Column:
+        return 2 * F.sqrt(F.greatest(F.lit(0.0), c))
+
+    s0, sx = root(1 + trace), root(1 + m[0][0] - m[1][1] - m[2][2])
+    sy, sz = root(1 + m[1][1] - m[0][0] - m[2][2]), root(1 + m[2][2] - m[0][0] - m[1][1])
+    by_w = of(s0, m[2][1] - m[1][2], m[0][2] - m[2][0], m[1][0] - m[0][1], s0 * s0 / 4)
+    by_x = of(sx, sx * sx / 4, m[0][1] + m[1][0], m[0][2] + m[2][0], m[2][1] - m[1][2])
+    by_y = of(sy, m[0][1] + m[1][0], sy * sy / 4, m[1][2] + m[2][1], m[0][2] - m[2][0])
+    by_z = of(sz, m[0][2] + m[2][0], m[1][2] + m[2][1], sz * sz / 4, m[1][0] - m[0][1])
+    return F.when(trace > 0, by_w).when((m[0][0] > m[1][1]) & (m[0][0] > m[2][2]), by_x).when(m[1][1] > m[2][2], by_y).otherwise(by_z)

@@ -84,3 +84,21 @@ def deltas(samples: DataFrame, value: str, by: str = "seq", key: str = "session"
     """`samples` with the change of `value` since the sample before, null for the first."""
     w = Window.partitionBy(key).orderBy(by)
     return samples.withColumn("delta", F.col(value) - F.lag(value).over(w))
+
+
+#: Metres of travel and frames after which a keyframe is due.
+TRAVEL, FRAMES = 0.15, 30
+
+
+def keyframes(deltas_: DataFrame) -> DataFrame:
+    """(session, seq, frames, travel): where a keyframe is due in a session's flow (seq, magnitude): after TRAVEL metres or FRAMES frames since the last."""
+
+    def fold(a: Column, e: Column) -> Column:
+        travel, frames = a["travel"] + e["magnitude"] * PER_PIXEL, a["frames"] + 1
+        due = (travel >= TRAVEL) | (frames >= FRAMES)
+        out = F.when(due, F.concat(a["out"], F.array(F.struct(e["_at"].alias("seq"), frames.alias("frames"), travel.alias("travel"))))).otherwise(a["out"])
+        return F.struct(F.when(due, 0.0).otherwise(travel).alias("travel"), F.when(due, 0).otherwise(frames).alias("frames"), out.alias("out"))
+
+    zero = F.struct(F.lit(0.0).alias("travel"), F.lit(0).alias("frames"), F.expr("cast(array() as array<struct<seq:bigint,frames:int,travel:double>>)").alias("out"))
+    got = deltas_.groupBy("session").agg(F.aggregate(steps("seq", "magnitude"), zero, fold).alias("f"))
+    return got.select("session", F.explode("f.out").alias("o")).select("session", "o.*")

@@ -766,3 +766,42 @@ def wire_roundtrip(spark, sf_dir):
     pixels = view(spark, sf_dir, "pixels").where("d is not null")
     messages = pixels.groupBy("frame_id").applyInPandas(encode, "content binary")
     return wire.frames(messages).where("kind = 'frame' and length(depth) = 2 * depth_width").select("sequence", F.col("depth_width").alias("width"))
+
+
+@register("pose_json", f"WITH p AS ({view_sql('poses')}) SELECT pose_id, px, py, pz, qx, qy, qz, qw FROM p")
+def pose_json(spark, sf_dir):
+    """Poses through JSON and back."""
+    text_of = camera.pose_json(*(F.col(c) for c in camera.POSE))
+    return view(spark, sf_dir, "poses").select("pose_id", camera.pose_of(text_of).alias("p")).select("pose_id", "p.*")
+
+
+@register("pose_matrix", f"WITH p AS ({view_sql('poses')}) SELECT pose_id, qx AS x, qy AS y, qz AS z, qw AS w FROM p")
+def pose_matrix(spark, sf_dir):
+    """Quaternions through rotation matrices and back."""
+    q = camera.quaternion(camera.matrix(tuple(F.col(f"q{a}") for a in "xyzw")))
+    got = view(spark, sf_dir, "poses").select("pose_id", q.alias("q"))
+    return got.select("pose_id", *((F.abs(F.element_at("q", i))).alias(a) for i, a in enumerate("xyzw", 1)))
+
+
+@register("depth_lookup", f"WITH pixels AS ({view_sql('pixels')}) SELECT frame_id, u, v, CASE WHEN u < 8 AND v < 8 THEN (v * 8 + u) / 4e0 END AS depth FROM pixels")
+def depth_lookup(spark, sf_dir):
+    from cairn.functions import raster
+
+    eight = F.lit(8)
+    d = raster.depth_at(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i / 4), eight, eight, F.col("u"), F.col("v"))
+    return view(spark, sf_dir, "pixels").select("frame_id", "u", "v", F.when(~F.isnan(d), d).alias("depth"))
+
+
+@register("raster_colour", f"WITH pixels AS ({view_sql('pixels')}), s AS (SELECT frame_id, u, v, 48 + u AS l, 65 + 2 * (u // 2) AS c FROM pixels WHERE v < 1) SELECT frame_id, u, v, CAST(l AS INTEGER) AS y, CAST(c AS INTEGER) AS cb, CAST(c + 1 AS INTEGER) AS cr FROM s")
+def raster_colour(spark, sf_dir):
+    from cairn.functions import raster
+
+    luma, chroma = F.lit(bytes(range(48, 64))), F.lit(bytes(range(65, 81)))
+    y, cb, cr = raster.nv12_at(luma, chroma, F.lit(16), F.col("u"), F.col("v"))
+    return view(spark, sf_dir, "pixels").where("v < 1").select("frame_id", "u", "v", y.alias("y"), cb.alias("cb"), cr.alias("cr"))
+
+
+@register("keyframes")
+def keyframes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").selectExpr("user_id % 8 session", "event_id seq", "value / 10D magnitude")
+    return sequence.keyframes(e).withColumn("travel", F.round("travel", 6))

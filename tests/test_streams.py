@@ -114,3 +114,17 @@ def test_scale_gate():
     for ratio in (2.0, 2.1, 9.0, 1.9):
         f.add_ratio(ratio, 1.0)
     assert f.ratios == [2.0, 2.1, 1.9] and f.scale == 2.0
+
+
+def test_capture_dispatches_messages_by_kind(spark, tmp_path):
+    from cairn.sources.capture import capture, dispatch, world_points
+
+    source = tmp_path / "drop"
+    source.mkdir()
+    point = struct.pack("<3f4B", 1, 2, 3, 9, 8, 7, 0)
+    frame = wire.Frame(5, 1.0, points=point, point_count=1, flags=wire.COLOURED)
+    (source / "a.bin").write_bytes(wire.prefixed(wire.encode_status((1, 1, 0, 50, 0, 2))) + wire.prefixed(wire.encode_frame(frame)) + wire.prefixed(wire.stop_marker()) + wire.prefixed(wire.encode_frame(frame)))
+    got = {"frame": [], "status": []}
+    handlers = {"frame": lambda b, i: got["frame"].extend(world_points(b).collect()), "status": lambda b, i: got["status"].extend(b.collect())}
+    dispatch(capture(spark, str(source)), handlers, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert [tuple(r) for r in got["frame"]] == [(5, 0, 1.0, 2.0, 3.0, 9, 8, 7)] and len(got["status"]) == 1
