@@ -5,8 +5,9 @@ shingle hashes set.  Distinct fingerprints are dealt into tiles of one
 population count each; only pairs of tiles whose counts differ by no more than
 the radius are compared, each pair in one task, with numpy's exclusive-or and
 bit counts over blocks that fit the cache.  (Two fingerprints whose population
-counts differ by more than the radius differ in more bits than that.)  A task
-returns a spanning forest of the links it finds, never all pairs of a group.
+counts differ by more than the radius differ in more bits than that.)  The same
+holds for the counts of their quarters, added up: within tiles, fingerprints are
+ordered by these, and blocks that are too far apart are skipped.  A task returns a spanning forest of the links it finds, never all pairs of a group.
 
 Tiles hold a TILES-th of the fingerprints, so each fingerprint is sent to TILES
 tasks or so at any size; comparing all of them is quadratic by the method.
@@ -28,8 +29,8 @@ WIDTH, RADIUS, SEED = 4, 4, 42
 SKETCH = 32
 #: Tiles over all population counts, and the fingerprints that a tile holds at least and at most (8 bytes each).
 TILES, LEAST, MOST = 40, 2048, 1 << 21
-#: Rows and columns of a block of comparisons.
-BLOCK = (64, 4096)
+#: Rows and columns of a block of comparisons, and the columns that are compared at once.
+BLOCK, AT_ONCE = (64, 64), 4096
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -107,20 +108,45 @@ class Forest:
             self.root = up
 
 
+def quarters(fps: np.ndarray) -> np.ndarray:
+    """The population counts of each fingerprint's four quarters."""
+    return np.bitwise_count((fps[:, None] >> (np.uint64(16) * np.arange(4, dtype=np.uint64))) & np.uint64(0xFFFF)).astype(np.int16)
+
+
+def ordered(fps: np.ndarray) -> np.ndarray:
+    """Fingerprints by the population counts of their quarters, so that blocks of them span few."""
+    return fps[np.lexsort(quarters(fps).T[::-1])]
+
+
+def _ranges(fps: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest counts of the quarters in each block of `size`."""
+    q, first = quarters(fps), np.arange(0, len(fps), size)
+    return np.minimum.reduceat(q, first, axis=0), np.maximum.reduceat(q, first, axis=0)
+
+
 def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between the tiles a and b, or within a where b is None."""
-    both = a if b is None else np.concatenate([a, b])
-    high = (both >> np.uint64(32)).astype(np.uint32)
-    forest, at = Forest(len(both)), 0 if b is None else len(a)
-    for i in range(0, len(a), BLOCK[0]):
-        j0 = i if b is None else at
-        for j in range(j0, len(both), BLOCK[1]):
-            near = np.bitwise_count(high[i : min(i + BLOCK[0], len(a)), None] ^ high[None, j : j + BLOCK[1]]) <= radius
-            if near.any():
-                x, y = np.nonzero(near)
-                x, y = x + i, y + j
-                ok = np.bitwise_count(both[x] ^ both[y]) <= radius
-                forest.join(x[ok], y[ok])
+    """A spanning forest of the links between the tiles a and b, or within a where b is None.
+
+    Blocks whose quarters' population counts differ by more than the radius, all
+    four together, are skipped, as tiles are; the others are compared whole.
+    """
+    rows, columns = ordered(a), ordered(a if b is None else b)
+    both = rows if b is None else np.concatenate([rows, columns])
+    forest, at = Forest(len(both)), 0 if b is None else len(rows)
+    (low, top), (low_c, top_c) = _ranges(rows, BLOCK[0]), _ranges(columns, BLOCK[1])
+    for k, i in enumerate(range(0, len(rows), BLOCK[0])):
+        gap = np.maximum(0, np.maximum(low_c - top[k], low[k] - top_c)).sum(axis=1)
+        near_blocks = np.flatnonzero(gap <= radius)
+        if b is None:
+            near_blocks = near_blocks[(near_blocks + 1) * BLOCK[1] > i]  # what comes before has met these rows
+        cols = (near_blocks[:, None] * BLOCK[1] + np.arange(BLOCK[1])).ravel()
+        cols = cols[cols < len(columns)]
+        for j in range(0, len(cols), AT_ONCE):
+            some = cols[j : j + AT_ONCE]
+            close = np.bitwise_count(rows[i : i + BLOCK[0], None] ^ columns[some][None, :]) <= radius
+            if close.any():
+                x, y = np.nonzero(close)
+                forest.join(x + i, some[y] + at)
     links = np.array(forest.links, np.int64).reshape(-1, 2)
     return both[links[:, 0]], both[links[:, 1]]
 
