@@ -379,11 +379,11 @@ def repeats(df: DataFrame, doc_id: str, text: str, *, length: int = LENGTH) -> D
     bounded_batches(spark)
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.md5(body)
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("tie"), body.alias("text"), digest.alias("md5"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(0).cast("long")).alias("tie"), body.alias("text"), digest.alias("md5"))
     n_bytes = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
     firsts = rows.groupBy("md5").agg(F.min(F.struct("id", "tie")).alias("f")).select("f.id", "f.tie")
-    texts = rows.select("doc_id", "id", "tie", "text").repartition(shards, "id", "tie")  # written once, as all who read it take every column
+    texts = rows.select("doc_id", "id", "tie", "text").repartition(shards, "id", "tie")  # written once: all who read it take every column, and none needs a null test
     sent = texts.join(firsts.hint("shuffle_hash"), ["id", "tie"]).select("doc_id", "id", "tie", "text").mapInArrow(_find(shards, length), "shard int, id long, tie long, blob binary")
     found = sent.groupBy("shard").applyInArrow(_shared, "id long, tie long, kind int, blob binary")
     wanted = found.groupBy("id", "tie").agg(F.collect_list(F.struct("kind", "blob")).alias("found"))  # no more than a document holds
