@@ -28,7 +28,7 @@ from cairn.llm.common import bounded_batches, slices
 
 END = 0
 #: Pieces whose ids a worker remembers; beyond that it starts anew, and keeps those that come up again.
-MEMORY = 130_000
+MEMORY = 200_000
 #: Pieces that are encoded as one text.
 TOGETHER = 200
 STRIPE_BYTES, INDEX_ROWS, FALSE_POSITIVES = 32 << 20, 1000, 0.01
