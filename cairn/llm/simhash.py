@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import appended, checkpointed, mix64, repeated
+from cairn.llm.common import appended, checkpointed, mix64, repeated, small
 from cairn.llm.components import connected
 
 WIDTH, RADIUS, SEED = 4, 4, 42
@@ -29,6 +29,8 @@ WIDTH, RADIUS, SEED = 4, 4, 42
 SKETCH = 32
 #: Tiles over all population counts, and the fingerprints that a tile holds at least and at most (8 bytes each).
 TILES, LEAST, MOST = 40, 2048, 1 << 21
+#: Tiles of nodes with sketches (56 bytes each), dealt by hash: a wide radius leaves out few pairs of population counts.
+SKETCHED = 16
 #: Rows and columns of a block of comparisons, and the columns that are compared at once.
 BLOCK, AT_ONCE = (64, 64), 4096
 
@@ -68,18 +70,26 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return (mix64(out) >> np.uint64(49)).astype(np.int16)
 
 
-def fingerprints(df: DataFrame, text: str, width: int = WIDTH, *, sketches: bool = False) -> DataFrame:
-    """`df` with fp, the fingerprint's 64 bits as a long, and, if asked for, the sketch."""
+def fingerprints(df: DataFrame, text: str, width: int = WIDTH) -> DataFrame:
+    """`df` with fp, the fingerprint's 64 bits as a long."""
 
     def work(b: pa.RecordBatch) -> list[pa.Array]:
-        got = [shingles(t, width) for t in b.column(text).to_pylist()]
-        fp = pa.array(np.array([fingerprint(h) for h in got], np.uint64).view(np.int64))
-        if not sketches:
-            return [fp]
-        flat = np.concatenate([sketch(h) for h in got]) if got else np.zeros(0, np.int16)
-        return [fp, pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * SKETCH), pa.array(flat))]
+        got = [fingerprint(shingles(t, width)) for t in b.column(text).to_pylist()]
+        return [pa.array(np.array(got, np.uint64).view(np.int64))]
 
-    return appended(df, text, {"fp": "long"} | ({"sketch": "array<smallint>"} if sketches else {}), work)
+    return appended(df, text, {"fp": "long"}, work)
+
+
+def shingle_sets(df: DataFrame, text: str, width: int) -> DataFrame:
+    """`df` with node, a digest of the set of shingles (zero if empty), and the set's fingerprint and sketch."""
+
+    def work(b: pa.RecordBatch) -> list[pa.Array]:
+        got = [np.unique(shingles(t, width)) for t in b.column(text).to_pylist()]
+        node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) if len(h) else 0 for h in got], np.uint64)
+        fp = np.array([fingerprint(h) for h in got], np.uint64)
+        return [pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), pa.array([sketch(h).astype(np.uint8).tobytes() for h in got], pa.binary())]
+
+    return appended(df, text, {"node": "long", "fp": "long", "sketch": "binary"}, work)
 
 
 class Forest:
@@ -181,40 +191,155 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return packed.join(jobs, "tile").groupBy("pair").applyInArrow(work, "a long, b long")
 
 
-def groups(df: DataFrame, doc_id: str, text: str, *, width: int = WIDTH, radius: int = RADIUS, agree: float = 0.0) -> DataFrame:
+def candidates(a: np.ndarray, b: np.ndarray | None, radius: int, agree: int, sure: int, *, every: bool) -> np.ndarray:
+    """Pairs of nodes of different roots, of the tiles a and b or within a, that pass both tests: fingerprints within `radius`, sketches equal in `agree` places.
+
+    All of them with `every`; else a spanning forest of these, and one of the
+    pairs whose sketches are equal in `sure` places: each node that has a pair is in one.
+    A row: two nodes, the lesser first, and the equal places.
+    """
+    rows = a[np.lexsort(quarters(a["fp"]).T[::-1])]
+    columns = rows if b is None else b[np.lexsort(quarters(b["fp"]).T[::-1])]
+    both = rows if b is None else np.concatenate([rows, columns])
+    at, out = 0 if b is None else len(rows), [np.zeros((0, 2), np.int64)]
+    forests = [(agree, Forest(len(both))), (sure, Forest(len(both)))]
+    (low, top), (low_c, top_c) = _ranges(rows["fp"], BLOCK[0]), _ranges(columns["fp"], BLOCK[1])
+    x_fp, y_fp = np.ascontiguousarray(rows["fp"]), np.ascontiguousarray(columns["fp"])
+    for k, i in enumerate(range(0, len(rows), BLOCK[0])):
+        gap = np.maximum(0, np.maximum(low_c - top[k], low[k] - top_c)).sum(axis=1)
+        near_blocks = np.flatnonzero(gap <= radius)
+        if b is None:
+            near_blocks = near_blocks[(near_blocks + 1) * BLOCK[1] > i]
+        cols = (near_blocks[:, None] * BLOCK[1] + np.arange(BLOCK[1])).ravel()
+        cols = cols[cols < len(columns)]
+        for j in range(0, len(cols), AT_ONCE):
+            some = cols[j : j + AT_ONCE]
+            x, y = np.nonzero(np.bitwise_count(x_fp[i : i + BLOCK[0], None] ^ y_fp[some][None, :]) <= radius)
+            x, y = x + i, some[y]
+            apart = rows["root"][x] != columns["root"][y]
+            if b is None:
+                apart &= x < y
+            x, y = x[apart], y[apart]
+            same = (rows["sketch"][x] == columns["sketch"][y]).sum(axis=1)
+            if every:
+                out.append(np.stack([x, y + at], axis=1)[same >= agree])
+                continue
+            for least, forest in forests:
+                if (hit := same >= least).any():
+                    forest.join(x[hit], y[hit] + at)
+    if not every:
+        out += [np.array(f.links, np.int64).reshape(-1, 2) for _, f in forests]
+    x, y = np.unique(np.concatenate(out), axis=0).T
+    same = (both["sketch"][x] == both["sketch"][y]).sum(axis=1)
+    x, y = both["node"][x], both["node"][y]
+    return np.stack([np.minimum(x, y), np.maximum(x, y), same], axis=1)
+
+
+_NODE = np.dtype([("node", "<i8"), ("root", "<i8"), ("fp", "<u8"), ("sketch", "u1", SKETCH)])
+
+
+def _candidates(nodes: DataFrame, radius: int, agree: int, sure: int, *, every: bool) -> DataFrame:
+    """Candidate pairs (a, b) of `nodes` (node, root, fp, sketch); unless `every`, for each node the pairs with a lesser and a greater one whose sketches are most alike. See `candidates`."""
+    spark, n = nodes.sparkSession, nodes.count()
+    many = max(min(SKETCHED, -(-n // LEAST)), -(-n // MOST))
+    pairs = [(k, x, y) for k, (x, y) in enumerate((x, y) for x in range(many) for y in range(x, many))]
+    if not pairs:
+        return spark.createDataFrame([], "a long, b long")
+    members = [(x, k, 0) for k, x, _ in pairs] + [(y, k, 1) for k, x, y in pairs if y != x]
+    jobs = F.broadcast(spark.createDataFrame(members, "tile int, pair int, side int"))  # a few hundred rows by SKETCHED
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        out = np.zeros(t.num_rows, _NODE)
+        for c in ("node", "root"):
+            out[c] = t.column(c).to_numpy()
+        out["fp"] = t.column("fp").to_numpy().view(np.uint64)
+        out["sketch"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "held": pa.array([out.tobytes()], pa.binary())})
+
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        by = {s: np.frombuffer(f, _NODE) for s, f in zip(t.column("side").to_pylist(), t.column("held").to_pylist(), strict=True)}
+        got = candidates(by[0], by.get(1), radius, agree, sure, every=every)
+        return pa.table({c: pa.array(np.ascontiguousarray(got[:, i])) for i, c in enumerate(("a", "b", "same"))})
+
+    dealt = nodes.select("node", "root", "fp", "sketch", F.pmod(F.xxhash64("node"), F.lit(many)).cast("int").alias("tile"))
+    packed = dealt.groupBy("tile").applyInArrow(pack, "tile int, held binary")
+    got = packed.join(jobs, "tile").groupBy("pair").applyInArrow(work, "a long, b long, same long")
+    if every:
+        return got.select("a", "b")
+    ends = [F.struct(F.col(x).alias("node"), F.col(y).alias("other"), F.col("same"), F.lit(x == "a").alias("less")) for x, y in (("a", "b"), ("b", "a"))]
+    best = got.select(F.explode(F.array(*ends)).alias("e")).groupBy("e.node", "e.less").agg(F.max(F.struct("e.same", "e.other")).alias("best"))
+    return best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose sets of shingles (node, held) have the Jaccard similarity `similarity` or more."""
+    x, y = sets.select(F.col("node").alias("a"), F.col("held").alias("x")), sets.select(F.col("node").alias("b"), F.col("held").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def similar(df: DataFrame, doc_id: str, text: str, *, width: int, similarity: float, radius: int, agree: int) -> DataFrame:
+    """Per row of `df`: doc_id, tie and root, equal for texts that links connect: those whose sets of `width`-word shingles have the Jaccard similarity `similarity` or more.
+
+    Of all pairs whose fingerprints differ in `radius` bits at most and whose
+    sketches are equal in `agree` places or more, the exact similarity decides.
+    Forests of candidates are confirmed first; where a link fails, its nodes
+    stay apart, and in the last round all candidates between different roots
+    are confirmed, so the result is that of all candidate pairs.
+    """
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
+    docs = checkpointed(shingle_sets(rows, "text", width).drop("text"))
+    nodes = docs.groupBy("node").agg(F.min("tie").alias("tie"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).withColumn("root", F.col("node"))
+    nodes = checkpointed(nodes)
+    sure, confirmed, root, sets = int(similarity * SKETCH) + 1, None, None, None
+
+    def work(b: pa.RecordBatch) -> list[pa.Array]:
+        got = [np.unique(shingles(t, width)) for t in b.column("text").to_pylist()]
+        at = np.cumsum([0, *map(len, got)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64)))]
+
+    for every in (False, False, True):
+        pairs = checkpointed(_candidates(nodes, radius, agree, sure, every=every))
+        if sets is None:  # only nodes that have a candidate go on
+            nodes = checkpointed(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
+            texts = rows.select("tie", "text").join(small(nodes.select("tie", "node")), "tie").groupBy("node").agg(F.first("text").alias("text"))
+            sets = checkpointed(appended(texts, "text", {"held": "array<long>"}, work).select("node", "held"))
+        got = checkpointed(_confirmed(pairs, sets, similarity))
+        confirmed = got if confirmed is None else confirmed.union(got)
+        root = checkpointed(connected(confirmed))
+        nodes = nodes.drop("root").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return docs.join(root, "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
+
+
+def groups(df: DataFrame, doc_id: str, text: str, *, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """Per row of `df`: doc_id, tie (the text's MD5 digest), fp and component_id, the least id among all reachable by links.
 
     Fingerprints link at `radius` or fewer differing bits; equal ones always
-    do, also those of empty and null texts (zero).  With `agree` over zero, a
-    link also needs sketches that agree in that share of their places, so that a wide
-    radius links no strangers.  Null ids stay null and are least of nothing: a
-    component without any id has a null component_id.  Repeated rows are kept.
-    Other columns play no part.
+    do, also those of empty and null texts (zero).  Null ids stay null and are
+    least of nothing: a component without any id has a null component_id.
+    Repeated rows are kept.  Other columns play no part.
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
-    docs = checkpointed(fingerprints(rows, "text", width, sketches=agree > 0).drop("text"))
-    of_rep = [F.min("doc_id").alias("rep"), *([F.min_by("sketch", F.struct("doc_id", "tie")).alias("sketch")] if agree > 0 else [])]
-    reps = checkpointed(docs.groupBy("fp").agg(*of_rep))
-    linked = links(reps.select("fp"), radius)
-    if agree > 0:
-        a, b = reps.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), reps.select(F.col("fp").alias("b"), F.col("sketch").alias("y"))
-        same = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda e: e))
-        linked = linked.join(a, "a").join(b, "b").where(same >= agree * SKETCH).select("a", "b")
-    root = connected(linked).withColumnRenamed("node", "fp")
+    docs = checkpointed(fingerprints(rows, "text", width).drop("text"))
+    reps = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    root = connected(links(reps.select("fp"), radius)).withColumnRenamed("node", "fp")
     labelled = reps.join(root, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = labelled.join(least, "root").select("fp", "root", "component_id")
     return docs.join(of, "fp").select("doc_id", "tie", "fp", "root", "component_id")
 
 
-def near_duplicates(df: DataFrame, doc_id: str, text: str, *, width: int = WIDTH, radius: int = RADIUS, agree: float = 0.0) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str, text: str, *, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """Per row of `df`: doc_id, fingerprint (16 lowercase hex digits) and component_id; see `groups`."""
-    got = groups(df, doc_id, text, width=width, radius=radius, agree=agree)
+    got = groups(df, doc_id, text, width=width, radius=radius)
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, doc_id: str, text: str, *, width: int = WIDTH, radius: int = RADIUS, agree: float = 0.0) -> DataFrame:
-    """The rows of `df` but for one of each group: the least id stays (null ids last; of equal ids, the least digest of the text)."""
-    got = groups(df, doc_id, text, width=width, radius=radius, agree=agree)
+def one_of_each(df: DataFrame, doc_id: str, text: str, *, width: int = WIDTH, radius: int = RADIUS, similarity: float = 0.0, agree: int = 0) -> DataFrame:
+    """The rows of `df` but for one of each group: the least id stays (null ids last; of equal ids, the least digest of the text).
+
+    Groups are those of `groups`, or with `similarity` over zero those of `similar`.
+    """
+    got = similar(df, doc_id, text, width=width, similarity=similarity, radius=radius, agree=agree) if similarity > 0 else groups(df, doc_id, text, width=width, radius=radius)
     kept = got.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")).alias("k")).select("k.doc_id", "k.tie", F.lit(1).alias("copies"))
     return repeated(df, doc_id, text, kept)

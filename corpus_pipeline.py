@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm import decontamination, langid, mixing, orc_tokens, simhash
 from cairn.llm.common import shared_dir, table
 
-#: Near-duplicates: words of a shingle, differing bits, and share of min-hashes that must agree.  Texts of five-word
-#: similarity 0.8 differ in ten bits or so; strangers within this radius fail the second test.
-WIDTH, RADIUS, AGREE = 5, 12, 0.4
+#: Near-duplicates: words of a shingle, and the Jaccard similarity from which texts are copies.
+WIDTH, SIMILARITY = 5, 0.8
+#: Candidates, which the exact similarity then confirms: bits in which fingerprints may differ, and equal places of 32 in
+#: sketches.
+RADIUS, AGREE = 12, 13
 
 #: No SQL: the stages' models, fingerprints and tilings are beyond it.
 ORACLE_SQL = None
@@ -30,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the least id stays."""
-    return simhash.one_of_each(docs, "doc_id", "text", width=WIDTH, radius=RADIUS, agree=AGREE)
+    return simhash.one_of_each(docs, "doc_id", "text", width=WIDTH, similarity=SIMILARITY, radius=RADIUS, agree=AGREE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

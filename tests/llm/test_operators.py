@@ -194,6 +194,49 @@ def test_sketch_estimates_similarity():
     assert 0.4 < same < 0.95 and (simhash.sketch(a) == simhash.sketch(a[::-1])).all()
 
 
+def kept_by_all_pairs(docs, least=0.8, width=5):
+    """Ids that stay where all pairs of five-word Jaccard similarity `least` or more are linked and the least id of a group stays."""
+    sets = []
+    for _, t in docs:
+        w = t.lower().split()
+        sets.append({" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    root = {i: i for i, _ in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, (i, _) in enumerate(docs):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both >= least * (len(sets[x]) + len(sets[y]) - both) and (a := find(i)) != (b := find(docs[y][0])):
+                root[max(a, b)] = min(a, b)
+    return {i for i in root if find(i) == i}
+
+
+def test_strangers_within_the_radius_hide_no_copies(spark):
+    """Texts that share one often repeated line have near fingerprints, but only their own near copies are copies."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    line = " ".join(f"line{i}" for i in range(12)) + " "
+    docs = []
+    for k in range(30):
+        own = [f"w{rng.randrange(100_000)}" for _ in range(150)]
+        edited = [*own[:70], "edit", *own[71:]]
+        docs += [(k, line * 80 + " ".join(own)), (100 + k, line * 80 + " ".join(edited))]
+    df = spark.createDataFrame([(i, t, "en", "a", "x") for i, t in docs], DOCS)
+    want = kept_by_all_pairs(docs)
+    assert want == set(range(30))
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == want
+    rows = simhash.similar(df, "doc_id", "text", width=5, similarity=0.8, radius=64, agree=0).collect()  # every pair is a candidate
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.root, []).append(r.doc_id)
+    assert {min(g) for g in groups.values()} == want
+
+
 # --- decontamination --------------------------------------------------------
 
 
