@@ -237,6 +237,23 @@ def test_strangers_within_the_radius_hide_no_copies(spark):
     assert {min(g) for g in groups.values()} == want
 
 
+def test_near_duplicates_are_those_of_exact_similarity(spark):
+    """Pairs of similarity 0.5 to 0.95: exactly those of 0.8 or more lose a text."""
+    import corpus_pipeline
+
+    rng, docs = random.Random(6), []
+    for k in range(160):
+        own = [f"w{rng.randrange(100_000)}" for _ in range(400)]
+        other = list(own)
+        for i in rng.sample(range(0, 400, 5), 1 + k % 24):
+            other[i] = "edit"
+        docs += [(k, " ".join(own)), (1000 + k, " ".join(other))]
+    df = spark.createDataFrame([(i, t, "en", "a", "x") for i, t in docs], DOCS)
+    want = kept_by_all_pairs(docs)
+    assert 40 < len([i for i in want if i >= 1000]) < 120
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == want
+
+
 # --- decontamination --------------------------------------------------------
 
 
