@@ -3,8 +3,9 @@
 One model per language, all in the same sorted hash arrays; a text gets the
 language under which its cross-entropy per predicted character is lowest.  It
 is rejected if that entropy is far above what the language's own training
-texts show: their mean and deviation, taken on MAX_CALIBRATION texts at most,
-set the bound, which is wider for short texts.
+texts show: their mean and deviation, taken on all of them, set the bound, which
+is wider for short texts.  A language with fewer than LEAST such texts takes the
+mean and deviation of the texts of all languages together.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import kneser_ney
-from cairn.llm.common import appended, sampled, unused
+from cairn.llm.common import appended, unused
 
 ORDER = 4
 UNKNOWN = "und"
-MAX_CALIBRATION = 20_000
+#: Texts from which on a language, or the corpus, has a bound.
+LEAST = 8
 #: Deviations above its language's mean entropy at which a text is rejected, and the length at which they double.
 DEVIATIONS, SHORT = 12.0, 40
 #: Sharpness of the score, in predicted characters.
@@ -48,16 +50,15 @@ def entropies(model: kneser_ney.Model, texts: pa.Array) -> tuple[np.ndarray, np.
     return -out / np.maximum(count, 1)[:, None], count.astype(np.int64)
 
 
-def fit(df: DataFrame, text: str, lang: str, *, order: int = ORDER, max_cells: int = kneser_ney.MAX_CELLS, max_calibration: int = MAX_CALIBRATION) -> Identifier:
-    """Models from every row of `df` with a text and a language; the languages are those that occur."""
+def fit(df: DataFrame, text: str, lang: str, *, order: int = ORDER, max_cells: int = kneser_ney.MAX_CELLS) -> Identifier:
+    """Models and bounds from every row of `df` with a text and a language; the languages are those that occur."""
     rows = df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     classes = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     model = kneser_ney.fit(rows, "text", "lang", classes, order=order, shared=False, max_cells=max_cells)
     k = len(classes)
     mean, deviation = np.full(k, np.inf), np.full(k, np.inf)
     if k:
-        some = sampled(rows, "text", max_calibration)
-        share = some.sparkSession.sparkContext.broadcast(model)
+        share = rows.sparkSession.sparkContext.broadcast(model)
 
         def own(b: pa.RecordBatch) -> list[pa.Array]:
             h, n = entropies(share.value, b.column("text"))
@@ -65,9 +66,14 @@ def fit(df: DataFrame, text: str, lang: str, *, order: int = ORDER, max_cells: i
             best = h.argmin(axis=1) == j
             return [pa.array(np.where(best & (n >= SHORT), h[np.arange(len(j)), j], np.nan))]
 
-        stats = appended(some, "text", {"h": "double"}, own).where("not isnan(h)").groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s"), F.count("h").alias("n")).collect()
+        stats = appended(rows, "text", {"h": "double"}, own).where("not isnan(h)").groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s"), F.count("h").alias("n")).collect()
+        n = sum(r["n"] for r in stats)
+        if n >= LEAST:
+            m = sum(r["n"] * r["m"] for r in stats) / n
+            spread = sum(r["n"] * (r["s"] ** 2 + (r["m"] - m) ** 2) for r in stats) / n
+            mean[:], deviation[:] = m, max(spread**0.5, 0.05)
         for r in stats:
-            if r["n"] >= 8:
+            if r["n"] >= LEAST:
                 j = classes.index(r["lang"])
                 mean[j], deviation[j] = r["m"], max(r["s"], 0.05)
     return Identifier(model, mean, deviation)

@@ -97,6 +97,17 @@ def test_language_edges(spark, odd, empty):
     assert langid.identify(empty, "text", fitted).count() == 0
 
 
+def test_a_rare_language_lets_no_junk_through(spark):
+    rng = random.Random(8)
+    words = ["tree", "house", "river", "stone", "light", "paper", "water", "green"]
+    others = ["arbol", "casa", "rio", "piedra", "luz", "papel", "agua", "verde"]
+    rows = [(" ".join(rng.choices(words, k=30)), "en") for _ in range(200)] + [(" ".join(rng.choices(others, k=30)), "es") for _ in range(3)]
+    fitted = langid.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert np.isfinite(fitted.mean).all() and np.isfinite(fitted.deviation).all()
+    test = spark.createDataFrame([("qxzj vvkw " * 30,), ("жщшц ъыьэ " * 30,), (rows[0][0],), (rows[-1][0],)], "text string")
+    assert [r.rejected for r in langid.identify(test, "text", fitted).collect()] == [True, True, False, False]
+
+
 def test_toxicity_finds_what_labels_mark(spark):
     rng = random.Random(1)
     plain = ["tree", "house", "river", "stone", "light", "paper", "water", "green"]
