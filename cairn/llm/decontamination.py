@@ -1,11 +1,12 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share SEED consecutive words are joined on
-the hashes of such seeds.  Around the seeds, tiling marks the longest common
-run of words that is not marked yet, again and again, down to TILE words; runs
-of a length are found by Karp-Rabin hashing.  Tiles may stand in any order, so
-a passage whose parts are moved is covered too.  A document holds an item if
-its tiles cover COVERAGE or more of the item's words.
+Documents and benchmark items that share TILE consecutive words (or all words of
+a shorter item) meet by such seeds.  Where seeds reach enough of an item's words,
+tiling marks the longest common run of words that is not marked yet, again and
+again, down to TILE words; runs of a length are found by Karp-Rabin hashing.
+Tiles may stand in any order and anywhere in the text, so a passage whose parts
+are moved or scattered is covered too.  A document holds an item if its tiles
+cover COVERAGE or more of the item's words.
 
 Items are a stated query set: they go to the workers in blocks of BLOCK_BYTES
 at most, and documents are read once for each block.  Words are lower-cased;
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import appended, bounded_batches, slices, unused
 from cairn.llm.licenses import words_of
 
-SEED, TILE, COVERAGE = 5, 3, 0.8
+TILE, COVERAGE = 3, 0.8
 BLOCK_BYTES = 16 << 20
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
@@ -75,46 +76,61 @@ def tiles(item: list[int], text: list[int], least: int = TILE) -> list[tuple[int
 
 
 class Index:
-    """Seeds of a block of items: sorted hashes with their items."""
+    """Seeds of a block of items, each with its items and the places in them that it covers, as bits."""
 
     def __init__(self, items: list[tuple[object, str]]):
         self.vocabulary: dict[bytes, int] = {}
         self.keys = [k for k, _ in items]
         self.items = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(t.lower())] for _, t in items]
-        self.seeds: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        self.sizes = sorted({min(TILE, len(ids)) for ids in self.items if ids})
+        self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for k, ids in enumerate(self.items):
-            for seed in {tuple(ids[i : i + SEED]) for i in range(len(ids) - SEED + 1)}:
-                self.seeds[seed].append(k)
-
-    def matches(self, text: str | None) -> list[tuple[object, int, int]]:
-        """(item, its words, words covered by tiles) for each item that shares a seed with the text."""
+            size, bits = min(TILE, len(ids)), defaultdict(int)
+            for i in range(len(ids) - size + 1 if ids else 0):
+                bits[tuple(ids[i : i + size])] |= ((1 << size) - 1) << i
+            for seed, at in bits.items():
+                self.seeds[seed].append((k, at))
+
+    def matches(self, text: str | None, coverage: float) -> list[tuple[object, int, int]]:
+        """(item, its words, words covered by tiles) for each item that the text covers to `coverage`."""
         ids = [-1 if i is None else i for i in map(self.vocabulary.get, words_of((text or "").lower()))]
         known = np.concatenate([[0], np.cumsum(np.fromiter((i >= 0 for i in ids), np.int64, len(ids)))])
-        places = defaultdict(list)
-        for i in np.flatnonzero(known[SEED:] - known[:-SEED] == SEED).tolist() if len(ids) >= SEED else ():
-            for k in self.seeds.get(tuple(ids[i : i + SEED]), ()):
-                places[k].append(i)
-        return [(self.keys[k], len(self.items[k]), self._covered(self.items[k], ids, at)) for k, at in places.items()]
+        places: dict[tuple[int, ...], list[int]] = {}
+        for size in self.sizes:
+            for i in np.flatnonzero(known[size:] - known[:-size] == size).tolist() if len(ids) >= size else ():
+                if (seed := tuple(ids[i : i + size])) in self.seeds:
+                    places.setdefault(seed, []).append(i)
+        reached, shared = defaultdict(int), defaultdict(list)
+        for seed in places:
+            for k, bits in self.seeds[seed]:
+                reached[k] |= bits
+                shared[k].append(seed)
+        out = []
+        for k, bits in reached.items():
+            n = len(self.items[k])
+            if bits.bit_count() >= coverage * n:  # a word outside of shared seeds is in no tile
+                covered = self._covered(self.items[k], ids, shared[k], places)
+                if covered >= coverage * n:
+                    out.append((self.keys[k], n, covered))
+        return out
 
     @staticmethod
-    def _covered(item: list[int], ids: list[int], at: list[int]) -> int:
-        """Most words of the item that tiles cover within one neighbourhood of seeds: an item's length around them, and on while seeds follow."""
-        best, a = 0, 0
-        while a < len(at):
-            b = a
-            while b + 1 < len(at) and at[b + 1] - at[b] <= len(item):
-                b += 1
-            low, high = max(0, at[a] - len(item)), at[b] + SEED + len(item)
-            covered = sum(n for _, _, n in tiles(item, ids[low:high]))
-            best, a = max(best, covered), b + 1
-        return best
+    def _covered(item: list[int], ids: list[int], shared: list[tuple[int, ...]], places: dict[tuple[int, ...], list[int]]) -> int:
+        """Words of the item that tiles cover, over the whole text: what lies between shared seeds matches nothing and counts as one place."""
+        near, last = [], -1
+        for i in sorted({i + d for seed in shared for i in places[seed] for d in range(len(seed))}):
+            if i > last + 1:
+                near.append(-1)
+            near.append(ids[i])
+            last = i
+        return sum(n for _, _, n in tiles(item, near, min(TILE, len(item))))
 
 
 def contaminated(df: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, *, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_words, covered, coverage) for each document and item that it holds.
 
-    A null or empty text holds nothing, and an item under SEED words is held by
-    none.  Repeated rows of either side give repeated results; null ids stay
+    A null or empty text holds nothing, and an item without a word is held by
+    none; one under TILE words is held where all of it stands.  Repeated rows of either side give repeated results; null ids stay
     null.  Other columns play no part.
     """
     spark = df.sparkSession
@@ -126,7 +142,7 @@ def contaminated(df: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     item_type = bench.schema["item_id"].dataType
     out = spark.createDataFrame([], schema)
     for share in _blocks(bench):
-        out = out.unionByName(docs.mapInArrow(functools.partial(_block, share, item_type), schema))
+        out = out.unionByName(docs.mapInArrow(functools.partial(_block, share, item_type, coverage), schema))
     return out.withColumn("coverage", F.col("covered") / F.col("n_words")).where(F.col("coverage") >= coverage)
 
 
@@ -139,7 +155,7 @@ def clean(df: DataFrame, text: str, items: DataFrame, item_text: str, *, coverag
 
         def work(b: pa.RecordBatch, share=share) -> list[pa.Array]:
             index = _index(share)
-            return [pa.array([h or any(c >= coverage * n for _, n, c in index.matches(t)) for t, h in zip(b.column(text).to_pylist(), b.column(held).to_pylist(), strict=True)], pa.bool_())]
+            return [pa.array([h or bool(index.matches(t, coverage)) for t, h in zip(b.column(text).to_pylist(), b.column(held).to_pylist(), strict=True)], pa.bool_())]
 
         out = appended(out, text, {held: "boolean"}, work)
     return out.where(~F.col(held)).drop(held)
@@ -166,7 +182,7 @@ def _index(share) -> Index:
     return _INDEX[name]
 
 
-def _block(share, item_type, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block(share, item_type, coverage: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark.sql.pandas.types import to_arrow_type
 
     index = _index(share)
@@ -174,7 +190,7 @@ def _block(share, item_type, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         for b in slices(whole, "text"):
             row, key, n_words, covered = [], [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):
-                for item, n, c in index.matches(t):
+                for item, n, c in index.matches(t, coverage):
                     row.append(i)
                     key.append(item)
                     n_words.append(n)

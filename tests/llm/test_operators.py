@@ -289,6 +289,41 @@ def test_contaminated(spark):
     assert decontamination.clean(docs, "text", bench.limit(0), "text").count() == len(rows)
 
 
+def test_scattered_shuffled_and_short_items_equal_a_tiling(spark):
+    rng, words = random.Random(7), [f"w{i}" for i in range(40)]
+    fill = lambda n: [f"x{rng.randrange(1000)}" for _ in range(n)]
+    runs = [words[i : i + 4] for i in range(0, 40, 4)]
+    rng.shuffle(runs)
+    fine = [words[i : i + 3] for i in range(0, 39, 3)]
+    rng.shuffle(fine)
+    texts = [
+        words[:20] + fill(60) + words[20:],
+        [w for r in runs for w in [*r, *fill(30)]],
+        [w for r in fine for w in [*r, "y"]],
+        [w for r in (words[i : i + 2] for i in range(0, 40, 2)) for w in [*r, "y"]],
+        words[:10] * 4 + fill(5),
+        fill(20) + ["kurze", "frage", "hier"] + fill(20),
+        ["frage", "kurze"],
+        ["einwort"],
+    ]
+    items = [words, ["kurze", "frage", "hier"], ["kurze", "frage"], ["einwort"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            free_a, free_b, covered = [True] * len(item), [True] * len(t), 0
+            for n in range(len(item), min(3, len(item)) - 1, -1):
+                for a in range(len(item) - n + 1):
+                    for b in range(len(t) - n + 1):
+                        if item[a : a + n] == t[b : b + n] and all(free_a[a : a + n]) and all(free_b[b : b + n]):
+                            free_a[a : a + n], free_b[b : b + n], covered = [False] * n, [False] * n, covered + n
+            if covered >= 0.8 * len(item):
+                want[i, k] = covered
+    got = {(r.doc_id, r.item_id): r.covered for r in decontamination.contaminated(docs, "doc_id", "text", bench, "item_id", "text").collect()}
+    assert got == want and set(want) == {(0, 0), (1, 0), (2, 0), (5, 1), (5, 2), (7, 3)}
+
+
 def test_decontamination_query_equals_a_search(spark):
     got = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, SF).collect()}
     flat = lambda t: " " + " ".join(w.decode() for w in licenses.words_of(t.lower())) + " "
