@@ -2,10 +2,10 @@
 
 Parser events cut a page into lines, one per block element; a line knows its
 text, the tags within it, its innermost article (or main part) and its parent.
-The ratio of characters to tags is smoothed with a Gaussian over the page; lines
+The ratio of characters to tags, up to FULL, is smoothed with a Gaussian over the page; lines
 at or above a standard deviation, by themselves and smoothed, are content.
-Content lines settle the content regions: the articles that hold any, and
-outside of articles, the stretches of lines between two of the same parent.  Lines inside menus, headers,
+All articles are content regions; on a page without any, the content lines settle them:
+all lines within a parent of one, headings included, and what stands between two of its lines.  Lines inside menus, headers,
 footers, sidebars, notices, adverts, forms, comments and the like are no
 candidates.
 """
@@ -24,6 +24,8 @@ from cairn.llm.common import appended
 
 #: Deviation of the Gaussian in lines, and the threshold in standard deviations of the smoothed ratios.
 SIGMA, THRESHOLD = 1.0, 1.0
+#: Characters a tag from which on a line is plain text: longer ones don't raise the threshold.
+FULL = 100.0
 
 # Elements that are never content, elements that make a line of their own, elements without an end
 # tag, and words in class, id or role that mark what is around an article.
@@ -46,6 +48,7 @@ class Line:
     tags: int
     article: int
     parent: int
+    within: tuple[int, ...] = ()
 
 
 @dataclass
@@ -69,7 +72,8 @@ class Lines(HTMLParser):
         top = self.open[-1]
         if text and not top.skipped:
             parent = next((e for e in reversed(self.open) if e.tag in BLOCKS and e.tag not in HEADINGS and e.tag not in ("p", "li")), self.open[0])
-            self.lines.append(Line(text, self.tags, top.article, parent.number))
+            within = tuple(e.number for e in self.open[1:] if e.tag not in ("html", "body"))
+            self.lines.append(Line(text, self.tags, top.article, parent.number, within))
         self.parts, self.tags = [], 0
 
     def _skips(self, tag: str, attrs: list[tuple[str, str | None]], article: int) -> bool:
@@ -150,7 +154,9 @@ def chosen(lines: list[Line]) -> list[Line]:
     """The lines of the content regions, in page order."""
     if not lines:
         return []
-    ratio = np.array([len(x.text) / max(1, x.tags) for x in lines])
+    if any(x.article for x in lines):  # what is around an article is no line
+        return [x for x in lines if x.article]
+    ratio = np.minimum(FULL, np.array([len(x.text) / max(1, x.tags) for x in lines]))
     reach = int(3 * SIGMA)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     smooth = np.convolve(ratio, kernel / kernel.sum(), mode="full")[reach : reach + len(ratio)]
@@ -158,14 +164,11 @@ def chosen(lines: list[Line]) -> list[Line]:
     content = (smooth >= least) & (ratio >= least)  # a neighbour's ratio alone makes no content
     if not content.any():
         content = smooth >= least
-    articles = {x.article for x, c in zip(lines, content, strict=True) if c and x.article}
-    articles = articles or {x.article for x in lines if x.article}
-    if articles:
-        return [x for x in lines if x.article in articles]
-    parents: dict[int, list[int]] = {}
-    for i in np.flatnonzero(content).tolist():
-        parents.setdefault(lines[i].parent, []).append(i)
-    inside = {i for at in parents.values() for i in range(at[0], at[-1] + 1)}
+    parents = {x.parent for x, c in zip(lines, content, strict=True) if c}
+    inside = {i for i, x in enumerate(lines) if parents.intersection(x.within)}
+    for p in parents:
+        at = [i for i, x in enumerate(lines) if x.parent == p]
+        inside.update(range(at[0], at[-1] + 1))
     return [x for i, x in enumerate(lines) if i in inside]
 
 

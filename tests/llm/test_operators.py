@@ -418,6 +418,26 @@ def test_main_text_without_an_article():
     assert html_text.main_text(page).split("\n") == [(long_ * 3).strip(), "Short.", (long_ * 3).strip()]
 
 
+def test_short_lines_of_a_content_parent_stay():
+    usual, menu = "An ordinary paragraph of the text with a few words more than a line. ", '<ul><li><a href="x">Home</a></li><li><a href="y">More</a></li></ul>'
+    want = ["Title", "Lead.", usual.strip(), (usual * 300).strip(), usual.strip(), "Notes", "End.", "one"]
+    body = f"<h1>Title</h1><p>Lead.</p><p>{usual}</p><p>{usual * 300}</p><p>{usual}</p><h2>Notes</h2><p>End.</p><ul><li>one</li></ul>"
+    page = f'{menu}<div>{body}</div><div><a href="z">Imprint</a></div>'
+    assert html_text.main_text(page).split("\n") == want
+
+
+def test_ordinary_paragraphs_beside_a_very_long_one_stay():
+    usual = "An ordinary paragraph of the text with a few words more than a line. "
+    page = f"<section><p>{usual}</p><p>{usual}</p></section><div><p>{usual * 300}</p></div><section><p>{usual}</p><p>{usual}</p></section>"
+    assert len(html_text.main_text(page).split("\n")) == 5
+
+
+def test_every_article_stays():
+    text = "A paragraph of the text that goes on for quite a while and has many words. " * 4
+    page = f'<article><p>{text}</p></article><article><p>Brief.</p></article><article class="related"><p>Other</p></article>'
+    assert html_text.main_text(page) == f"{text.strip()}\nBrief."
+
+
 def test_pages_query(spark):
     import html as h
 
