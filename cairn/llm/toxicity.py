@@ -8,8 +8,8 @@ divided by the number of words; a logistic curve over a few dead zones turns
 the length-normalised ratios into a score.
 
 Counts come from every labelled training row but those that a hash of the text
-sets aside (one in CALIBRATION) for the curve, of which MAX_CALIBRATION at most
-are used.
+sets aside for the curve: one in CALIBRATION, or fewer where these are more than
+MAX_CALIBRATION.
 """
 
 from __future__ import annotations
@@ -83,7 +83,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> Curve:
 def fit(df: DataFrame, text: str, label: str, *, order: int = ORDER, max_cells: int = kneser_ney.MAX_CELLS, max_calibration: int = MAX_CALIBRATION) -> tuple[kneser_ney.Model, Curve]:
     """Models and curve from the rows of `df` whose `label` is 0 or 1; others, and null texts, teach nothing."""
     rows = df.select(F.col(text).alias("text"), F.col(label).cast("int").cast("string").alias("label")).where("text is not null and label in ('0', '1')")
-    aside = F.pmod(F.xxhash64(F.lit(3), F.col("text")), F.lit(CALIBRATION)) == 0
+    share = min(1 / CALIBRATION, max_calibration / max(1, rows.count()))
+    aside = F.pmod(F.xxhash64(F.lit(3), F.col("text")), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))
     model = kneser_ney.fit(rows.where(~aside), "text", "label", ["0", "1"], order=order, shared=True, max_cells=max_cells)
     held = sampled(rows.where(aside), "text", max_calibration)
     share = held.sparkSession.sparkContext.broadcast(model)

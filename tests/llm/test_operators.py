@@ -126,6 +126,14 @@ def test_toxicity_edges(spark, odd, empty):
     assert toxicity.score(empty, "text", fitted).count() == 0
 
 
+def test_toxicity_counts_all_that_the_curve_does_not_use(spark, monkeypatch):
+    seen, plain = [], kneser_ney.fit
+    monkeypatch.setattr(kneser_ney, "fit", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k))
+    df = spark.createDataFrame([(f"tree house number w{i}", i % 2) for i in range(1000)], "text string, toxic int")
+    toxicity.fit(df, "text", "toxic", max_calibration=50)
+    assert 900 < seen[0] < 1000
+
+
 def test_toxicity_query(spark):
     got = queries.op1_toxicity(spark, SF).collect()
     assert len(got) == 200 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
