@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +87,30 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's function that gives free heap pages back, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def tidy(part):
+    """`part`, a function of a task's batches, that gives a reused Python worker's free memory back when the task ends."""
+
+    @functools.wraps(part)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from part(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return run
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, or a longer one that no column of `df` bears."""
     taken = {c.lower() for c in df.columns}
@@ -110,7 +136,7 @@ def appended(df: DataFrame, text: str, new: dict[str, str], work) -> DataFrame:
             for b in slices(whole, text):
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *work(b)], [*names, *new])
 
-    return df.mapInArrow(part, schema)
+    return df.mapInArrow(tidy(part), schema)
 
 
 def sampled(df: DataFrame, text: str, most: int) -> DataFrame:
