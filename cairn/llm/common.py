@@ -139,14 +139,6 @@ def appended(df: DataFrame, text: str, new: dict[str, str], work) -> DataFrame:
     return df.mapInArrow(tidy(part), schema)
 
 
-def sampled(df: DataFrame, text: str, most: int) -> DataFrame:
-    """About `most` rows of `df` at most, chosen by a hash of the text: for fitting only."""
-    n = df.count()
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.lit(7), F.col(text)), F.lit(1_000_000)) < F.lit(int(1_000_000 * most / n)))
-
-
 def repeated(df: DataFrame, doc_id: str, text: str, decided: DataFrame) -> DataFrame:
     """Each document of `df` as often as `decided` (doc_id, tie, copies) says, tie being its text's MD5 digest.
 

@@ -9,15 +9,18 @@ search, and every class shares the search.
 
 Counting runs over every training row: each partition counts the n-grams of its
 distinct words, weighted by how often they occur, and ships one row per n-gram
-and class.  The table that reaches the driver is bounded by `max_cells`: where
-there are more n-grams, those under a count threshold are left to backoff.  The
-threshold comes from a histogram of counts, so it depends on all of them.
+and class.  No n-gram is left out at any size.  Where they take more than
+BLOCK_CELLS, the model is held in blocks: what settles a prediction beyond the
+letter's own frequency (n-grams, contexts, continuation counts) all shares the
+character before the predicted one, so blocks are sets of such characters, built
+one by one from discounts and letter counts that hold for the whole; texts then
+meet the blocks by their distinct words.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,11 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bounded_batches, mix64, slices
+from cairn.llm.common import appended, bounded_batches, checkpointed, mix64, slices, tidy, unused
 
 PAD = 32
-#: Cells (n-gram types times classes) that a model may hold at most; about 16 bytes each.
-MAX_CELLS = 2_000_000
+#: Cells (n-gram types times classes) that a model holds in one block; about 16 bytes each.
+BLOCK_CELLS = 4_000_000
+#: Shares into which a word's row is dealt where texts are joined with words by a shuffle: some words are in every text.
+SALTS = 32
 
 
 @functools.cache
@@ -71,18 +76,19 @@ def grams_of(words: list[str], order: int) -> Grams:
     return Grams(chars, at, np.searchsorted(starts, at, side="right") - 1)
 
 
-def hashes(chars: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+def hashes(chars: np.ndarray, at: np.ndarray, order: int, *, context: bool = False) -> list[np.ndarray]:
     """For k from 0 to `order`, the hash of the k characters that end at `at`.
 
     What lies before a word's first letter counts as blank: runs of letters
     never see each other, because whatever is no letter is a blank and a blank
-    blocks all that comes before it.
+    blocks all that comes before it.  A predicted blank is the end of a run and
+    sees it; as part of a `context` it is what a run starts after, and blocks too.
     """
     out = [np.zeros(len(at), np.uint64)]
     open_ = np.ones(len(at), bool)
     for k in range(order):
         c = np.where(open_, chars[np.maximum(at - k, 0)], PAD).astype(np.uint64)
-        if k:
+        if k or context:
             open_ &= c != PAD
         out.append(mix64(out[-1] * np.uint64(0x9E3779B97F4A7C15) + c + np.uint64((k + 1) << 32)))
     return out
@@ -134,30 +140,21 @@ def count(df: DataFrame, text: str, label: str, classes: list[str], order: int)
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *(pa.array(sums[i : i + 100_000, j]) for j in range(k))], ["gram", *(f"c{j}" for j in range(k))])
 
     schema = "gram string, " + ", ".join(f"c{j} long" for j in range(k))
-    parts = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("string").alias("c")).mapInArrow(part, schema)
-    return parts.groupBy("gram").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(k)))
-
-
-def bounded(counts: DataFrame, k: int, max_cells: int) -> DataFrame:
-    """Those n-grams whose total reaches the least power of two that leaves max_cells / k of them at most."""
-    total = functools.reduce(lambda a, b: a + b, (F.col(f"c{j}") for j in range(k)))
-    level = F.floor(F.log2(total)).cast("int")
-    seen = {r["level"]: r["n"] for r in counts.where(total > 0).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    kept, least = 0, 0
-    for v in sorted(seen, reverse=True):
-        kept += seen[v]
-        if kept * k > max_cells:
-            least = v + 1
-            break
-    return counts.where(total >= 2**least)
+    parts = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("string").alias("c")).mapInArrow(tidy(part), schema)
+    return parts.groupBy("gram").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(k))).where(" or ".join(f"c{j} > 0" for j in range(k)))
 
 
 @dataclass
 class Model:
-    """classes; per order k from 1: sorted n-gram hashes, log probabilities, sorted context hashes, log backoff weights."""
+    """classes; per order k from 1: sorted n-gram hashes, log probabilities, sorted context hashes, log backoff weights.
+
+    `own`: the characters whose successors this block predicts (None for all), and with `others` also those of whatever isn't in it.
+    """
 
     classes: list[str]
     order: int
+    own: np.ndarray | None = None
+    others: np.ndarray | None = None
     uniform: float = 0.0
     types: list[np.ndarray] = field(default_factory=list)
     logp: list[np.ndarray] = field(default_factory=list)
@@ -167,9 +164,14 @@ class Model:
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per word: summed log likelihood per class, and the number of predictions."""
         g = grams_of(words, self.order)
+        if self.own is not None:
+            before = g.chars[np.maximum(g.at - 1, 0)]
+            mine = np.isin(before, self.own)
+            if self.others is not None:
+                mine |= ~np.isin(before, self.others)
+            g = Grams(g.chars, g.at[mine], g.word[mine])
         h = hashes(g.chars, g.at, self.order)
-        # the context of a position is what ends right before it, unless the position starts a word
-        before = hashes(g.chars, np.maximum(g.at - 1, 0), self.order - 1)
+        before = hashes(g.chars, np.maximum(g.at - 1, 0), self.order - 1, context=True)
         uniq, first, back = np.unique(h[self.order], return_index=True, return_inverse=True)
         del uniq
         ll = self._chain([x[first] for x in h], [x[first] for x in before])[back]
@@ -203,34 +205,50 @@ def _contexts(chars: np.ndarray, order: int) -> list[np.ndarray]:
     n = len(chars)
     flat = np.concatenate([np.full((n, 1), PAD, np.uint32), chars], axis=1).ravel()
     at = np.arange(n) * (order + 1) + order
-    return hashes(flat, at, order), hashes(flat, at - 1, order - 1)
+    return hashes(flat, at, order), hashes(flat, at - 1, order - 1, context=True)
+
+
+@dataclass
+class Whole:
+    """What a block needs to know of all n-grams: letters with their counts per class, and discounts by order and class."""
+
+    letters: list[str]
+    counts: np.ndarray
+    discounts: dict[int, np.ndarray]
 
 
-def build(grams: list[str], counts: np.ndarray, classes: list[str], order: int, *, shared: bool) -> Model:
-    """The model of n-gram counts [gram, class]. shared: continuation counts of lower orders are those of all classes together."""
+def build(grams: list[str], counts: np.ndarray, classes: list[str], order: int, *, shared: bool, whole: Whole | None = None) -> Model:
+    """The model of n-gram counts [gram, class]. shared: continuation counts of lower orders are those of all classes together.
+
+    With `whole`, the n-grams are those of a block, and letter counts and discounts are given.
+    """
     model = Model(list(classes), order)
     chars = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, order) if grams else np.zeros((0, order), np.uint32)
     h, ctx = _contexts(chars, order)
     k_cls = len(classes)
-    model.uniform = -float(np.log(max(2, len(np.unique(chars[:, -1])) + 1) if len(chars) else 2))
     levels = []
     present, rows = counts.astype(np.float64), np.arange(len(grams))
     for k in range(order, 0, -1):  # counts from the highest order down
         types, first, summed = _summed(h[k][rows], present)
-        levels.append((k, types, rows[first], summed))
+        levels.append((k, types, ctx[k - 1][rows[first]], h[k - 1][rows[first]], summed))
         rows = rows[first]
         seen = summed > 0
         present = (np.repeat(seen.any(axis=1)[:, None], k_cls, axis=1) if shared else seen).astype(np.float64)
+    if whole:
+        letter = np.frombuffer("".join(whole.letters).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, 1)
+        types, first, summed = _summed(_contexts(letter, 1)[0][1], whole.counts.astype(np.float64))
+        levels[-1] = (1, types, np.zeros(len(types), np.uint64), np.zeros(len(types), np.uint64), summed)
+    model.uniform = -float(np.log(max(2, len(levels[-1][1]) + 1)))
     lower, lower_types = None, None
-    for k, types, at, c in reversed(levels):  # probabilities from the lowest up
-        discount = np.array([_discount(c[:, j]) for j in range(k_cls)])
-        contexts, where = np.unique(ctx[k - 1][at], return_inverse=True)
+    for k, types, context, suffix, c in reversed(levels):  # probabilities from the lowest up
+        discount = whole.discounts[k] if whole else np.array([_discount((c[:, j] == 1).sum(), (c[:, j] == 2).sum()) for j in range(k_cls)])
+        contexts, where = np.unique(context, return_inverse=True)
         total, kinds = np.zeros((len(contexts), k_cls)), np.zeros((len(contexts), k_cls))
         for j in range(k_cls):
             total[:, j] = np.bincount(where, c[:, j], len(contexts))
             kinds[:, j] = np.bincount(where, c[:, j] > 0, len(contexts))
         weight = np.where(total > 0, discount * kinds / np.maximum(total, 1e-300), 1.0)
-        base = np.full((len(types), k_cls), np.exp(model.uniform)) if lower is None else lower[np.searchsorted(lower_types, h[k - 1][at])]
+        base = np.full((len(types), k_cls), np.exp(model.uniform)) if lower is None else lower[np.searchsorted(lower_types, suffix)]
         p = np.where(total[where] > 0, np.maximum(c - discount, 0) / np.maximum(total[where], 1e-300), 0) + weight[where] * base
         lower, lower_types = p, types
         model.types.append(types)
@@ -240,19 +258,117 @@ def build(grams: list[str], counts: np.ndarray, classes: list[str], order: int,
     return model
 
 
-def _discount(c: np.ndarray) -> float:
+def _discount(n1: float, n2: float) -> float:
     """The absolute discount n1 / (n1 + 2 n2), within bounds that keep every probability positive."""
-    n1, n2 = float((c == 1).sum()), float((c == 2).sum())
     return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
 
-def fit(df: DataFrame, text: str, label: str, classes: list[str], *, order: int, shared: bool, max_cells: int = MAX_CELLS) -> Model:
-    """Count over all of `df`, bound the table, bring it to the driver and build the model."""
-    from cairn.llm.common import checkpointed
+def _whole(counts: DataFrame, k: int, order: int, *, shared: bool) -> Whole:
+    """Discounts of every order and the letters' counts, from all n-grams: a row of sums per order, and the alphabet."""
+    level, discounts = counts, {}
+    for n in range(order, 0, -1):
+        row = level.agg(*(F.count_if(F.col(f"c{j}") == v).alias(f"n{v}_{j}") for j in range(k) for v in (1, 2))).first()
+        discounts[n] = np.array([_discount(row[f"n1_{j}"], row[f"n2_{j}"]) for j in range(k)])
+        if n > 1:  # each distinct n-gram continues its last n - 1 characters once; all here have some count
+            level = level.groupBy(F.substring("gram", 2, n - 1).alias("gram")).agg(*((F.count(F.lit(1)) if shared else F.count_if(F.col(f"c{j}") > 0)).alias(f"c{j}") for j in range(k)))
+    rows = level.collect()
+    return Whole([r["gram"] for r in rows], np.array([[r[f"c{j}"] for j in range(k)] for r in rows]), discounts)
+
+
+def _packed(sizes: dict[str, int], most: int) -> list[list[str]]:
+    """Characters in blocks of `most` n-grams or so."""
+    out, left = [], 0
+    for c in sorted(sizes):
+        if not out or sizes[c] > left:
+            out.append([])
+            left = most
+        out[-1].append(c)
+        left -= sizes[c]
+    return out
+
 
-    if not classes:
-        return build([], np.zeros((0, 0)), [], order, shared=shared)
+def fit(df: DataFrame, text: str, label: str, classes: list[str], *, order: int, shared: bool, block_cells: int = BLOCK_CELLS) -> list[Model]:
+    """Count over all of `df` and build the model, in blocks of `block_cells` or so (one character's at least)."""
+    k = len(classes)
+    if not k:
+        return [build([], np.zeros((0, 0)), [], order, shared=shared)]
     counts = checkpointed(count(df, text, label, classes, order))
-    got = bounded(counts, len(classes), max_cells).toArrow()
-    grams = got.column("gram").to_pylist()
-    return build(grams, np.stack([got.column(f"c{j}").to_numpy() for j in range(len(classes))], axis=1).reshape(len(grams), len(classes)), classes, order, shared=shared)
+    before = F.substring("gram", order - 1, 1)
+    sizes = {r["b"]: r["n"] for r in counts.groupBy(before.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # an alphabet
+    blocks = _packed(sizes, max(1, block_cells // k))
+    whole = _whole(counts, k, order, shared=shared) if len(blocks) > 1 else None
+    models = []
+    for own in blocks or [[]]:
+        got = (counts.where(before.isin(own)) if whole else counts).toArrow()
+        grams = got.column("gram").to_pylist()
+        model = build(grams, np.stack([got.column(f"c{j}").to_numpy() for j in range(k)], axis=1).reshape(len(grams), k), classes, order, shared=shared, whole=whole)
+        models.append(model)
+        if whole:
+            model.own = np.array([ord(c) for c in own], np.uint32)
+    if whole:  # whatever no block has seen before a letter is the first one's to predict
+        models[0].others = np.array(sorted(ord(c) for c in sizes), np.uint32)
+    return models
+
+
+def summed(df: DataFrame, text: str, models: list[Model], vector: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int, new: dict[str, str], finish: Callable[[pa.RecordBatch | None, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """`df` with the columns `new` that finish(batch, sums) makes of each text's sum of its words' vectors.
+
+    vector(log likelihoods per class, predictions) gives `size` numbers a word.
+    Null and word-less texts have sums of zero.  A model of one block goes to
+    the workers and texts stay where they are; with more blocks, distinct words
+    meet each block, and texts' words are joined with the sums.
+    """
+    spark = df.sparkSession
+
+    def words(texts: pa.Array, of: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+        row, word, distinct = words_of(pc.fill_null(texts, ""))
+        if not distinct:
+            return np.zeros((len(texts), size))
+        v = of(distinct)
+        return np.stack([np.bincount(row, v[word, i], len(texts)) for i in range(size)], axis=1) if size else np.zeros((len(texts), 0))
+
+    if len(models) == 1:
+        share = spark.sparkContext.broadcast(models[0])
+        return appended(df, text, new, lambda b: finish(b, words(b.column(text), lambda w: vector(*share.value.score(w)))))
+    k = len(models[0].classes)
+    key, sums = unused(df, "text_key"), unused(df, "text_sums")
+    digest = F.md5(F.col(text)).alias(key)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "t"):
+                row, word, distinct = words_of(b.column("t"))
+                both, n = np.unique(row.astype(np.int64) * len(distinct) + word, return_counts=True) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                at = pa.array(both // max(1, len(distinct)))
+                yield pa.RecordBatch.from_arrays([b.column("d").take(at), pa.array(distinct, pa.string()).take(pa.array(both % max(1, len(distinct)))), pa.array(n)], ["d", "word", "n"])
+
+    bounded_batches(spark)
+    held = df.select(digest.alias("d"), F.col(text).alias("t")).where(F.col("t").isNotNull()).mapInArrow(tidy(pairs), "d string, word string, n long")
+    held = checkpointed(held.groupBy("d", "word").agg(F.max("n").alias("n")))  # equal texts once
+    distinct, parts = checkpointed(held.select("word").distinct()), None
+    columns = [f"l{j}" for j in range(k)]
+    for model in models:
+        share = spark.sparkContext.broadcast(model)
+
+        def score(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ll, n = share.value.score(b.column("word").to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column("word"), *(pa.array(np.ascontiguousarray(c)) for c in ll.T), pa.array(n.astype(np.int64))], ["word", *columns, "n"])
+
+        got = distinct.mapInArrow(tidy(score), ", ".join(["word string", *(f"{c} double" for c in columns), "n long"]))
+        parts = got if parts is None else parts.unionByName(got)
+        parts = checkpointed(parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in [*columns, "n"])))
+    names = [f"v{i}" for i in range(size)]
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ll = np.stack([b.column(c).to_numpy() for c in columns], axis=1)
+            v = vector(ll, b.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("word"), *(pa.array(np.ascontiguousarray(c)) for c in v.T)], ["word", *names])
+
+    known = parts.mapInArrow(tidy(vectors), ", ".join(["word string", *(f"{c} double" for c in names)])).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int"))
+    of = salted.join(known, ["word", "salt"]).groupBy("d").agg(F.array(*(F.sum(F.col("n") * F.col(c)) for c in names)).alias(sums)).withColumnRenamed("d", key)
+    joined = df.withColumn(key, F.md5(F.col(text))).join(of, key, "left").withColumn(sums, F.coalesce(sums, F.array(*(F.lit(0.0) for _ in names)))).drop(key)
+    flat = lambda b: np.asarray(b.column(sums).flatten().to_numpy()).reshape(-1, size)
+    return appended(joined, text, new, lambda b: finish(b, flat(b))).drop(sums)

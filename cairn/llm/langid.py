@@ -1,11 +1,14 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 One model per language, all in the same sorted hash arrays; a text gets the
-language under which its cross-entropy per predicted character is lowest.  It
-is rejected if that entropy is far above what the language's own training
-texts show: their mean and deviation, taken on all of them, set the bound, which
-is wider for short texts.  A language with fewer than LEAST such texts takes the
-mean and deviation of the texts of all languages together.
+language under which its cross-entropy per predicted character is lowest.
+
+It is rejected if that entropy is far above what the language's own texts show.
+The bound is calibrated on texts that the models have not counted, one in ASIDE
+by a hash: the median of their entropies, and TIMES the excess over it that all
+but one in ODDS of them keep within.  Excesses are scaled by length, as short
+texts scatter more.  A language with fewer than LEAST such texts takes the
+bound of all languages' texts together.
 """
 
 from __future__ import annotations
@@ -19,83 +22,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import kneser_ney
-from cairn.llm.common import appended, unused
+from cairn.llm.common import checkpointed, unused
 
 ORDER = 4
 UNKNOWN = "und"
-#: Texts from which on a language, or the corpus, has a bound.
-LEAST = 8
-#: Deviations above its language's mean entropy at which a text is rejected, and the length at which they double.
-DEVIATIONS, SHORT = 12.0, 40
+#: One training text in so many is set aside for the bounds; such texts from which on a language, or the corpus, has a bound.
+ASIDE, LEAST = 8, 20
+#: Of set-aside texts one in ODDS exceeds the quantile that TIMES multiplies; the least excess that rejects; the length at which excesses double.
+ODDS, TIMES, FLOOR, SHORT = 1000, 3.0, 0.25, 40
 #: Sharpness of the score, in predicted characters.
 SHARPNESS = 12.0
 
 
 @dataclass
 class Identifier:
-    model: kneser_ney.Model
-    mean: np.ndarray
-    deviation: np.ndarray
+    models: list[kneser_ney.Model]
+    classes: list[str]
+    middle: np.ndarray
+    excess: np.ndarray
 
+    def decided(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text, from its sums: whether it has a language at all, the best one, the score, and whether it is rejected."""
+        h, n = entropies(sums)
+        if not self.classes:
+            return np.zeros(len(n), bool), np.zeros(len(n), np.int64), np.zeros(len(n)), np.ones(len(n), bool)
+        best = h.argmin(axis=1)
+        low = h[np.arange(len(n)), best]
+        some = n > 0
+        score = np.where(some, 1 / np.exp(-SHARPNESS * (h - low[:, None])).sum(axis=1), 0.0)
+        return some, best, score, ~some | (low > self.middle[best] + self.excess[best] * (1 + SHORT / np.maximum(n, 1)))
 
-def entropies(model: kneser_ney.Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+
+def _vector(ll: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return np.concatenate([ll, many[:, None]], axis=1)
+
+
+def entropies(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per text: nats per predicted character under each language, and the number of predictions."""
-    row, word, words = kneser_ney.words_of(pc.fill_null(texts, ""))
-    n, k = len(texts), len(model.classes)
-    if not words:
-        return np.zeros((n, k)), np.zeros(n, np.int64)
-    ll, many = model.score(words)
-    count = np.bincount(row, many[word], n)
-    out = np.stack([np.bincount(row, ll[word, j], n) for j in range(k)], axis=1) if k else np.zeros((n, 0))
-    return -out / np.maximum(count, 1)[:, None], count.astype(np.int64)
+    n = sums[:, -1]
+    return -sums[:, :-1] / np.maximum(n, 1)[:, None], n
 
 
-def fit(df: DataFrame, text: str, lang: str, *, order: int = ORDER, max_cells: int = kneser_ney.MAX_CELLS) -> Identifier:
+def fit(df: DataFrame, text: str, lang: str, *, order: int = ORDER, block_cells: int = kneser_ney.BLOCK_CELLS) -> Identifier:
     """Models and bounds from every row of `df` with a text and a language; the languages are those that occur."""
     rows = df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    aside = F.pmod(F.xxhash64(F.lit(5), F.col("text")), F.lit(ASIDE)) == 0
     classes = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    model = kneser_ney.fit(rows, "text", "lang", classes, order=order, shared=False, max_cells=max_cells)
+    models = kneser_ney.fit(rows.where(~aside), "text", "lang", classes, order=order, shared=False, block_cells=block_cells)
     k = len(classes)
-    mean, deviation = np.full(k, np.inf), np.full(k, np.inf)
+    middle, excess = np.full(k, np.inf), np.full(k, np.inf)
     if k:
-        share = rows.sparkSession.sparkContext.broadcast(model)
 
-        def own(b: pa.RecordBatch) -> list[pa.Array]:
-            h, n = entropies(share.value, b.column("text"))
+        def own(b: pa.RecordBatch, sums: np.ndarray) -> list[pa.Array]:
+            h, n = entropies(sums)
             j = pc.index_in(b.column("lang"), value_set=pa.array(classes)).to_numpy(zero_copy_only=False)
-            best = h.argmin(axis=1) == j
-            return [pa.array(np.where(best & (n >= SHORT), h[np.arange(len(j)), j], np.nan))]
-
-        stats = appended(rows, "text", {"h": "double"}, own).where("not isnan(h)").groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s"), F.count("h").alias("n")).collect()
-        n = sum(r["n"] for r in stats)
-        if n >= LEAST:
-            m = sum(r["n"] * r["m"] for r in stats) / n
-            spread = sum(r["n"] * (r["s"] ** 2 + (r["m"] - m) ** 2) for r in stats) / n
-            mean[:], deviation[:] = m, max(spread**0.5, 0.05)
-        for r in stats:
-            if r["n"] >= LEAST:
-                j = classes.index(r["lang"])
-                mean[j], deviation[j] = r["m"], max(r["s"], 0.05)
-    return Identifier(model, mean, deviation)
+            return [pa.array(np.where((h.argmin(axis=1) == j) & (n > 0), h[np.arange(len(j)), j], np.nan)), pa.array(n)]
+
+        seen = kneser_ney.summed(rows.where(aside), "text", models, _vector, k + 1, {"h": "double", "n": "double"}, own).where("not isnan(h)")
+        seen = checkpointed(seen.select("lang", "h", "n"))
+        quantiles = {}
+        for each in ("lang", F.lit(None).cast("string")):
+            by = seen.withColumn("lang", each) if not isinstance(each, str) else seen
+            middles = by.groupBy("lang").agg(F.percentile_approx("h", F.lit(0.5), F.lit(10_000)).alias("m"))
+            over = by.alias("s").join(F.broadcast(middles).alias("m"), F.col("s.lang").eqNullSafe(F.col("m.lang")))  # a row a language
+            over = over.select("s.lang", "m", ((F.col("h") - F.col("m")) / (1 + F.lit(float(SHORT)) / F.col("n"))).alias("e"))
+            found = over.groupBy("lang").agg(F.first("m").alias("m"), F.percentile_approx("e", F.lit(1 - 1 / ODDS), F.lit(10 * ODDS)).alias("e"), F.count("e").alias("n")).collect()
+            quantiles |= {r["lang"]: (r["m"], max(FLOOR, TIMES * r["e"])) for r in found if r["n"] >= LEAST}
+        for j, c in enumerate(classes):
+            middle[j], excess[j] = quantiles.get(c, quantiles.get(None, (np.inf, np.inf)))
+    return Identifier(models, classes, middle, excess)
 
 
 def known(df: DataFrame, text: str, fitted: Identifier) -> DataFrame:
     """The rows of `df` that `identify` doesn't reject."""
-    share, gone = df.sparkSession.sparkContext.broadcast(fitted), unused(df, "gone")
-    return appended(df, text, {gone: "boolean"}, lambda b: [pa.array(_decided(share.value, b.column(text))[3])]).where(~F.col(gone)).drop(gone)
-
-
-def _decided(who: Identifier, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: whether it has a language at all, the best one, the score, and whether it is rejected."""
-    h, n = entropies(who.model, texts)
-    if not who.model.classes:
-        return np.zeros(len(n), bool), np.zeros(len(n), np.int64), np.zeros(len(n)), np.ones(len(n), bool)
-    best = h.argmin(axis=1)
-    low = h[np.arange(len(n)), best]
-    some = n > 0
-    score = np.where(some, 1 / np.exp(-SHARPNESS * (h - low[:, None])).sum(axis=1), 0.0)
-    far = low > who.mean[best] + DEVIATIONS * who.deviation[best] * (1 + SHORT / np.maximum(n, 1))
-    return some, best, score, ~some | far
+    gone, size = unused(df, "gone"), len(fitted.classes) + 1
+    return kneser_ney.summed(df, text, fitted.models, _vector, size, {gone: "boolean"}, lambda _, sums: [pa.array(fitted.decided(sums)[3])]).where(~F.col(gone)).drop(gone)
 
 
 def identify(df: DataFrame, text: str, fitted: Identifier) -> DataFrame:
@@ -106,12 +107,10 @@ def identify(df: DataFrame, text: str, fitted: Identifier) -> DataFrame:
     sorts first.  Repeated rows are kept; columns named like the new ones are
     replaced.
     """
-    share = df.sparkSession.sparkContext.broadcast(fitted)
+    names = np.array([*fitted.classes, UNKNOWN], dtype=object)
 
-    def work(b: pa.RecordBatch) -> list[pa.Array]:
-        some, best, score, rejected = _decided(share.value, b.column(text))
-        classes = share.value.model.classes
-        names = np.array([*classes, UNKNOWN], dtype=object)[np.where(some, best, len(classes))]
-        return [pa.array(names, pa.string()), pa.array(score), pa.array(rejected)]
+    def finish(_, sums: np.ndarray) -> list[pa.Array]:
+        some, best, score, rejected = fitted.decided(sums)
+        return [pa.array(names[np.where(some, best, len(names) - 1)], pa.string()), pa.array(score), pa.array(rejected)]
 
-    return appended(df, text, {"lang_pred": "string", "score": "double", "rejected": "boolean"}, work)
+    return kneser_ney.summed(df, text, fitted.models, _vector, len(fitted.classes) + 1, {"lang_pred": "string", "score": "double", "rejected": "boolean"}, finish)

@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, html_text, langid, licenses, mixing, orc_tokens, simhash, suffix_dedup, toxicity, vptree
-from cairn.llm.common import fold, shared_dir, small, table
+from cairn.llm.common import checkpointed, fold, shared_dir, small, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = small(table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    fitted = toxicity.fit(docs.where(fold("doc_id", 5) != 0).join(labels, "doc_id"), "text", "toxic")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    few = small(labels)
+    training = docs.where(fold("doc_id", 5) != 0).join(few, "doc_id")
+    if few is labels:  # texts cross the network once, not once for each of the passes of a fit
+        training = checkpointed(training)
+    fitted = toxicity.fit(training, "text", "toxic")
     return toxicity.score(docs.withColumn("held_out", fold("doc_id", 5) == 0), "text", fitted).select("doc_id", "held_out", "score", "predicted")
 
 

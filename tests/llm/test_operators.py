@@ -54,7 +54,7 @@ def test_model_is_a_distribution():
             for letter in "abcd ":
                 chars = np.frombuffer((" " + context + letter).encode("utf-32-le"), np.uint32)
                 end = np.array([3])
-                h, before = kneser_ney.hashes(chars, end, 3), kneser_ney.hashes(chars, end - 1, 2)
+                h, before = kneser_ney.hashes(chars, end, 3), kneser_ney.hashes(chars, end - 1, 2, context=True)
                 total += np.exp(model._chain(h, before))[0]
             # letters that no text has share what is left over with the base
             assert (total <= 1.0 + 1e-5).all() and (total > 0.75).all()
@@ -73,10 +73,78 @@ def test_counting_equals_counting_by_hand(spark):
     assert got == {" a": (2, 1), "ab": (2, 1), "b ": (2, 1)}
 
 
-def test_bound_on_the_table(spark):
-    df = spark.createDataFrame([(f"g{i}", i + 1) for i in range(64)], "gram string, c0 long")
-    assert kneser_ney.bounded(df, 1, 10).count() <= 10
-    assert kneser_ney.bounded(df, 1, 1000).count() == 64
+def plain_model(words, order, discounts):
+    """log p(characters of a word) of an interpolated Kneser-Ney model, straight from its definition."""
+    from collections import Counter
+
+    def grams(word):
+        padded = " " * (order - 1) + word + " "
+        return [padded[i : i + order] for i in range(len(word) + 1)]
+
+    level = {order: Counter(g for w in words for g in grams(w))}
+    for n in range(order - 1, 0, -1):
+        level[n] = Counter(g[1:] for g in level[n + 1])
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(level[1]) + 1)
+        c, base = level[len(gram)], p(gram[1:])
+        total = sum(v for g, v in c.items() if g[:-1] == gram[:-1])
+        if not total:
+            return base
+        kinds, d = sum(g[:-1] == gram[:-1] for g in c), discounts(c)
+        return max(c[gram] - d, 0) / total + d * kinds / total * base
+
+    return lambda word: sum(math.log(p(g)) for g in grams(word))
+
+
+def test_model_equals_its_definition(spark):
+    def discount(c):
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdé", k=rng.randrange(1, 6))) for _ in range(60)]
+    df = spark.createDataFrame([(" ".join(words), "x")], "t string, l string")
+    (model,) = kneser_ney.fit(df, "t", "l", ["x"], order=3, shared=False)
+    want = plain_model(words, 3, discount)
+    for w in [*words[:20], "zq", "ab", "cabz"]:
+        assert abs(model.score([w])[0][0, 0] - want(w)) < 1e-4, w
+
+
+def test_runs_of_letters_do_not_see_each_other():
+    words = ["don", "zq", "abc", "bzq", "on"]
+    g = kneser_ney.grams_of(words, 4)
+    text = kneser_ney.windows(g.chars, g.at, 4).astype("<u4").tobytes().decode("utf-32-le")
+    grams = [text[i : i + 4] for i in range(0, len(text), 4)]
+    model = kneser_ney.build(sorted(set(grams)), np.array([[grams.count(x)] for x in sorted(set(grams))]), ["x"], 4, shared=False)
+    both, n = model.score(["don'zq"])
+    apart, m = model.score(["don", "zq"])
+    assert n.sum() == m.sum() and abs(both.sum() - apart.sum()) < 1e-6
+
+
+def test_blocks_score_as_the_whole(spark, odd):
+    """Models in many blocks, with texts joined to the words, decide as the model in one block does."""
+    docs = spark.createDataFrame(documents(), "doc_id long, text string, lang string, source string")
+    docs = docs.unionByName(odd.drop("score")).unionByName(docs.limit(20))
+    one, many = langid.fit(docs, "text", "lang"), langid.fit(docs, "text", "lang", block_cells=3000)
+    assert len(one.models) == 1 and len(many.models) > 3
+    test = docs.unionByName(spark.createDataFrame([(9000, "жщшц ъыьэ qxzj", None, None)], docs.schema))
+    got = [sorted(((str(r.doc_id), str(r.text), r.lang_pred, round(r.score, 4), r.rejected) for r in langid.identify(test, "text", f).collect())) for f in (one, many)]
+    assert got[0] == got[1]
+    labelled = docs.withColumn("toxic", (F.crc32(F.col("text").cast("binary")) % 2).cast("int"))
+    one, many = toxicity.fit(labelled, "text", "toxic"), toxicity.fit(labelled, "text", "toxic", block_cells=3000)
+    assert len(one[0]) == 1 and len(many[0]) > 3
+    got = [sorted((str(r.doc_id), str(r.text), round(r.score, 3)) for r in toxicity.score(test.drop("score"), "text", f).collect()) for f in (one, many)]
+    assert got[0] == got[1]
+
+
+def test_toxicity_on_held_out_documents(spark):
+    got = queries.op1_toxicity(spark, str(DATA / "sf0.01")).where("held_out").collect()
+    toxic = dict(duckdb.sql(f"select doc_id, toxic from '{DATA}/sf0.01/labels.parquet' where toxic is not null").fetchall())
+    known = [(r.score, toxic[r.doc_id]) for r in got if r.doc_id in toxic]
+    ones, zeros = [s for s, t in known if t], [s for s, t in known if not t]
+    assert sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros)) > 0.7
 
 
 def test_language_on_held_out_documents(spark):
@@ -103,7 +171,7 @@ def test_a_rare_language_lets_no_junk_through(spark):
     others = ["arbol", "casa", "rio", "piedra", "luz", "papel", "agua", "verde"]
     rows = [(" ".join(rng.choices(words, k=30)), "en") for _ in range(200)] + [(" ".join(rng.choices(others, k=30)), "es") for _ in range(3)]
     fitted = langid.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
-    assert np.isfinite(fitted.mean).all() and np.isfinite(fitted.deviation).all()
+    assert np.isfinite(fitted.middle).all() and np.isfinite(fitted.excess).all()
     test = spark.createDataFrame([("qxzj vvkw " * 30,), ("жщшц ъыьэ " * 30,), (rows[0][0],), (rows[-1][0],)], "text string")
     assert [r.rejected for r in langid.identify(test, "text", fitted).collect()] == [True, True, False, False]
 
