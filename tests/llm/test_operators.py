@@ -557,6 +557,36 @@ def test_factor_one_is_exact(spark, monkeypatch):
     assert got == brute([r[0] for r in rows], [r[1] for r in rows], [r for r in rows if r[0] % 100 == 0], 5)
 
 
+def test_factor_one_is_exact_over_shards_and_ties(spark):
+    """Several cells and shards, few blocks of queries: all equal brute force, with many equal, parallel and mirrored vectors."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(6, 4))
+    v = [[float(x) for x in centres[i % 6] + rng.normal(size=4) * 0.05] for i in range(900)]
+    v += [[float(2**j) * x for x in (1.0, 2.0, -1.0, 0.5)] for j in range(40)] + [[1.0, float(s), 0.0, 0.0] for s in (1, -1)] * 30
+    rows = [(i, x) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").withColumn("ask", F.col("vec_id") % 45 == 0)
+    got = {}
+    for r in vptree.nearest(df, "vec_id", "v", "ask", factor=1.0, pivots=12, shard_bytes=1500).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute([r[0] for r in rows], v, [r for r in rows if r[0] % 45 == 0], 5)
+
+
+def test_parallel_vectors_are_ties(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=5)
+    rows = [(0, [float(x) for x in base])] + [(100 + i, [float(x) for x in base * (40 - i) / 7]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = vptree.nearest(df, "vec_id", "v", "vec_id = 0", factor=1.0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [100, 101, 102, 103, 104]
+
+
+def test_cosines_of_extreme_vectors(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [5e-324, 0.0]), (4, [-1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = [(r.vec_id, round(r.score, 6)) for r in vptree.nearest(df, "vec_id", "v", "vec_id = 0").orderBy("rank").collect()]
+    assert got == [(1, 1.0), (2, 0.707107), (3, 0.707107), (4, -1.0)]
+
+
 def test_nearest_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (8, [])]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>")
