@@ -1,10 +1,11 @@
 """Removal of repeated passages by longest-previous-factor arrays.
 
 A byte goes if a string of `length` bytes around it also starts earlier in the
-corpus.  In suffix order, strings that share their first `length` bytes stand
-together, and a position has a previous factor of that length exactly if its
-previous or next smaller position (by document, then place) stands in the same
-stretch: all of a stretch but its smallest position do.
+corpus.  The longest previous factor of a position is the longest string that
+starts there and also earlier.  In suffix order it is shared with the previous
+or the next smaller position (by document, then place), whichever has more in
+common; a string of `length` bytes is a later copy exactly where the longest
+previous factor has that length.
 
 One suffix array of a corpus fits no machine, so suffixes are brought together
 by content first.  Of every window of `length` bytes the least hashed run of
@@ -16,9 +17,15 @@ the shard of its anchor:
    for.  Equal stretches of a task are settled there (all but the first go).
 2. by anchor: those that occur once are done.
 3. by document: the text of the other stretches is cut out,
-4. by anchor: their suffix array, the covered windows,
+4. by anchor: their suffix array, smaller positions and longest previous
+   factors, and the windows these cover,
 5. by document: covered bytes are cut away.
 
+An anchor that takes a large part of a shard by itself (as a SAMPLE of texts
+tells; a wrong guess changes no result) is split by content: each distinct
+window around it goes by its own hash, as a hash and a place without text, and
+equal ones are settled in step 2 like suffixes of equal rank.
+
 Texts are shuffled once, as steps 1, 3 and 5 read the same exchange.  Equal
 documents are settled before: all but the first are covered from end to end.
 """
@@ -34,16 +41,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bounded_batches, mix64
+from cairn.llm.common import bounded_batches, checkpointed, mix64, slices, tidy
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text whose anchors are computed at once, and anchors that a task holds before it sends them on.
 PIECE, HELD = 1 << 20, 400_000
+#: Windows around hot anchors that a task holds before it sends them on.
+HELD_WINDOWS = 1_000_000
 #: Bytes of text a shard stands for at most.
-SHARD_BYTES = 1 << 30
+SHARD_BYTES = 64 << 20
+#: One text in SAMPLE is looked at for hot anchors: those with more than a HOT-th of a shard's stretches, and LEAST_HOT in the sample.
+SAMPLE, HOT, LEAST_HOT = 50, 4, 16
 
 _ANCHOR = np.dtype([("h", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("s", "<u4"), ("n", "u1")])
 _CONTEXT = np.dtype([("id", "<i8"), ("tie", "<i8"), ("s", "<u4"), ("n", "u1")])
+_WINDOW = np.dtype([("w", "<u8"), ("h", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("s", "<u4")])
 _STRETCH = np.dtype([("h", "<u8"), ("s", "<u4"), ("n", "u1")])
 _SPAN = np.dtype([("a", "<i8"), ("b", "<i8")])
 _ODD, _WHERE = 0x9E3779B97F4A7C15, np.uint64((1 << 28) - 1)
@@ -60,15 +72,15 @@ class Powers:
         self.byte = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, powers: Powers, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, ends: np.ndarray, powers: Powers, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of windows with the same anchor in texts that stand one after another, each ending at one of `ends`.
 
-    Returns first and last window start, the anchor's hash, and the hash of the bytes from the first window's start to the last one's end.
+    Returns first and last window start, the anchor's hash, the hash of the bytes from the first window's start to the last one's end, and prefix sums from which `hashed` takes the hash of any bytes.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(powers.byte[data] * powers.up[:n])])
         grams = mix64((sums[GRAM:] - sums[:-GRAM]) * powers.down[: n - GRAM + 1])
@@ -90,9 +102,13 @@ def anchors(data: np.ndarray, ends: np.ndarray, powers: Powers, length: int) ->
     new = np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]) & whole
     first = np.flatnonzero(new)
     stop = np.flatnonzero(whole & ~np.concatenate([whole[1:] & ~new[1:], [False]]))
+    return first, stop, grams[at[first]], hashed(sums, powers, first, stop + length), sums
+
+
+def hashed(sums: np.ndarray, powers: Powers, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from each of `a` to each of `b`."""
     with np.errstate(over="ignore"):
-        content = mix64((sums[stop + length] - sums[first]) * powers.down[first] + (stop - first).astype(np.uint64))
-    return first, stop, grams[at[first]], content
+        return mix64((sums[b] - sums[a]) * powers.down[a] + (b - a).astype(np.uint64))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -140,11 +156,44 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     return order, new
 
 
-def repeated(order: np.ndarray, new: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Suffixes whose previous or next smaller place stands in their stretch: those that aren't their stretch's least."""
-    first = np.flatnonzero(new)
-    least = np.minimum.reduceat(place[order], first) if len(first) else first
-    return order[place[order] > np.repeat(least, np.diff(np.append(first, len(order))))]
+def common_prefixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Per suffix, in order: the bytes, up to `length`, that it has in common with the one before; none for the first."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
+    out = np.zeros(len(starts), np.int64)
+    left = np.arange(1, len(starts))
+    for offset in range(0, length, 8):
+        at = np.minimum(offset, length - 8)
+        differ = words[starts[left] + at].astype(np.uint64) ^ words[starts[left - 1] + at].astype(np.uint64)
+        same = sum((differ < np.uint64(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8)) + (differ == 0)
+        out[left] = at + same
+        left = left[differ == 0]
+    return out
+
+
+def smaller(place: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix, in order: the nearest one before it with a smaller place (-1: none), and what both have in common.
+
+    Steps go from one candidate to that one's own, all suffixes at once, as
+    long as what is in common reaches `least`; where it doesn't, it is 0.
+    """
+    before, shared = np.arange(len(place)) - 1, common.copy()
+    left = np.arange(len(place))
+    while len(left):
+        left = left[(before[left] >= 0) & (shared[left] >= least)]
+        left = left[place[before[left]] >= place[left]]
+        at = before[left]
+        before[left], shared[left] = before[at], np.minimum(shared[left], shared[at])
+    shared[(before < 0) | (shared < least)] = 0
+    return before, shared
+
+
+def previous_factors(place: np.ndarray, common: np.ndarray, least: int = 1) -> np.ndarray:
+    """The longest-previous-factor array: per suffix, in order, the bytes it has in common with one that starts earlier; 0 if under `least`."""
+    _, back = smaller(place, common, least)
+    turned = np.concatenate([[0], common[1:][::-1]]) if len(common) else common
+    _, ahead = smaller(place[::-1], turned, least)
+    return np.maximum(back, ahead[::-1])
 
 
 def _stretches(first: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -170,47 +219,103 @@ def _span_rows(ids: np.ndarray, ties: np.ndarray, a: np.ndarray, b: np.ndarray)
     return ids[order][first].tolist(), ties[order][first].tolist(), blobs
 
 
-_SENT = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("tie", pa.int64()), ("blob", pa.binary())])
+_SENT = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("tie", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 _FOUND = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
-_SPANS, _STRETCHES = 0, 1
+#: What a blob holds: spans that go, anchors with their stretches, windows of hot anchors, text around anchors.
+_SPANS, _STRETCHES, _WINDOWS, _TEXT = 0, 1, 2, 3
+
+
+def _sent(shard: np.ndarray | list, ids: list | None, ties: list | None, kind: int, blobs: list) -> pa.RecordBatch:
+    n = len(blobs)
+    ends = [pa.array(c, pa.int64()) if c is not None else pa.nulls(n, pa.int64()) for c in (ids, ties)]
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *ends, pa.array(np.full(n, kind, np.int32)), pa.array(blobs, pa.binary())], schema=_SENT)
+
+
+def _dealt(recs: np.ndarray, key: str, kind: int, shards: int) -> pa.RecordBatch:
+    """Records packed by the shard of their key."""
+    shard = (recs[key] % np.uint64(shards)).astype(np.int32)
+    by = np.argsort(shard, kind="stable")
+    recs, shard = recs[by], shard[by]
+    first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+    return _sent(shard[first], None, None, kind, [recs[x:y].tobytes() for x, y in _stretches(first, len(recs))])
 
 
-def _find(shards: int, length: int):
-    """Step 1: (shard, null, null, anchors) and, of stretches settled here, (shard, id, tie, spans)."""
+def _settled(recs: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records that stand behind an equal one (by all of `same`) of an earlier place, and the first of each kind."""
+    order = np.lexsort((recs["s"], recs["tie"], recs["id"], *same[::-1]))
+    r = recs[order]
+    equal = np.ones(max(0, len(r) - 1), bool)
+    for c in same:
+        equal &= c[order][1:] == c[order][:-1]
+    equal = np.concatenate([[False], equal])[: len(r)]
+    gone, kept = r[equal], r[~equal]
+    lead = np.maximum.accumulate(np.where(equal, 0, np.arange(len(r))))[equal]
+    later = (r["id"][lead] != gone["id"]) | (r["tie"][lead] != gone["tie"]) | (r["s"][lead] != gone["s"])
+    return gone[later], kept  # a repeated row is no earlier copy of itself
+
+
+def hot_anchors(length: int):
+    """Anchors of texts with how many stretches each has: (h, n)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, sizes = Powers(PIECE + length), [], 0
+        powers = Powers(PIECE + length)
+        for whole in batches:
+            for b in slices(whole, "text", PIECE):
+                for text in b.column("text"):
+                    raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
+                    found = [anchors(piece := raw[at : at + PIECE + length - 1], np.array([len(piece)]), powers, length)[2] for at in range(0, max(1, len(raw) - length + 1), PIECE)]
+                    h, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    return part
+
+
+def _find(shards: int, length: int, hot: np.ndarray):
+    """Step 1: (shard, null, null, anchors or windows of hot ones) and, of what is settled here, (shard, id, tie, spans)."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, held, sizes, windows, many = Powers(PIECE + length), [], 0, [], 0
+
+        def gone_spans(gone: np.ndarray, n: np.ndarray | int) -> Iterator[pa.RecordBatch]:
+            start = gone["s"].astype(np.int64)
+            ids, ties, blobs = _span_rows(gone["id"], gone["tie"], start, start + n + length)
+            if ids:
+                yield _sent((np.asarray(ids, np.int64).view(np.uint64) % np.uint64(shards)).astype(np.int32), ids, ties, _SPANS, blobs)
 
         def send() -> Iterator[pa.RecordBatch]:
             recs, content = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             held.clear()
-            order = np.lexsort((recs["s"], recs["tie"], recs["id"], content, recs["h"]))
-            r, c = recs[order], content[order]
-            same = np.concatenate([[False], (r["h"][1:] == r["h"][:-1]) & (c[1:] == c[:-1]) & (r["n"][1:] == r["n"][:-1])])
-            gone, kept = r[same], r[~same]
-            lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(r))))[same]
-            later = (r["id"][lead] != gone["id"]) | (r["tie"][lead] != gone["tie"]) | (r["s"][lead] != gone["s"])
-            gone = gone[later]  # a repeated row is no earlier copy of itself
-            ids, ties, blobs = _span_rows(gone["id"], gone["tie"], gone["s"].astype(np.int64), gone["s"].astype(np.int64) + gone["n"] + length)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64).view(np.uint64) % np.uint64(shards), pa.int32(), safe=False), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(blobs, pa.binary())], schema=_SENT)
-            shard = (kept["h"] % np.uint64(shards)).astype(np.int32)
-            by = np.argsort(shard, kind="stable")
-            kept, shard = kept[by], shard[by]
-            first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-            parts = [kept[x:y].tobytes() for x, y in _stretches(first, len(kept))]
-            none = pa.nulls(len(parts), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(shard[first]), none, none, pa.array(parts, pa.binary())], schema=_SENT)
+            gone, kept = _settled(recs, recs["h"], content, recs["n"])
+            yield from gone_spans(gone, gone["n"].astype(np.int64))
+            yield _dealt(kept, "h", _STRETCHES, shards)
+
+        def send_windows() -> Iterator[pa.RecordBatch]:
+            recs = np.concatenate(windows)
+            windows.clear()
+            gone, kept = _settled(recs, recs["w"], recs["h"])
+            yield from gone_spans(gone, 0)
+            yield _dealt(kept, "w", _WINDOWS, shards)
 
         def take(texts: list[tuple[int, int, int, bytes]]) -> None:
             data = np.frombuffer(b"".join(t[3] for t in texts), np.uint8)
             ends = np.cumsum([len(t[3]) for t in texts])
-            first, stop, h, content = anchors(data, ends, powers, length)
+            first, stop, h, content, sums = anchors(data, ends, powers, length)
+            begin = np.array([t[2] for t in texts], np.int64) - (ends - [len(t[3]) for t in texts])
+            ids, ties = np.array([t[0] for t in texts], np.int64), np.array([t[1] for t in texts], np.int64)
+            is_hot = np.isin(h, hot)
+            if is_hot.any():
+                n = (stop - first)[is_hot] + 1
+                at = np.repeat(first[is_hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                of = np.searchsorted(ends, at, side="right")
+                recs = np.zeros(len(at), _WINDOW)
+                recs["w"], recs["h"] = hashed(sums, powers, at, at + length), np.repeat(h[is_hot], n)
+                recs["id"], recs["tie"], recs["s"] = ids[of], ties[of], at + begin[of]
+                windows.append(recs)
+                first, stop, h, content = first[~is_hot], stop[~is_hot], h[~is_hot], content[~is_hot]
             of = np.searchsorted(ends, first, side="right")
             recs = np.zeros(len(first), _ANCHOR)
             recs["h"], recs["n"] = h, stop - first
-            recs["id"], recs["tie"] = np.array([t[0] for t in texts], np.int64)[of], np.array([t[1] for t in texts], np.int64)[of]
-            recs["s"] = first - (ends - [len(t[3]) for t in texts])[of] + np.array([t[2] for t in texts], np.int64)[of]
+            recs["id"], recs["tie"], recs["s"] = ids[of], ties[of], first + begin[of]
             held.append((recs, content))
 
         waiting, size = [], 0
@@ -222,9 +327,13 @@ def _find(shards: int, length: int):
                     if len(piece) < length:
                         continue
                     if size + len(piece) > PIECE + length and waiting:
+                        before = len(windows)
                         take(waiting)
-                        sizes += len(held[-1][0])
+                        sizes, many = sizes + len(held[-1][0]), many + sum(map(len, windows[before:]))
                         waiting, size = [], 0
+                        if many >= HELD_WINDOWS:
+                            yield from send_windows()
+                            many = 0
                     waiting.append((id_, tie, at, piece))
                     size += len(piece)
                 if sizes >= HELD:
@@ -234,26 +343,46 @@ def _find(shards: int, length: int):
             take(waiting)
         if held:
             yield from send()
+        if windows:
+            yield from send_windows()
 
     return part
 
 
-def _shared(key: tuple, t: pa.Table) -> pa.Table:
-    """Step 2: of a shard's anchors those that occur more than once, packed by document; spans pass through."""
-    spans = t.filter(pc.is_valid(t.column("id")))
-    recs = np.frombuffer(b"".join(t.filter(pc.is_null(t.column("id"))).column("blob").to_pylist()), _ANCHOR)
-    order = np.argsort(recs["h"], kind="stable")
-    h = recs["h"][order]
-    same = h[1:] == h[:-1]
-    recs = recs[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]] if len(h) else recs
-    order, first = _by_document(recs["id"], recs["tie"])
-    recs = recs[order]
-    packed = np.zeros(len(recs), _STRETCH)
-    packed["h"], packed["s"], packed["n"] = recs["h"], recs["s"], recs["n"]
-    blobs = [packed[x:y].tobytes() for x, y in _stretches(first, len(recs))]
-    found = pa.table([pa.array(recs["id"][first]), pa.array(recs["tie"][first]), pa.array(np.full(len(first), _STRETCHES, np.int32)), pa.array(blobs, pa.binary())], schema=_FOUND)
-    passed = pa.table([spans.column("id"), spans.column("tie"), pa.array(np.full(spans.num_rows, _SPANS, np.int32)), spans.column("blob")], schema=_FOUND)
-    return pa.concat_tables([found, passed])
+def _held(t: pa.Table, kind: int) -> list[bytes]:
+    return t.filter(pc.equal(t.column("kind"), kind)).column("blob").to_pylist()
+
+
+def _passed(t: pa.Table) -> pa.Table:
+    """Spans that were settled before."""
+    return t.filter(pc.equal(t.column("kind"), _SPANS)).select(["id", "tie", "kind", "blob"])
+
+
+def _found(ids: list, ties: list, kind: int, blobs: list) -> pa.Table:
+    return pa.table([pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(np.full(len(blobs), kind, np.int32)), pa.array(blobs, pa.binary())], schema=_FOUND)
+
+
+def _shared(length: int):
+    """Step 2: of a shard's anchors those that occur more than once, packed by document; spans of later windows of hot anchors; spans that pass through."""
+
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        recs = np.frombuffer(b"".join(_held(t, _STRETCHES)), _ANCHOR)
+        order = np.argsort(recs["h"], kind="stable")
+        h = recs["h"][order]
+        same = h[1:] == h[:-1]
+        recs = recs[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]] if len(h) else recs
+        order, first = _by_document(recs["id"], recs["tie"])
+        recs = recs[order]
+        packed = np.zeros(len(recs), _STRETCH)
+        packed["h"], packed["s"], packed["n"] = recs["h"], recs["s"], recs["n"]
+        found = _found(recs["id"][first].tolist(), recs["tie"][first].tolist(), _STRETCHES, [packed[x:y].tobytes() for x, y in _stretches(first, len(recs))])
+        windows = np.frombuffer(b"".join(_held(t, _WINDOWS)), _WINDOW)
+        gone, _ = _settled(windows, windows["w"], windows["h"])
+        start = gone["s"].astype(np.int64)
+        ids, ties, blobs = _span_rows(gone["id"], gone["tie"], start, start + length)
+        return pa.concat_tables([found, _found(ids, ties, _SPANS, blobs), _passed(t)])
+
+    return work
 
 
 def _cut(shards: int, length: int):
@@ -279,7 +408,7 @@ def _cut(shards: int, length: int):
                         waiting.setdefault(shard, []).append(heads[k * _CONTEXT.itemsize : (k + 1) * _CONTEXT.itemsize] + raw[s : s + n + length])
                         size += n + length + _CONTEXT.itemsize
             if kept[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int32()), pa.array(kept[1], pa.int64()), pa.array(kept[2], pa.int64()), pa.array(kept[3], pa.binary())], schema=_SENT)
+                yield _sent(kept[0], kept[1], kept[2], _SPANS, kept[3])
             if size > 32 << 20:
                 yield flush(waiting)
                 size = 0
@@ -287,8 +416,7 @@ def _cut(shards: int, length: int):
             yield flush(waiting)
 
     def flush(waiting: dict[int, list[bytes]]) -> pa.RecordBatch:
-        none = pa.nulls(len(waiting), pa.int64())
-        out = pa.RecordBatch.from_arrays([pa.array(list(waiting), pa.int32()), none, none, pa.array([b"".join(v) for v in waiting.values()], pa.binary())], schema=_SENT)
+        out = _sent(list(waiting), None, None, _TEXT, [b"".join(v) for v in waiting.values()])
         waiting.clear()
         return out
 
@@ -307,29 +435,30 @@ def _heads(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def _covered(length: int):
-    """Step 4: the suffix array of a shard; (id, tie, spans) of covered windows, and the spans that pass through."""
+    """Step 4: the suffix array of a shard; (id, tie, spans) of windows with a previous factor, and the spans that pass through."""
 
     def work(key: tuple, t: pa.Table) -> pa.Table:
-        spans = t.filter(pc.is_valid(t.column("id")))
-        passed = pa.table([spans.column("id"), spans.column("tie"), pa.array(np.full(spans.num_rows, _SPANS, np.int32)), spans.column("blob")], schema=_FOUND)
-        data = np.frombuffer(b"".join(t.filter(pc.is_null(t.column("id"))).column("blob").to_pylist()), np.uint8)
+        data = np.frombuffer(b"".join(_held(t, _TEXT)), np.uint8)
         if not len(data):
-            return passed
+            return _passed(t)
         at = _heads(data, length)
         head = data[at[:, None] + np.arange(_CONTEXT.itemsize)].copy().view(_CONTEXT).ravel()
+        by, first = _by_document(head["id"], head["tie"])
+        rank = np.zeros(len(at), np.int64)
+        rank[by] = np.cumsum(np.isin(np.arange(len(by)), first)) << 32
+        by = np.lexsort((head["s"], rank))  # by place, so that equal suffixes stand in its order
+        at, head, rank = at[by], head[by], rank[by]
         many = head["n"].astype(np.int64) + 1
         of = np.repeat(np.arange(len(at)), many)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-        order, first = _by_document(head["id"], head["tie"])
-        rank = np.zeros(len(at), np.int64)
-        rank[order] = np.cumsum(np.isin(np.arange(len(order)), first)) << 32
         starts = at[of] + _CONTEXT.itemsize + offset
         position = head["s"].astype(np.int64)[of] + offset
-        gone = repeated(*suffix_order(data, starts, length), rank[of] + position)
+        order, _ = suffix_order(data, starts, length)
+        factors = previous_factors((rank[of] + position)[order], common_prefixes(data, starts[order], length), length)
+        gone = order[factors >= length]
         where = of[gone]
         ids, ties, blobs = _span_rows(head["id"][where], head["tie"][where], position[gone], position[gone] + length)
-        found = pa.table([pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(np.full(len(ids), _SPANS, np.int32)), pa.array(blobs, pa.binary())], schema=_FOUND)
-        return pa.concat_tables([found, passed])
+        return pa.concat_tables([_found(ids, ties, _SPANS, blobs), _passed(t)])
 
     return work
 
@@ -364,6 +493,15 @@ def _remove(length: int):
     return part
 
 
+def _hot(df: DataFrame, text: str, length: int, shards: int) -> np.ndarray:
+    """Anchors that would take a HOT-th of a shard or more by themselves, by a sample; no more than HOT * shards of them."""
+    some = df.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(SAMPLE)) == 0).distinct()
+    counts = some.mapInArrow(tidy(hot_anchors(length)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = checkpointed(counts.where(F.col("n") > 1))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return np.array([r["h"] for r in counts.where(F.col("n") > max(LEAST_HOT, total / (HOT * shards))).select("h").collect()], np.int64).view(np.uint64)
+
+
 def repeats(df: DataFrame, doc_id: str, text: str, *, length: int = LENGTH) -> DataFrame:
     """Per row of `df`: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans array<(start, end)> of removed bytes.
 
@@ -384,13 +522,15 @@ def repeats(df: DataFrame, doc_id: str, text: str, *, length: int = LENGTH) -> D
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
     firsts = rows.groupBy("md5").agg(F.min(F.struct("id", "tie")).alias("f")).select("f.id", "f.tie")
     texts = rows.select("doc_id", "id", "tie", "text").repartition(shards, "id", "tie")  # written once: all who read it take every column, and none needs a null test
-    sent = texts.join(firsts.hint("shuffle_hash"), ["id", "tie"]).select("doc_id", "id", "tie", "text").mapInArrow(_find(shards, length), "shard int, id long, tie long, blob binary")
-    found = sent.groupBy("shard").applyInArrow(_shared, "id long, tie long, kind int, blob binary")
+    sent_as = "shard int, id long, tie long, kind int, blob binary"
+    hot = _hot(df, text, length, shards)
+    sent = texts.join(firsts.hint("shuffle_hash"), ["id", "tie"]).select("doc_id", "id", "tie", "text").mapInArrow(tidy(_find(shards, length, hot)), sent_as)
+    found = sent.groupBy("shard").applyInArrow(_shared(length), "id long, tie long, kind int, blob binary")
     wanted = found.groupBy("id", "tie").agg(F.collect_list(F.struct("kind", "blob")).alias("found"))  # no more than a document holds
-    cut = texts.join(wanted.hint("shuffle_hash"), ["id", "tie"]).mapInArrow(_cut(shards, length), "shard int, id long, tie long, blob binary")
+    cut = texts.join(wanted.hint("shuffle_hash"), ["id", "tie"]).mapInArrow(tidy(_cut(shards, length)), sent_as)
     covered = cut.groupBy("shard").applyInArrow(_covered(length), "id long, tie long, kind int, blob binary")
     status = firsts.select("id", "tie", F.lit(1).alias("first"), F.lit(None).cast("binary").alias("blob")).unionByName(covered.select("id", "tie", F.lit(0).alias("first"), "blob"))
     status = status.groupBy("id", "tie").agg(F.max("first").alias("first"), F.collect_list("blob").alias("blobs"))
     done = texts.join(status.hint("shuffle_hash"), ["id", "tie"], "left").select("doc_id", "text", (F.coalesce("first", F.lit(0)) == 1).alias("first"), "blobs")
     kind = dict(df.select(F.col(doc_id).alias("d")).dtypes)["d"]
-    return done.mapInArrow(_remove(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
+    return done.mapInArrow(tidy(_remove(length)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")

@@ -32,7 +32,7 @@ from cairn.llm.common import bounded_batches, checkpointed, tidy
 #: Pivots at most; bytes of a shard's vectors; bytes of the queries that meet a shard at once; vectors of a leaf.
 PIVOTS, SHARD_BYTES, QUERY_BYTES, LEAF = 1024, 8 << 20, 32 << 20, 64
 #: Relaxation of the pruning.
-FACTOR = 0.9
+FACTOR = 0.8
 #: Slack of bounds, and decimals beyond which cosines are ties: more than rounding takes.
 SLACK, DECIMALS = 1e-9, 12
 

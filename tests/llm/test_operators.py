@@ -641,6 +641,44 @@ def test_repeats_edges(spark, odd, empty):
     assert long_.n_removed == long_.n_bytes - 5  # a string that also starts earlier begins at the second word
 
 
+def test_previous_factors_equal_the_plain_ones():
+    rng = random.Random(2)
+    for _ in range(20):
+        text = "".join(rng.choices("ab", k=40)) + "abababab" * 2
+        length, n = 16, 40
+        data = np.frombuffer(text.encode(), np.uint8)
+        place = np.array(rng.sample(range(100), n))  # any order of places, not only that of the text
+        starts = np.arange(n)
+        by = np.argsort(place)
+        order, _ = suffix_dedup.suffix_order(data, starts[by], length)
+        order = by[order]
+        lpf = suffix_dedup.previous_factors(place[order], suffix_dedup.common_prefixes(data, order, length))
+
+        def common(i, j, text=text):
+            return next((k for k in range(length) if text[i + k] != text[j + k]), length)
+
+        want = [max((common(i, j) for j in range(n) if place[j] < place[i]), default=0) for i in order]
+        assert lpf.tolist() == want
+        cut = suffix_dedup.previous_factors(place[order], suffix_dedup.common_prefixes(data, order, length), 5)
+        assert cut.tolist() == [w if w >= 5 else 0 for w in want]
+
+
+def test_hot_anchors_split_by_content(spark, monkeypatch):
+    """A line in every text, with other neighbours in each: split or not, what goes is what brute force removes."""
+    rng = random.Random(12)
+    line = "this line of boilerplate stands in every single text of the corpus, whatever else it says "
+    docs = [(i, "".join(rng.choices("abcdefgh ", k=rng.randrange(0, 150))) + line * rng.randrange(1, 3) + "".join(rng.choices("abc ", k=rng.randrange(0, 150)))) for i in range(60)]
+    docs += [(100 + i, docs[i][1][20:] + "tail") for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "LEAST_HOT", 3)
+    assert len(suffix_dedup._hot(df, "text", 100, 8))
+    assert result(suffix_dedup.repeats(df, "doc_id", "text")) == removed(docs, 100)
+    monkeypatch.setattr(suffix_dedup, "LEAST_HOT", 10**9)
+    assert not len(suffix_dedup._hot(df, "text", 100, 8))
+    assert result(suffix_dedup.repeats(df, "doc_id", "text")) == removed(docs, 100)
+
+
 # --- licences ---------------------------------------------------------------
 
 
