@@ -1,18 +1,25 @@
 """Main text of web pages by text-to-tag ratios.
 
 Parser events cut a page into lines, one per block element; a line knows its
-text, the tags within it, its innermost article (or main part) and its parent.
-The ratio of characters to tags, up to FULL, is smoothed with a Gaussian over the page; lines
-at or above a standard deviation, by themselves and smoothed, are content.
-All articles are content regions; on a page without any, the content lines settle them:
-all lines within a parent of one, headings included, and what stands between two of its lines.  Lines inside menus, headers,
-footers, sidebars, notices, adverts, forms, comments and the like are no
-candidates.
+text, the tags within it, its innermost article (or main part) and its
+container, the innermost block that is more than a paragraph, heading, item or
+list (a list of nothing but links is a container too).  The ratio of characters
+to tags, up to FULL, is smoothed with a Gaussian; the threshold between the
+clusters is a standard deviation of the smoothed ratios.
+
+Articles are content, but for the containers in them whose smoothed ratios lie
+under the threshold on average: blocks of links, readers' comments.  On a page
+without any, lines at or above the threshold, by themselves and smoothed, settle
+the content regions: all lines within a container of one, headings included, and
+what stands between two of its lines.  Lines inside menus, headers, footers,
+sidebars, notices, adverts, forms, comments and the like, as far as they are
+marked, are no candidates.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -37,7 +44,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 AROUND = frozenset(
     "ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login social share sharing related recommended recommendations comment comments commentlist disqus replies reply widget toolbar pagination pager search complementary contentinfo".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li dd dt figcaption caption td th tr tbody thead tfoot legend summary hr address".split())
+LISTS = frozenset("ul ol dl dir table blockquote pre figure hgroup".split())
 ARTICLES = frozenset(("article", "main"))
 _SPACE, _WORD, _CUT = re.compile(r"\s+"), re.compile(r"[a-z]+"), re.compile(r"<[/!a-zA-Z][^>]*\Z")
 
@@ -47,8 +55,7 @@ class Line:
     text: str
     tags: int
     article: int
-    parent: int
-    within: tuple[int, ...] = ()
+    container: int
 
 
 @dataclass
@@ -57,24 +64,30 @@ class Element:
     number: int
     skipped: bool
     article: int
+    #: Places among the open elements of the innermost block, numbers of the innermost container and list, whether within a link.
+    block: int = 0
+    container: int = 0
+    holder: int = 0
+    link: bool = False
     parts: list[str] = field(default_factory=list)
+    #: Inline elements open right within a block, by tag.
+    inline: Counter | None = None
 
 
 class Lines(HTMLParser):
-    """Collects the candidate lines of a page; `lines` is whole after close()."""
+    """Collects the candidate lines of a page; `lines` is whole after close(). `up` has each container's own container."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open, self.lines, self.parts, self.tags, self.numbers = [Element("", 0, False, 0)], [], [], 0, 0
+        self.open, self.lines, self.parts, self.tags, self.numbers, self.plain = [Element("", 0, False, 0, inline=Counter())], [], [], 0, 0, False
+        self.up, self.blocks = {0: -1}, Counter()
 
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip() if self.parts else ""
         top = self.open[-1]
         if text and not top.skipped:
-            parent = next((e for e in reversed(self.open) if e.tag in BLOCKS and e.tag not in HEADINGS and e.tag not in ("p", "li")), self.open[0])
-            within = tuple(e.number for e in self.open[1:] if e.tag not in ("html", "body"))
-            self.lines.append(Line(text, self.tags, top.article, parent.number, within))
-        self.parts, self.tags = [], 0
+            self.lines.append(Line(text, self.tags, top.article, top.container if self.plain else top.holder))
+        self.parts, self.tags, self.plain = [], 0, False
 
     def _skips(self, tag: str, attrs: list[tuple[str, str | None]], article: int) -> bool:
         if tag in SKIPPED or (tag == "header" and not article):
@@ -90,13 +103,27 @@ class Lines(HTMLParser):
                 return True
         return False
 
+    def _drop(self, at: int) -> list[Element]:
+        """Close the open elements from `at` on."""
+        gone = self.open[at:]
+        del self.open[at:]
+        for e in gone:
+            if e.tag in BLOCKS:
+                self.blocks[e.tag] -= 1
+        if gone and gone[0].tag not in BLOCKS:
+            inline = self.open[self.open[-1].block].inline
+            for e in gone:
+                if e.tag in BLOCKS:
+                    break
+                inline[e.tag] -= 1
+        return gone
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._flush()
-            while len(self.open) > 1 and self.open[-1].tag not in BLOCKS and any(e.tag == "p" for e in self.open[-4:]):
-                self.open.pop()  # what an open paragraph holds ends with it
-            if len(self.open) > 1 and (self.open[-1].tag == "p" or (tag == "li" and self.open[-1].tag == "li")):
-                self.open.pop()
+            at = self.open[-1].block
+            if at and (self.open[at].tag == "p" or (tag == "li" and self.open[at].tag == "li")):
+                self._drop(at)  # an open paragraph ends, and what it holds with it
         elif tag == "br":
             self.parts.append("\n")
         self.tags += 1
@@ -104,11 +131,22 @@ class Lines(HTMLParser):
             return
         top = self.open[-1]
         self.numbers += 1
+        n, at = self.numbers, len(self.open)
         skipped = top.skipped or self._skips(tag, attrs, top.article)
-        self.open.append(Element(tag, self.numbers, skipped, self.numbers if tag in ARTICLES and not top.article else top.article))
+        e = Element(tag, n, skipped, n if tag in ARTICLES and not top.article else top.article, top.block, top.container, top.holder, top.link or tag == "a")
+        if tag in BLOCKS:
+            self.blocks[tag] += 1
+            e.block, e.inline = at, Counter()
+            if tag not in PROSE:
+                e.holder, self.up[n] = n, top.holder
+                if tag not in LISTS:
+                    e.container = n
+        else:
+            self.open[top.block].inline[tag] += 1
+        self.open.append(e)
         if skipped and not top.skipped:
             held, self.parts, self.tags = self.parts, [], 0
-            self.open[-1].parts = held  # what an inline element interrupts goes on after it
+            e.parts = held  # what an inline element interrupts goes on after it
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -119,27 +157,27 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self._flush()
+        if not (self.blocks if tag in BLOCKS else self.open[self.open[-1].block].inline)[tag]:
+            return  # nothing that it ends; a stray inline end tag ends no block
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                gone = self.open[i:]
-                if any(e.skipped for e in gone) and not self.open[i - 1].skipped:
-                    first = next(e for e in gone if e.skipped)
+                gone = self._drop(i)
+                if not self.open[-1].skipped and (first := next((e for e in gone if e.skipped), None)):
                     self.parts, self.tags = first.parts, 0
-                del self.open[i:]
                 return
-            if self.open[i].tag in BLOCKS and tag not in BLOCKS:
-                return  # a stray inline end tag ends no block
 
     def handle_data(self, data: str) -> None:
         if not self.open[-1].skipped:
             self.parts.append(data)
+            self.plain = self.plain or (not self.open[-1].link and not data.isspace())
 
     def close(self) -> None:
         super().close()
         self._flush()
 
 
-def lines_of(html: str | None) -> list[Line]:
+def lines_of(html: str | None) -> tuple[list[Line], dict[int, int]]:
+    """The candidate lines of a page, and each container's own container."""
     html = html or ""
     cut = html.rfind("<")
     if cut >= 0 and _CUT.match(html, cut):
@@ -147,34 +185,71 @@ def lines_of(html: str | None) -> list[Line]:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    return parser.lines
+    return parser.lines, parser.up
+
+
+def smoothed(ratio: np.ndarray) -> np.ndarray:
+    """Gaussian means over neighbouring lines; at the ends, over those that there are."""
+    reach = int(3 * SIGMA)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
+    full = lambda x: np.convolve(x, kernel, mode="full")[reach : reach + len(x)]
+    return full(ratio) / full(np.ones(len(ratio)))
 
 
-def chosen(lines: list[Line]) -> list[Line]:
+def chosen(lines: list[Line], up: dict[int, int]) -> list[Line]:
     """The lines of the content regions, in page order."""
+    within = [x for x in lines if x.article]
+    lines = within or lines
     if not lines:
         return []
-    if any(x.article for x in lines):  # what is around an article is no line
-        return [x for x in lines if x.article]
     ratio = np.minimum(FULL, np.array([len(x.text) / max(1, x.tags) for x in lines]))
-    reach = int(3 * SIGMA)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
-    smooth = np.convolve(ratio, kernel / kernel.sum(), mode="full")[reach : reach + len(ratio)]
+    smooth = smoothed(ratio)
     least = THRESHOLD * smooth.std()
+    return _of_articles(lines, up, smooth, least) if within else _of_regions(lines, up, ratio, smooth, least)
+
+
+def _of_articles(lines: list[Line], up: dict[int, int], smooth: np.ndarray, least: float) -> list[Line]:
+    """All lines but those in a container within their article whose smoothed ratios are under `least` on average."""
+    total, many = Counter(), Counter()
+    for x, s in zip(lines, smooth.tolist(), strict=True):
+        total[x.container] += s
+        many[x.container] += 1
+    for c in sorted(up, reverse=True):  # a container comes after its own
+        if many[c] and up[c] >= 0:
+            total[up[c]] += total[c]
+            many[up[c]] += many[c]
+    low = {}  # whether a container, or one that it is in, goes
+    articles = {x.article for x in lines}
+    for c in sorted(up):
+        low[c] = c not in articles and (low.get(up[c], False) or (many[c] > 0 and total[c] < least * many[c]))
+    return [x for x in lines if not low[x.container]]
+
+
+def _of_regions(lines: list[Line], up: dict[int, int], ratio: np.ndarray, smooth: np.ndarray, least: float) -> list[Line]:
+    """Lines within a container of a content line, and those between two such lines."""
     content = (smooth >= least) & (ratio >= least)  # a neighbour's ratio alone makes no content
     if not content.any():
         content = smooth >= least
-    parents = {x.parent for x, c in zip(lines, content, strict=True) if c}
-    inside = {i for i, x in enumerate(lines) if parents.intersection(x.within)}
-    for p in parents:
-        at = [i for i, x in enumerate(lines) if x.parent == p]
-        inside.update(range(at[0], at[-1] + 1))
-    return [x for i, x in enumerate(lines) if i in inside]
+    holds = {x.container for x, c in zip(lines, content, strict=True) if c}
+    inside = {}
+    for c in sorted(up):
+        inside[c] = (c in holds and c > 0) or inside.get(up[c], False)
+    first, last = {}, {}
+    for i, x in enumerate(lines):
+        if x.container in holds:
+            first.setdefault(x.container, i)
+            last[x.container] = i
+    between = np.zeros(len(lines) + 1, np.int64)
+    for c, i in first.items():
+        between[i] += 1
+        between[last[c] + 1] -= 1
+    between = np.cumsum(between)
+    return [x for i, x in enumerate(lines) if inside[x.container] or between[i]]
 
 
 def main_text(html: str | None) -> str:
     """The article of one whole page, a block a line; null, empty and text-free pages have none."""
-    return "\n".join(x.text for x in chosen(lines_of(html)))
+    return "\n".join(x.text for x in chosen(*lines_of(html)))
 
 
 def extract(df: DataFrame, html: str) -> DataFrame:

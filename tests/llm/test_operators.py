@@ -514,6 +514,36 @@ def test_every_article_stays():
     assert html_text.main_text(page) == f"{text.strip()}\nBrief."
 
 
+def test_low_ratios_within_an_article_go(monkeypatch):
+    """Unmarked blocks of links and readers' comments go by their ratios; short paragraphs, headings and lists of the text stay."""
+    text = "A paragraph of the text that goes on for quite a while and has many words. " * 3
+    body = f"<h1>Title</h1><p>Lead.</p><p>{text}</p><h2>Part</h2><p>{text}</p><ul><li>one</li><li>two</li></ul><div><p>{text}</p><p>End.</p></div>"
+    junk = '<div><a href="a">More</a><a href="b">Next</a></div><div><h4>Reader thoughts</h4><p>nice post</p><p>me too</p></div><ul><li><a href="c">Tags</a></li><li><a href="d">Top</a></li></ul>'
+    want = ["Title", "Lead.", text.strip(), "Part", text.strip(), "one", "two", text.strip(), "End."]
+    page = f"<article>{body}{junk}</article>"
+    assert html_text.main_text(page).split("\n") == want
+    monkeypatch.setattr(html_text, "THRESHOLD", 0.0)
+    assert "MoreNext\nReader thoughts\nnice post" in html_text.main_text(page)
+
+
+@pytest.mark.parametrize("piece", ["<b>x<i>", "<b>x</i>", "<div><b>x", "<p><span>x</em>", "<ul><li>x", "<div>x</p>", '<span class="ad">x'])
+def test_unclosed_tags_take_no_longer(piece):
+    import time
+
+    began = time.process_time()
+    html_text.main_text("<article>" + piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 20
+
+
+def test_page_edges(spark):
+    rows = [(1, "<article><p>a</p></article>", "x", 5), (1, "<article><p>a</p></article>", "x", 5), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string, Text string, n_chars int")
+    got = html_text.extract(df, "html")
+    assert sorted(got.columns) == ["html", "n_chars", "page_id", "text"]
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got.collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]
+    assert html_text.extract(df.limit(0), "html").count() == 0
+
+
 def test_pages_query(spark):
     import html as h
 
