@@ -3,9 +3,12 @@
 A source's target is its weight's share of all words, but MOST times its own
 words at most; what a capped source leaves is shared out again by weight.
 Target over words is the number of copies f each of its documents should get:
-floor(f) certain whole copies, and one more for a sample.  The sample takes
-documents by rising order of random odds over inclusion odds, u / (1 - u)
-divided by p / (1 - p), until the words that are wanting are nearest.
+floor(f) certain whole copies, and one more for a sample.  Inclusion grows with
+size, as words are what is mixed: a document's inclusion odds are those of its
+source, p / (1 - p) for the fraction p of f, times its size over the source's
+mean size.  The sample takes documents by rising order of random odds over
+inclusion odds, u / (1 - u) divided by these, until the words that are wanting
+are nearest.
 
 No source is brought together in a task: its documents are dealt into
 sqrt(documents) ranges of the ranking, whose sums are added up first; only
@@ -59,7 +62,7 @@ def targets(sizes: DataFrame) -> DataFrame:
         .withColumn("p", f - F.floor(f))
         .withColumn("need", F.col("target") - (F.col("copies") * F.col("source_size")).cast("double"))
         .withColumn("ranges", F.ceil(F.sqrt(F.col("n"))))
-        .select("none", "src", "source_size", "target", "copies", "p", "need", "ranges")
+        .select("none", "src", "n", "source_size", "target", "copies", "p", "need", "ranges")
     )
 
 
@@ -87,8 +90,10 @@ def mix(df: DataFrame, doc_id: str, text: str, source: str, *, seed: str = "mix"
         goals = F.broadcast(goals)
     odds = F.col("u") / (F.lit(1.0) - F.col("u"))
     p = F.greatest(F.lit(1e-12), F.col("p"))
-    ranked = sized.join(goals, ["none", "src"]).withColumn("rank", odds / (p / (F.lit(1.0) - p)))
-    ranged = ranked.withColumn("range", F.floor(F.col("u") * F.col("ranges")))  # rank rises with u within a source
+    share = (F.greatest(F.lit(1), F.col("size")) * F.col("n")).cast("double") / F.greatest(F.lit(1), F.col("source_size")).cast("double")
+    ranked = sized.join(goals, ["none", "src"]).withColumn("rank", odds / (p / (F.lit(1.0) - p) * share))
+    level = odds / share  # rises with the rank within a source
+    ranged = ranked.withColumn("range", F.floor(level / (F.lit(1.0) + level) * F.col("ranges")))
     keys = ["none", "src", "range"]
     sums = ranged.groupBy(*keys).agg(F.sum("size").alias("sum"))
     before = sums.select(*keys, F.coalesce(F.sum("sum").over(Window.partitionBy("none", "src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -110,7 +115,7 @@ WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS tie,
          (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5e0) / 4503599627370496e0 AS u
   FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+s AS (SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
 rising AS (SELECT *, row_number() OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / w, source NULLS LAST) AS rn FROM weighed),
 filled AS (
@@ -120,7 +125,7 @@ filled AS (
 marked AS (SELECT *, CAST(3 * source_size AS DOUBLE) / w <= CAST(rest AS DOUBLE) / open AS capped FROM filled),
 level AS (SELECT min_by(rest, rn) AS rest, min_by(open, rn) AS open FROM marked WHERE NOT capped),
 goals AS (
-  SELECT m.source, m.source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(w * level.rest AS DOUBLE) / level.open END AS target
+  SELECT m.source, m.n, m.source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(w * level.rest AS DOUBLE) / level.open END AS target
   FROM marked m LEFT JOIN level ON true),
 split AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies,
@@ -128,7 +133,7 @@ split AS (
   FROM goals),
 placed AS (
   SELECT d.doc_id, d.size, g.source_size, g.target, CAST(g.copies AS BIGINT) AS copies, g.target - CAST(CAST(g.copies AS BIGINT) * g.source_size AS DOUBLE) AS need,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u / (1e0 - d.u) / (greatest(1e-12, g.p) / (1e0 - greatest(1e-12, g.p))), d.u, d.doc_id, d.size, d.tie
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u / (1e0 - d.u) / (greatest(1e-12, g.p) / (1e0 - greatest(1e-12, g.p)) * (CAST(greatest(1, d.size) * g.n AS DOUBLE) / CAST(greatest(1, g.source_size) AS DOUBLE))), d.u, d.doc_id, d.size, d.tie
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized d JOIN split g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,

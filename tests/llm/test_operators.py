@@ -430,6 +430,20 @@ def test_mix_is_near_its_targets_and_bounded(spark):
     assert mixed.columns == df.columns and mixed.count() > 0
 
 
+def test_inclusion_grows_with_size(spark):
+    """Of one source with a fraction of a copy to give, longer documents are taken more often, at odds in proportion to size."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', if(id % 2 = 0, 10, 40))").alias("text"), F.lit("b").alias("source"))
+    df = df.unionByName(spark.range(4000, 5500).select(F.col("id").alias("doc_id"), F.lit("w " * 100).alias("text"), F.lit("a").alias("source")))
+    got = mixing.mix(df, "doc_id", "text", "source").where("src = 'a' or copies > 0").groupBy("src", "size").agg(F.avg("copies").alias("c"), F.count("*").alias("n"), F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    by = {(r.src, r.size): r for r in got}
+    goal = by["b", 40].g
+    assert abs(by["b", 40].t + by["b", 10].t - goal) <= 40
+    extra = {z: sum(r.copies for r in mixing.mix(df, "doc_id", "text", "source").where(f"src = 'b' and size = {z}").collect()) / 2000 for z in (10, 40)}
+    whole = int(goal // 100_000)
+    p, q = extra[10] - whole, extra[40] - whole
+    assert 0 < p < q < 1 and 2.5 < q / (1 - q) / (p / (1 - p)) < 6
+
+
 def test_mix_edges(spark, odd, empty):
     got = mixing.mix(odd, "doc_id", "text", "source").collect()
     assert len(got) == len(ODD) and all(r.taken == r.copies * r.size for r in got)
