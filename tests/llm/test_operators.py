@@ -740,7 +740,7 @@ def test_license_query_equals_a_search(spark):
 def test_statistics_equal_a_search():
     a = licenses.automaton()
     known = sorted(a.vocabulary, key=a.vocabulary.get)
-    sequences = [licenses.words_of(t) for _, t in licenses.TEMPLATES] + [licenses.words_of(p) for p in licenses.PHRASES]
+    sequences = [licenses.words_of(t) for _, t, _ in licenses.TEMPLATES] + [licenses.words_of(p) for p in licenses.PHRASES]
     text = licenses.words_of("under the mit license permission is granted free of charge to any person apache license version 2 0")
     text = [w for w in text if w in known]
     for i, n, _ in a.statistics([a.vocabulary[w] for w in text], 0):
@@ -748,6 +748,30 @@ def test_statistics_equal_a_search():
         assert n == want
 
 
+def labels_of(text):
+    return [licenses.TEMPLATES[t][0] for t, *_ in licenses.scan(text).spans]
+
+
+def test_the_best_template_wins():
+    for label, text, _ in licenses.TEMPLATES:
+        assert labels_of(text) == labels_of(f"some words before {text} and after") == [label], text
+    assert labels_of("Licensed under the Apache License, Version 1.1 (the License); you may not use this file except in compliance with the License.") == []
+    cc = "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike {} License"
+    assert labels_of(cc.format("4.0 International")) == ["cc-by-nc-sa"] and labels_of(cc.format("3.0 Unported")) == []
+    affero = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert labels_of(affero) == ["agpl-3"] and labels_of(affero.replace("Affero ", "")) == ["gpl-3"] and labels_of(affero.replace("Affero ", "").replace("3", "2")) == ["gpl-2"]
+    both = f"{licenses.TEMPLATES[0][1]} {'filler ' * 300} {affero}"
+    assert labels_of(both) == ["mit", "agpl-3"]
+    bsd = {label: text for label, text, _ in licenses.TEMPLATES if label.startswith("bsd-")}
+    assert labels_of(bsd["bsd-3-clause"].replace("copyright holder nor", "University nor")) == ["bsd-3-clause"]
+
+
+def test_scan_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "CC-BY-NC", "x"), (1, "CC-BY-NC", "x")], "id long, text string, N_Words string")
+    got = licenses.scans(df, "text")
+    assert got.columns == ["id", "text", "n_words", "places", "spans"] and [r.n_words for r in got.collect()] == [3, 3]
+
+
 def test_license_templates(spark, odd, empty):
     mit = licenses.TEMPLATES[0][1]
     words = mit.split()
