@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -28,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where none is set, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir; a local one only where none is set and the executors are this process, as in tests."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
         spark.conf.set("spark.checkpoint.dir", have)
     return have

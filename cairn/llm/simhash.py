@@ -31,6 +31,8 @@ SKETCH = 32
 TILES, LEAST, MOST = 40, 2048, 1 << 21
 #: Tiles of nodes with sketches (56 bytes each), dealt by hash: a wide radius leaves out few pairs of population counts.
 SKETCHED = 16
+#: Sets of shingles that meet in a task: bytes and nodes of a block of a component, of which a task holds two at most.
+SETS_BYTES, SETS_NODES = 16 << 20, 4096
 #: Rows and columns of a block of comparisons, and the columns that are compared at once.
 BLOCK, AT_ONCE = (64, 64), 4096
 
@@ -191,17 +193,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return packed.join(jobs, "tile").groupBy("pair").applyInArrow(work, "a long, b long")
 
 
-def candidates(a: np.ndarray, b: np.ndarray | None, radius: int, agree: int, sure: int, *, every: bool) -> np.ndarray:
-    """Pairs of nodes of different roots, of the tiles a and b or within a, that pass both tests: fingerprints within `radius`, sketches equal in `agree` places.
+def candidates(a: np.ndarray, b: np.ndarray | None, radius: int, agree: int, sure: int) -> np.ndarray:
+    """Links of nodes of the tiles a and b, or within a, that pass both tests: fingerprints within `radius`, sketches equal in `agree` places.
 
-    All of them with `every`; else a spanning forest of these, and one of the
-    pairs whose sketches are equal in `sure` places: each node that has a pair is in one.
-    A row: two nodes, the lesser first, and the equal places.
+    A spanning forest of all that pass, and one of those whose sketches are
+    equal in `sure` places.  A row: two nodes, the lesser first, and the equal places.
     """
     rows = a[np.lexsort(quarters(a["fp"]).T[::-1])]
     columns = rows if b is None else b[np.lexsort(quarters(b["fp"]).T[::-1])]
     both = rows if b is None else np.concatenate([rows, columns])
-    at, out = 0 if b is None else len(rows), [np.zeros((0, 2), np.int64)]
+    at = 0 if b is None else len(rows)
     forests = [(agree, Forest(len(both))), (sure, Forest(len(both)))]
     (low, top), (low_c, top_c) = _ranges(rows["fp"], BLOCK[0]), _ranges(columns["fp"], BLOCK[1])
     x_fp, y_fp = np.ascontiguousarray(rows["fp"]), np.ascontiguousarray(columns["fp"])
@@ -216,59 +217,46 @@ def candidates(a: np.ndarray, b: np.ndarray | None, radius: int, agree: int, sur
             some = cols[j : j + AT_ONCE]
             x, y = np.nonzero(np.bitwise_count(x_fp[i : i + BLOCK[0], None] ^ y_fp[some][None, :]) <= radius)
             x, y = x + i, some[y]
-            apart = rows["root"][x] != columns["root"][y]
             if b is None:
-                apart &= x < y
-            x, y = x[apart], y[apart]
+                x, y = x[x < y], y[x < y]
             same = (rows["sketch"][x] == columns["sketch"][y]).sum(axis=1)
-            if every:
-                out.append(np.stack([x, y + at], axis=1)[same >= agree])
-                continue
             for least, forest in forests:
                 if (hit := same >= least).any():
                     forest.join(x[hit], y[hit] + at)
-    if not every:
-        out += [np.array(f.links, np.int64).reshape(-1, 2) for _, f in forests]
-    x, y = np.unique(np.concatenate(out), axis=0).T
+    x, y = np.unique(np.concatenate([np.array(f.links, np.int64).reshape(-1, 2) for _, f in forests]), axis=0).T
     same = (both["sketch"][x] == both["sketch"][y]).sum(axis=1)
     x, y = both["node"][x], both["node"][y]
     return np.stack([np.minimum(x, y), np.maximum(x, y), same], axis=1)
 
 
-_NODE = np.dtype([("node", "<i8"), ("root", "<i8"), ("fp", "<u8"), ("sketch", "u1", SKETCH)])
+_NODE = np.dtype([("node", "<i8"), ("fp", "<u8"), ("sketch", "u1", SKETCH)])
 
 
-def _candidates(nodes: DataFrame, radius: int, agree: int, sure: int, *, every: bool) -> DataFrame:
-    """Candidate pairs (a, b) of `nodes` (node, root, fp, sketch); unless `every`, for each node the pairs with a lesser and a greater one whose sketches are most alike. See `candidates`."""
+def _candidates(nodes: DataFrame, radius: int, agree: int, sure: int) -> DataFrame:
+    """Candidate links (a, b, same) of `nodes` (node, fp, sketch), as many as nodes and tiles at most. See `candidates`."""
     spark, n = nodes.sparkSession, nodes.count()
     many = max(min(SKETCHED, -(-n // LEAST)), -(-n // MOST))
     pairs = [(k, x, y) for k, (x, y) in enumerate((x, y) for x in range(many) for y in range(x, many))]
     if not pairs:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "a long, b long, same long")
     members = [(x, k, 0) for k, x, _ in pairs] + [(y, k, 1) for k, x, y in pairs if y != x]
     jobs = F.broadcast(spark.createDataFrame(members, "tile int, pair int, side int"))  # a few hundred rows by SKETCHED
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         out = np.zeros(t.num_rows, _NODE)
-        for c in ("node", "root"):
-            out[c] = t.column(c).to_numpy()
+        out["node"] = t.column("node").to_numpy()
         out["fp"] = t.column("fp").to_numpy().view(np.uint64)
         out["sketch"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "held": pa.array([out.tobytes()], pa.binary())})
 
     def work(key: tuple, t: pa.Table) -> pa.Table:
         by = {s: np.frombuffer(f, _NODE) for s, f in zip(t.column("side").to_pylist(), t.column("held").to_pylist(), strict=True)}
-        got = candidates(by[0], by.get(1), radius, agree, sure, every=every)
+        got = candidates(by[0], by.get(1), radius, agree, sure)
         return pa.table({c: pa.array(np.ascontiguousarray(got[:, i])) for i, c in enumerate(("a", "b", "same"))})
 
-    dealt = nodes.select("node", "root", "fp", "sketch", F.pmod(F.xxhash64("node"), F.lit(many)).cast("int").alias("tile"))
+    dealt = nodes.select("node", "fp", "sketch", F.pmod(F.xxhash64("node"), F.lit(many)).cast("int").alias("tile"))
     packed = dealt.groupBy("tile").applyInArrow(pack, "tile int, held binary")
-    got = packed.join(jobs, "tile").groupBy("pair").applyInArrow(work, "a long, b long, same long")
-    if every:
-        return got.select("a", "b")
-    ends = [F.struct(F.col(x).alias("node"), F.col(y).alias("other"), F.col("same"), F.lit(x == "a").alias("less")) for x, y in (("a", "b"), ("b", "a"))]
-    best = got.select(F.explode(F.array(*ends)).alias("e")).groupBy("e.node", "e.less").agg(F.max(F.struct("e.same", "e.other")).alias("best"))
-    return best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
+    return packed.join(jobs, "tile").groupBy("pair").applyInArrow(work, "a long, b long, same long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -278,36 +266,112 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def similar_links(roots: np.ndarray, sides: np.ndarray | None, fps: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int, agree: int) -> list[tuple[int, int]]:
+    """Positions (x, y) of links that connect what all pairs of Jaccard similarity `similarity` or more connect, besides equal roots.
+
+    Pairs must pass the tests of `candidates`, and where there are `sides`,
+    stand on both.  What is connected already is not compared again.
+    """
+    label, out = np.unique(roots, return_inverse=True)[1], []
+    sizes = np.array([len(h) for h in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    ids = [ids[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    mark = np.zeros(int(max((i.max(initial=-1) for i in ids), default=-1)) + 1, bool)
+    for x in range(len(sets) - 1):
+        y = np.arange(x + 1, len(sets))
+        y = y[(label[y] != label[x]) & (np.bitwise_count(fps[y] ^ fps[x]) <= radius) & (np.minimum(sizes[y], sizes[x]) >= similarity * np.maximum(sizes[y], sizes[x]))]
+        if sides is not None:
+            y = y[sides[y] != sides[x]]
+        y = y[(sketches[y] == sketches[x]).sum(axis=1) >= agree]
+        if not len(y) or not sizes[x]:
+            continue
+        mark[ids[x]] = True
+        both = np.add.reduceat(mark[np.concatenate([ids[j] for j in y])], np.cumsum(sizes[y]) - sizes[y], dtype=np.int64)
+        mark[ids[x]] = False
+        for j in y[both >= similarity * (sizes[x] + sizes[y] - both)].tolist():
+            if label[j] != label[x]:
+                out.append((x, j))
+                label[label == label[j]] = label[x]
+    return out
+
+
+def _block_links(similarity: float, radius: int, agree: int):
+    """Links within each component of a table (component, root, side, node, fp, sketch, held); sides are null where all pairs count."""
+
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("component", "ascending"), ("node", "ascending")])
+        component, node, root = (t.column(c).to_numpy() for c in ("component", "node", "root"))
+        fps = t.column("fp").to_numpy().view(np.uint64)
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        held = t.column("held").combine_chunks()
+        flat, at = held.values.to_numpy(), held.offsets.to_numpy()
+        sides = None if t.column("side").null_count else t.column("side").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1]]))
+        a, b = [], []
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(node)], strict=True):
+            sets = [flat[at[k] : at[k + 1]] for k in range(i, j)]
+            got = similar_links(root[i:j], None if sides is None else sides[i:j], fps[i:j], sketches[i:j], sets, similarity, radius, agree)
+            a += [node[i + x] for x, _ in got]
+            b += [node[i + y] for _, y in got]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return work
+
+
 def similar(df: DataFrame, doc_id: str, text: str, *, width: int, similarity: float, radius: int, agree: int) -> DataFrame:
     """Per row of `df`: doc_id, tie and root, equal for texts that links connect: those whose sets of `width`-word shingles have the Jaccard similarity `similarity` or more.
 
     Of all pairs whose fingerprints differ in `radius` bits at most and whose
     sketches are equal in `agree` places or more, the exact similarity decides.
-    Forests of candidates are confirmed first; where a link fails, its nodes
-    stay apart, and in the last round all candidates between different roots
-    are confirmed, so the result is that of all candidate pairs.
+    Forests of these candidates settle which texts can be connected at all; the
+    sets of such a component's texts then meet in one task, or in one for every
+    two of its blocks where they are many, and only forests of confirmed links
+    leave it.  Of a component of many blocks the likeliest links are confirmed
+    first: blocks of what these connect already don't meet each other.
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
     docs = checkpointed(shingle_sets(rows, "text", width).drop("text"))
-    nodes = docs.groupBy("node").agg(F.min("tie").alias("tie"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).withColumn("root", F.col("node"))
-    nodes = checkpointed(nodes)
-    sure, confirmed, root, sets = int(similarity * SKETCH) + 1, None, None, None
+    nodes = checkpointed(docs.groupBy("node").agg(F.min("tie").alias("tie"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    pairs = checkpointed(_candidates(nodes, radius, agree, int(similarity * SKETCH) + 1))
+    component = connected(pairs).withColumnRenamed("root", "component")
 
     def work(b: pa.RecordBatch) -> list[pa.Array]:
         got = [np.unique(shingles(t, width)) for t in b.column("text").to_pylist()]
         at = np.cumsum([0, *map(len, got)]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64)))]
 
-    for every in (False, False, True):
-        pairs = checkpointed(_candidates(nodes, radius, agree, sure, every=every))
-        if sets is None:  # only nodes that have a candidate go on
-            nodes = checkpointed(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
-            texts = rows.select("tie", "text").join(small(nodes.select("tie", "node")), "tie").groupBy("node").agg(F.first("text").alias("text"))
-            sets = checkpointed(appended(texts, "text", {"held": "array<long>"}, work).select("node", "held"))
-        got = checkpointed(_confirmed(pairs, sets, similarity))
-        confirmed = got if confirmed is None else confirmed.union(got)
-        root = checkpointed(connected(confirmed))
-        nodes = nodes.drop("root").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    some = checkpointed(nodes.join(component, "node"))  # only nodes that have a candidate go on
+    texts = rows.select("tie", "text").join(small(some.select("tie", "node")), "tie").groupBy("node").agg(F.first("text").alias("text"))
+    sets = checkpointed(appended(texts, "text", {"held": "array<long>"}, work).select("node", "held"))
+    size = F.greatest(F.ceil(F.sum(F.lit(8) * F.size("held")) / F.lit(SETS_BYTES)), F.ceil(F.count(F.lit(1)) / F.lit(SETS_NODES))).cast("int")
+    sized = checkpointed(some.join(sets, "node").groupBy("component").agg(size.alias("blocks")))
+    verify = _block_links(similarity, radius, agree)
+    fields = ("component", "root", "side", "node", "fp", "sketch", "held")
+    bundles = max(1, int(sets.agg(F.coalesce(F.sum(F.size("held")), F.lit(0))).first()[0] * 8 // SETS_BYTES))
+    one = some.join(sized.where("blocks <= 1").select("component"), "component", "left_semi").join(sets, "node")
+    one = one.select(F.pmod(F.xxhash64("component"), F.lit(bundles)).alias("bundle"), "component", F.col("node").alias("root"), F.lit(None).cast("int").alias("side"), *fields[3:])
+    confirmed = checkpointed(one.groupBy("bundle").applyInArrow(verify, "a long, b long"))
+    if sized.where("blocks > 1").limit(1).count():
+        large = checkpointed(some.join(sized.where("blocks > 1"), "component"))
+        ends = [F.struct(F.col(x).alias("node"), F.col(y).alias("other"), F.col("same"), F.lit(x == "a").alias("less")) for x, y in (("a", "b"), ("b", "a"))]
+        best = pairs.select(F.explode(F.array(*ends)).alias("e")).select("e.*").join(large.select("node"), "node", "left_semi")
+        best = best.groupBy("node", "less").agg(F.max(F.struct("same", "other")).alias("best"))
+        best = best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
+        first = checkpointed(_confirmed(best, sets, similarity))
+        rooted = large.join(connected(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        core = rooted.groupBy("component", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("root", F.struct("n", "root")).alias("core"))
+        dealt = rooted.join(core, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        # blocks 0, 1, ... of the core, blocks, blocks + 1, ... of the rest; two of the core don't meet
+        dealt = dealt.withColumn("block", F.col("block") + F.when(F.col("root") == F.col("core"), 0).otherwise(F.col("blocks")))
+        mine = F.col("block")
+        meets = F.when(mine < F.col("blocks"), F.sequence(F.col("blocks"), 2 * F.col("blocks") - 1)).otherwise(F.sequence(F.lit(0), 2 * F.col("blocks") - 1))
+        met = checkpointed(dealt).withColumn("other", F.explode(meets))
+        met = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).join(sets, "node")
+        side = F.when(F.col("low") != F.col("high"), F.col("block"))
+        across = met.select("low", "high", "component", "root", side.alias("side"), *fields[3:]).groupBy("component", "low", "high")
+        confirmed = confirmed.union(first).union(checkpointed(across.applyInArrow(lambda k, t: verify(k, t.select(list(fields))), "a long, b long")))
+    root = connected(confirmed)
     return docs.join(root, "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
 
 

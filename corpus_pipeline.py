@@ -26,27 +26,44 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus has; those that the identifier rejects go."""
+    """Documents in a language that the corpus has; those that the identifier rejects go.
+
+    Null and empty texts and those without a letter are rejected.  Repeated
+    rows stay; extra columns, whatever their names, come along.  Where no
+    document has both a text and a language, none is known and all go.
+    """
     return langid.known(docs, "text", langid.fit(docs, "text", "lang"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the least id stays."""
+    """One document of each group of near-duplicates: the least id stays, null ids last.
+
+    Of rows that repeat an id and a text, one stays.  Texts without a word, null
+    ones too, are copies of each other.
+    """
     return simhash.one_of_each(docs, "doc_id", "text", width=WIDTH, similarity=SIMILARITY, radius=RADIUS, agree=AGREE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, and null and empty items are held by none."""
     return decontamination.clean(docs, "text", table(spark, sf_dir, "benchmark"), "text")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it.
+
+    A null source is a source of its own.  Texts without a word go, as no mix
+    needs them; rows that repeat an id and a text are one document, taken as
+    often as all of them together.
+    """
     return mixing.mixed(docs, "doc_id", "text", "source")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in the shared folder; returns, as read back, each document's place, length and checksum."""
+    """Token files in the shared folder; returns, as read back, each document's place, length and checksum.
+
+    Copies of a document are documents of their own.  Null texts count as empty.
+    """
     path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     orc_tokens.write(docs, "doc_id", "text", path, public_tokenizers.path("byte_bpe_50k.json"))
     return orc_tokens.with_crc(orc_tokens.read(spark, path))

@@ -324,6 +324,25 @@ def test_strangers_within_the_radius_hide_no_copies(spark):
     assert {min(g) for g in groups.values()} == want
 
 
+def test_components_of_many_blocks_equal_all_pairs(spark, monkeypatch):
+    """Copies of one text, edited more or less, in blocks of a few nodes each: the same groups as by all pairs."""
+    monkeypatch.setattr(simhash, "SETS_NODES", 7)
+    rng, docs = random.Random(16), []
+    base = [f"w{rng.randrange(100_000)}" for _ in range(200)]
+    for k in range(70):
+        own = list(base)
+        for i in rng.sample(range(0, 200, 5), k % 11):
+            own[i] = f"edit{rng.randrange(1000)}"
+        docs.append((k, " ".join(own)))
+    docs += [(100 + k, " ".join(f"x{rng.randrange(100_000)}" for _ in range(100))) for k in range(20)]
+    df = spark.createDataFrame([(i, t, "en", "a", "x") for i, t in docs], DOCS)
+    rows = simhash.similar(df, "doc_id", "text", width=5, similarity=0.8, radius=64, agree=0).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.root, []).append(r.doc_id)
+    assert {min(g) for g in groups.values()} == kept_by_all_pairs(docs) and len(groups) > 21
+
+
 def test_near_duplicates_are_those_of_exact_similarity(spark):
     """Pairs of similarity 0.5 to 0.95: exactly those of 0.8 or more lose a text."""
     import corpus_pipeline
