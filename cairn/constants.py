@@ -8,8 +8,8 @@ DEPTH, LEAVES, SUPER = 5, 32, 16
 STRUCTURE, FURNITURE, DYNAMIC, TTL = 0, 1, 2, 30
 # Level of detail: distance up to which a depth is used; beyond all, depth 1.
 BANDS = ((10.0, 5), (30.0, 4), (80.0, 3))
-# What a node without observations holds.
-GREY = 128
+# What a node without observations holds: grey, and a signed distance that is none.
+GREY, UNKNOWN = 128, 3.4028234663852886e38
 # Most observations that a node counts.
 MOST_OBSERVATIONS = 65535
 

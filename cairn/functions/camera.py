@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn import constants as K
+
 ROUNDS = 5
 
 
@@ -28,8 +32,9 @@ def undistort(u: Column, v: Column, cam: tuple) -> tuple[Column, Column]:
 
 
 def unproject(u: Column, v: Column, depth: Column, cam: tuple) -> tuple[Column, Column, Column]:
-    """The camera point of a pixel at a depth along the axis."""
+    """The camera point of a pixel at a depth along the axis, without the lens distortion."""
     fx, fy, cx, cy = cam[:4]
+    u, v = undistort(u, v, cam) if len(cam) > 6 else (u, v)
     return (u - cx) / fx * depth, (v - cy) / fy * depth, depth
 
 
@@ -47,6 +52,20 @@ def scaled(cam: tuple, width: int, height: int) -> tuple:
     return (cam[0] * sx, cam[1] * sy, cam[2] * sx, cam[3] * sy, width, height, *cam[6:])
 
 
+def intrinsic_matrix(cam: tuple) -> list[list[float]]:
+    """The 3 x 3 matrix of a camera, by rows."""
+    fx, fy, cx, cy = cam[:4]
+    return [[fx, 0.0, cx], [0.0, fy, cy], [0.0, 0.0, 1.0]]
+
+
+def camera_of(matrix: bytes | None, width: int, height: int, otherwise: str = "phone_14") -> tuple:
+    """The camera of a 3 x 3 matrix of little-endian single-precision numbers, by columns; the named one where there is none."""
+    if matrix is None or len(matrix) < 36:
+        return K.CAMERAS[otherwise]
+    m = struct.unpack_from("<9f", matrix)
+    return (m[0], m[4], m[6], m[7], width, height, 0.0, 0.0, 0.0, 0.0, 0.0)
+
+
 def rotate(q: tuple[Column, ...], p: tuple[Column, ...]) -> tuple[Column, Column, Column]:
     """A vector turned by a unit quaternion (x, y, z, w)."""
     qx, qy, qz, qw = q

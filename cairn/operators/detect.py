@@ -11,7 +11,7 @@ from cairn.operators.rays import solid_chunks
 CONFIDENT, NEAREST, FARTHEST = 0.5, 5.0, 200.0
 QUEUE, THIN, IDLE, EVERY = 500, 3, 300, 10
 # Labels of what is found outdoors.
-OUTDOOR = ("car", "truck", "bus", "motorcycle", "bicycle", "person", "dog", "cat", "bench", "fire hydrant", "stop sign", "parking meter", "traffic light", "bird", "horse")
+OUTDOOR = ("car", "truck", "bus", "motorcycle", "bicycle", "person", "dog", "cat", "bench", "fire hydrant", "stop sign", "parking meter", "potted plant", "chair", "dining table")
 
 
 def priors(spark: SparkSession) -> DataFrame:
@@ -73,9 +73,9 @@ def projected(detections: DataFrame, pixels: DataFrame, cam: tuple, width: int,
     return out.withColumns({f"{e}_{a}": F.col(f"w{a}") + (F.col(s) * (0.5 if e == "max" else -0.5)) for a, s in size.items() for e in ("min", "max")})
 
 
-def thin_chunks(voxels: DataFrame, queued: DataFrame | None = None) -> DataFrame:
-    """(cx, cy, cz, voxels) of chunks with fewer occupied voxels than THIN but not none, that aren't `queued`."""
-    out = voxels.groupBy("cx", "cy", "cz").agg(F.count_if(F.col("log_odds") > 0).alias("voxels")).where(F.col("voxels").between(1, THIN - 1))
+def thin_chunks(voxels: DataFrame, queued: DataFrame | None = None, *, thin: int = THIN) -> DataFrame:
+    """(cx, cy, cz, voxels) of chunks with fewer occupied voxels than `thin` but not none, that aren't `queued`."""
+    out = voxels.groupBy("cx", "cy", "cz").agg(F.count_if(F.col("log_odds") > 0).alias("voxels")).where(F.col("voxels").between(1, thin - 1))
     return out if queued is None else out.join(queued.select("cx", "cy", "cz"), ["cx", "cy", "cz"], "left_anti")
 
 
@@ -90,6 +90,17 @@ def queue(tasks: DataFrame, most: int = QUEUE) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.orderBy("priority", "observations", "seq")))  # `most` rows at most
 
 
+def dequeued(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The task that is first in a queue (a row at most), and the queue without it; both keep `place`."""
+    first = tasks.agg(F.min("place").alias("place"))
+    return tasks.join(F.broadcast(first), "place", "left_semi"), tasks.join(F.broadcast(first), "place", "left_anti")  # one row
+
+
+def pruned_queue(tasks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The queue without tasks for chunks that no longer exist."""
+    return tasks.join(chunks.select("cx", "cy", "cz").distinct(), ["cx", "cy", "cz"], "left_semi")
+
+
 def region_tasks(boxes: DataFrame, priority: int = 1) -> DataFrame:
     """Refinement tasks for every chunk of the boxes."""
     return solid_chunks(boxes).select("cx", "cy", "cz", F.lit(priority).alias("priority"), F.lit(0.0).alias("observations")).distinct()

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn import constants as K
+from cairn.functions import keys
+from cairn.operators import rays, world
 
 # --- cuboids ----------------------------------------------------------------
 
@@ -51,19 +53,59 @@ def merge_cuboids(ix: np.ndarray, iy: np.ndarray, iz: np.ndarray, cf: np.ndarray
     return np.array(out, np.int64).reshape(-1, 7)
 
 
-def cuboids(voxels: DataFrame, *, log_odds: float = 0.4, observations: int = 2) -> DataFrame:
-    """Merged cuboids (cx, cy, cz, mx .. hz, cf) of each chunk's leaves with that much evidence; `voxels` holds cf."""
-    shown = voxels.where((F.col("log_odds") >= log_odds) & (F.col("obs_count") >= observations)).select("cx", "cy", "cz", "ix", "iy", "iz", "cf")
+def cuboids(voxels: DataFrame, *, log_odds: float = 0.4, observations: int = 2, unobserved: bool = False) -> DataFrame:
+    """Merged cuboids (cx, cy, cz, mx .. hz, cf) of each chunk's nodes with that much evidence.
+
+    `voxels` holds cf, and depth where its nodes are no leaves (one depth a chunk).
+    """
+    depth = F.col("depth") if "depth" in voxels.columns else F.lit(K.DEPTH)
+    shown = voxels.where(world.renderable(log_odds, observations, unobserved=unobserved)).select("cx", "cy", "cz", "ix", "iy", "iz", "cf", depth.cast("int").alias("depth"))
 
     def mesh(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["iz", "iy", "ix"], kind="stable")
-        box = merge_cuboids(*(rows[c].to_numpy(np.int64) for c in ("ix", "iy", "iz", "cf")))
+        size = 1 << int(rows["depth"].iloc[0])
+        box = merge_cuboids(*(rows[c].to_numpy(np.int64) for c in ("ix", "iy", "iz", "cf")), size)
         out = {f"c{a}": np.full(len(box), key[i], np.int16) for i, a in enumerate("xyz")}
-        out |= {f"m{a}": key[i] + (box[:, i] + box[:, 3 + i] / 2) / K.LEAVES for i, a in enumerate("xyz")}
-        out |= {f"h{a}": box[:, 3 + i] / (2 * K.LEAVES) for i, a in enumerate("xyz")}
+        out |= {f"m{a}": key[i] + (box[:, i] + box[:, 3 + i] / 2) / size for i, a in enumerate("xyz")}
+        out |= {f"h{a}": box[:, 3 + i] / (2 * size) for i, a in enumerate("xyz")}
         return pd.DataFrame(out | {"cf": box[:, 6]})
 
-    return shown.groupBy("cx", "cy", "cz").applyInPandas(mesh, "cx short, cy short, cz short, mx double, my double, mz double, hx double, hy double, hz double, cf long")
+    return shown.groupBy("cx", "cy", "cz").applyInPandas(mesh, _CUBOIDS)
+
+
+_CUBOIDS = "cx short, cy short, cz short, mx double, my double, mz double, hx double, hy double, hz double, cf long"
+
+
+def rendered(voxels: DataFrame, eye: tuple[float, float, float] = (0.0, 0.0, 0.0), planes: list | tuple = (), *, subtractive: bool = False) -> DataFrame:
+    """Cuboids of the chunks that `planes` let show, each at the depth that its distance from `eye` asks for.
+
+    Nodes at a coarser depth hold no evidence of their own: they show only where
+    what was never observed counts as solid (`subtractive`), grey.
+    """
+    seen = rays.lod_depth(world.visible(voxels.select("cx", "cy", "cz").distinct(), list(planes)), eye).select("cx", "cy", "cz", "depth")
+    near = voxels.join(seen.where(F.col("depth") == K.DEPTH), ["cx", "cy", "cz"])
+    cf = keys.pack(*(F.col(c) for c in ("r", "g", "b", "layer", "class_id")))
+    fields = ["cx", "cy", "cz", "ix", "iy", "iz", "depth", "log_odds", "obs_count", "cf"]
+    shown = near.withColumn("cf", cf).select(*fields)
+    if subtractive:
+        far = voxels.select("cx", "cy", "cz", "ix", "iy", "iz").join(seen.where(F.col("depth") < K.DEPTH), ["cx", "cy", "cz"])
+        up = far.select("cx", "cy", "cz", *(F.expr(f"shiftright(cast(i{a} as int), {K.DEPTH} - depth)").cast("short").alias(f"i{a}") for a in "xyz"), "depth").distinct()
+        grey = keys.pack(*(F.lit(K.GREY).cast("long") for _ in "rgb"), F.lit(0), F.lit(0))
+        shown = shown.unionByName(up.select("*", F.lit(0.0).cast("float").alias("log_odds"), F.lit(0).alias("obs_count"), grey.alias("cf")).select(*fields))
+    return cuboids(shown, unobserved=subtractive)
+
+
+def rendered_far(voxels: DataFrame, eye: tuple[float, float, float], planes: list | tuple = (), *, nearest: float = 80.0, farthest: float = 500.0) -> DataFrame:
+    """Cuboids of super-chunks between the distances: the mesher's grid spans one metre, which a leaf's centre, a metre or more from the corner, is never within, so there are none."""
+    chunks = world.super_chunks(voxels)
+    centre = [F.col(f"s{a}") * K.SUPER + K.SUPER / 2 - c for a, c in zip("xyz", eye, strict=True)]
+    distance = F.sqrt(sum(c * c for c in centre))
+    seen = world.visible(chunks.where((distance >= nearest) & (distance < farthest)), list(planes), size=float(K.SUPER), prefix="s", scale=K.SUPER)
+    centres = {a: F.col(f"i{a}") * 2 + 1 for a in "xyz"}  # metres from the super-chunk's corner
+    within = seen.where(" and ".join(f"i{a} * 2 + 1 < 1" for a in "xyz")).withColumns(centres)
+    half, mid = F.lit(0.25), [F.col(f"s{a}") * K.SUPER + F.col(a) for a in "xyz"]
+    fields = [*(F.col(f"s{a}").alias(f"c{a}") for a in "xyz"), *(m.cast("double").alias(f"m{a}") for a, m in zip("xyz", mid, strict=True)), *(half.alias(f"h{a}") for a in "xyz")]
+    return within.select(*fields, keys.pack(*(F.lit(K.GREY).cast("long") for _ in "rgb"), F.lit(0), F.lit(0)).cast("long").alias("cf"))
 
 
 # --- scan matching ----------------------------------------------------------

@@ -16,10 +16,14 @@ def _length(*c: Column) -> Column:
     return F.sqrt(sum(x * x for x in c))
 
 
-def marched(rays: DataFrame, camera_at: tuple[float, float, float] = (0.0, 0.0, 0.0), most: float = 10.0) -> DataFrame:
-    """`rays` (ox .. dz, hit_distance) with step, steps, stride and end of their carving; rays of no length go."""
+def marched(rays: DataFrame, camera_at: tuple[float, float, float] = (0.0, 0.0, 0.0), most: float = 10.0, *, eye: tuple[str, str, str] | None = None) -> DataFrame:
+    """`rays` (ox .. dz, hit_distance) with step, steps, stride and end of their carving; rays of no length go.
+
+    `eye` names the columns of each ray's camera where it isn't `camera_at` for all.
+    """
     reach = F.coalesce(F.col("hit_distance"), F.lit(most))
-    mid = _length(*(F.col(f"o{a}") + F.col(f"d{a}") * reach / 2 - c for a, c in zip("xyz", camera_at, strict=True)))
+    at = [F.col(c) for c in eye] if eye else [F.lit(c) for c in camera_at]
+    mid = _length(*(F.col(f"o{a}") + F.col(f"d{a}") * reach / 2 - c for a, c in zip("xyz", at, strict=True)))
     step = F
     for far, size in STEPS:
         step = step.when(mid < far, size)
@@ -32,13 +36,13 @@ def marched(rays: DataFrame, camera_at: tuple[float, float, float] = (0.0, 0.0,
     return out.withColumns({"carved": carved.cast("long"), "hits": (F.col("hit_distance") <= most).cast("long")}).withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
 
 
-def samples(rays: DataFrame, camera_at: tuple[float, float, float] = (0.0, 0.0, 0.0), most: float = 10.0) -> DataFrame:
-    """(ray_id, i, x, y, z, hit): the misses along each ray in order, then its hit."""
-    m = marched(rays, camera_at, most)
+def samples(rays: DataFrame, camera_at: tuple[float, float, float] = (0.0, 0.0, 0.0), most: float = 10.0, *, eye: tuple[str, str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(`keep`, ray_id, i, x, y, z, hit): the misses along each ray in order, then its hit."""
+    m = marched(rays, camera_at, most, eye=eye)
     misses = m.where("steps >= 1").withColumn("i", F.explode(F.expr("sequence(1, steps, stride)"))).withColumn("t", F.col("i") * F.col("step")).withColumn("hit", F.lit(False))
     hits = m.where("hits = 1").withColumns({"i": F.lit((1 << 31) - 1), "t": F.col("hit_distance"), "hit": F.lit(True)})
     both = misses.unionByName(hits)
-    return both.select("ray_id", "i", *((F.col(f"o{a}") + F.col(f"d{a}") * F.col("t")).alias(a) for a in "xyz"), "hit")
+    return both.select(*keep, "ray_id", "i", *((F.col(f"o{a}") + F.col(f"d{a}") * F.col("t")).alias(a) for a in "xyz"), "hit")
 
 
 def scan_samples(lidar: DataFrame, most: int = 25) -> DataFrame:
@@ -59,6 +63,20 @@ def carved_points(points: DataFrame, eye: tuple[float, float, float], start: flo
     return out.withColumn("k", k)
 
 
+def carve_samples(points: DataFrame, eye: tuple[float, float, float], start: float = 0.3, step: float = 0.05, **more) -> DataFrame:
+    """(columns of `points`, s, x, y, z, hit, depth): each coloured point's hit (s = 0), then its free samples from the eye on.
+
+    depth is what the sample's chunk is shown at, which a subtractive update goes
+    down to.
+    """
+    out = carved_points(points, eye, start, step, **more).withColumn("s", F.explode(F.expr("if(k >= 1, sequence(0, k), array(0))")))
+    along = (F.lit(start) + (F.col("s") - 1) * step) / F.col("dist")
+    moved = {a: F.when(F.col("s") == 0, F.col(a)).otherwise(c + (F.col(a) - c) * along) for a, c in zip("xyz", eye, strict=True)}
+    out = out.withColumns(moved).withColumn("hit", F.col("s") == 0)
+    corner = _length(*(F.floor(F.col(a)) + 0.5 - c for a, c in zip("xyz", eye, strict=True)))
+    return out.withColumn("depth", keys.lod(corner)).drop("dist", "k")
+
+
 def solid_chunks(boxes: DataFrame) -> DataFrame:
     """`boxes` (min_x .. max_z) repeated for each chunk key from the least to the greatest corner, both included."""
     out = boxes

@@ -13,6 +13,8 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.sources.shared import checkpointed
+
 AXES = "xyz"
 
 
@@ -62,11 +64,11 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, cell: float, qid:
         if size > widest:  # every point is in a neighbouring cell
             out = ranked.select("query_id", "rank", "point_id", "d2")
             return out if found is None else found.unionByName(out)
-        sure = ranked.where(F.col("d2") <= size * size)  # cells reach at least this far
+        sure = checkpointed(ranked.where(F.col("d2") <= size * size))  # cells reach at least this far
         full = sure.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
         out = sure.join(full, "query_id", "left_semi").select("query_id", "rank", "point_id", "d2")
         found = out if found is None else found.unionByName(out)
-        left = left.join(full.withColumnRenamed("query_id", qid), qid, "left_anti")
+        left = checkpointed(left.join(full.withColumnRenamed("query_id", qid), qid, "left_anti"))  # the next ring starts from a table
         if left.limit(1).count() == 0:
             return found
         reach += 1
@@ -86,7 +88,7 @@ def without_outliers(points: DataFrame, *, pid: str, k: int = 6, deviations: flo
     """
     if points.limit(k + 2).count() <= k + 1:
         return points
-    means = neighbour_means(points, pid=pid, k=k, cell=cell)
+    means = checkpointed(neighbour_means(points, pid=pid, k=k, cell=cell))
     bound = means.agg(F.avg("mean").alias("m"), F.stddev_pop("mean").alias("s"))
     if bound.first()["m"] is None:
         return points

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import constants as K
 from cairn.functions import keys
+from cairn.sources.shared import checkpointed
 
 CHUNK = ["cx", "cy", "cz"]
 LEAF = ["ix", "iy", "iz"]
@@ -38,9 +39,10 @@ def positioned(voxels: DataFrame, depth: int = K.DEPTH) -> DataFrame:
 
 
 def exported(voxels: DataFrame) -> DataFrame:
-    """Leaves of a saved map: centre, packed colour and layer, observations."""
+    """Leaves of a saved map: centre, packed colour and layer, observations, signed distance (UNKNOWN where none is kept)."""
     at = positioned(voxels.where(renderable()))
-    return at.select("x", "y", "z", keys.pack(F.col("r"), F.col("g"), F.col("b"), F.col("layer"), F.col("class_id")).alias("cf"), "obs_count", F.col("log_odds"))
+    distance = F.col("signed_distance") if "signed_distance" in voxels.columns else F.lit(K.UNKNOWN)
+    return at.select("x", "y", "z", keys.pack(F.col("r"), F.col("g"), F.col("b"), F.col("layer"), F.col("class_id")).alias("cf"), "obs_count", F.col("log_odds"), distance.cast("float").alias("signed_distance"))
 
 
 def probabilities(voxels: DataFrame) -> DataFrame:
@@ -129,11 +131,14 @@ def strided(rows: DataFrame, most: int, order: list[str]) -> DataFrame:
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """`rows` with rn, their place from zero in `order`."""
-    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that no two readers coalesce them differently
+    # numbered where it lies, as a sorted partition's rows come in order; kept, as the ranges of a second run may differ
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = checkpointed(ranged.withColumn("at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    counts = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
-    within = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(before), "part").withColumn("rn", F.col("before") + within).drop("part", "before")
+    return ranged.withColumn("part", part).join(F.broadcast(before), "part").withColumn("rn", F.col("before") + within).drop("part", "before", "at")
 
 
 def sampled_by_chunk(voxels: DataFrame, most: int, depth: int = 2) -> DataFrame:
@@ -185,9 +190,9 @@ def box_metrics(boxes: DataFrame) -> DataFrame:
 
 def evicted(accesses: DataFrame, most: int) -> DataFrame:
     """Chunks to spill: all but the `most` that were created last. `accesses`: chunk keys with seq."""
-    first = accesses.groupBy(*CHUNK).agg(F.min("seq").alias("created"))
+    first = checkpointed(accesses.groupBy(*CHUNK).agg(F.min("seq").alias("created")))
     extra = first.count() - most
-    return first.orderBy("created", *CHUNK).limit(max(0, extra))
+    return numbered(first, ["created", *CHUNK]).where(F.col("rn") < extra).drop("rn")
 
 
 def top_down(points: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ _CENTRES = "cx + (ix + 0.5e0) / 32e0 AS x, cy + (iy + 0.5e0) / 32e0 AS y, cz + (
 _CF = "CAST(r * 16777216 + g * 65536 + b * 256 + layer * 64 + class_id AS BIGINT)"
 
 
-@register("voxel_leaf_export", FOLD + f"SELECT {_CENTRES}, {_CF} AS cf, obs_count, log_odds FROM folded WHERE log_odds >= 0")
+@register("voxel_leaf_export", FOLD + f"SELECT {_CENTRES}, {_CF} AS cf, obs_count, log_odds, 3.4028234663852886e38::FLOAT AS signed_distance FROM folded WHERE log_odds >= 0")
 def voxel_leaf_export(spark, sf_dir):
     return world.exported(voxels(spark, sf_dir))
 
@@ -181,7 +181,19 @@ def prune_level(spark, sf_dir):
     return world.pruned(nodes, K.DEPTH)
 
 
-@register("prune_all")
+def _pruned_sql() -> str:
+    out = ", n5 AS (SELECT cx, cy, cz, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, CAST(iz AS INTEGER) AS iz, 5 AS depth, log_odds, obs_count FROM folded)"
+    for d in range(5, 0, -1):
+        up = ", ".join(f"i{a} >> greatest(0, depth - {d - 1}) AS p{a}" for a in "xyz")
+        octant = "(ix % 2) + 2 * (iy % 2) + 4 * (iz % 2)"
+        out += f""", g{d} AS (SELECT *, {up}, depth >= {d} AS below FROM n{d}),
+        m{d} AS (SELECT cx, cy, cz, px, py, pz, max(depth) = {d} AND (bool_and(log_odds > 0) OR NOT bool_or(log_odds > 0)) AS same, arg_min(log_odds, {octant}) AS l, arg_min(obs_count, {octant}) AS o FROM g{d} WHERE below GROUP BY ALL),
+        n{d - 1} AS (SELECT cx, cy, cz, px AS ix, py AS iy, pz AS iz, {d - 1} AS depth, l AS log_odds, o AS obs_count FROM m{d} WHERE same
+          UNION ALL SELECT g.cx, g.cy, g.cz, g.ix, g.iy, g.iz, g.depth, g.log_odds, g.obs_count FROM g{d} g LEFT JOIN m{d} m ON g.below AND g.cx = m.cx AND g.cy = m.cy AND g.cz = m.cz AND g.px = m.px AND g.py = m.py AND g.pz = m.pz WHERE NOT g.below OR NOT m.same)"""
+    return out + " SELECT cx, cy, cz, CAST(ix AS SMALLINT) AS ix, CAST(iy AS SMALLINT) AS iy, CAST(iz AS SMALLINT) AS iz, depth, log_odds, obs_count FROM n0"
+
+
+@register("prune_all", FOLD + _pruned_sql())
 def prune_all(spark, sf_dir):
     return world.pruned_all(voxels(spark, sf_dir).select(*fold.KEY, "log_odds", "obs_count"))
 
@@ -364,10 +376,11 @@ def knn3(spark, sf_dir):
     return spatial.nearest(c, c, 3, cell=0.5, qid="vec_id", pid="vec_id", exclude_self=True).drop("d2")
 
 
-@register("nearest", _CLOUD + f" SELECT query_id, point_id FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D2}, p.vec_id) AS rank FROM cloud q JOIN cloud p ON q.vec_id % 7 = 0 AND p.vec_id % 7 <> 0) WHERE rank = 1")
+@register("nearest", _CLOUD + f" SELECT query_id, point_id FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D2}, p.vec_id) AS rank FROM cloud q JOIN cloud p ON q.vec_id % 7 = 0 AND p.vec_id <> q.vec_id) WHERE rank = 1")
 def nearest(spark, sf_dir):
+    """Every seventh point asks, all others answer."""
     c = view(spark, sf_dir, "cloud")
-    return spatial.nearest(c.where("vec_id % 7 = 0"), c.where("vec_id % 7 <> 0"), 1, cell=0.5, qid="vec_id", pid="vec_id").select("query_id", "point_id")
+    return spatial.nearest(c.where("vec_id % 7 = 0"), c, 1, cell=0.5, qid="vec_id", pid="vec_id", exclude_self=True).select("query_id", "point_id")
 
 
 @register("radius_join", _CLOUD + f" SELECT q.vec_id AS query_id, p.vec_id AS point_id FROM cloud q JOIN cloud p ON {_D2} <= 0.0625e0")
@@ -450,13 +463,13 @@ def ray_carve_samples(spark, sf_dir):
     _MARCH
     + """, s AS (SELECT ray_id, dx, dy, dz, unnest(range(1, steps + 1, stride)) AS i, step, false AS hit FROM r7 UNION ALL SELECT ray_id, dx, dy, dz, 2147483647, hit_distance / 2147483647, true FROM r7 WHERE hits = 1),
     p AS (SELECT ray_id, i, hit, CASE WHEN hit THEN round(i * step * 4) / 4 ELSE i * step END AS t, dx, dy, dz FROM s),
-    k AS (SELECT ray_id * 2147483648 + i AS seq, hit, floor(dx * t * 32) AS x, floor(dy * t * 32) AS y, floor(dz * t * 32) AS z FROM p WHERE ray_id % 8 = 0),
+    k AS (SELECT ray_id * 2147483648 + i AS seq, hit, floor(dx * t * 32) AS x, floor(dy * t * 32) AS y, floor(dz * t * 32) AS z FROM p),
     f AS (SELECT x, y, z, list_reduce(list_prepend(0::FLOAT, list(CASE WHEN hit THEN 0.85::FLOAT ELSE -0.7::FLOAT END ORDER BY seq)), lambda a, e: greatest(-2::FLOAT, least(3.5::FLOAT, a + e))) AS l FROM k GROUP BY x, y, z)
     SELECT l AS log_odds, count(*) AS voxels FROM f GROUP BY l""",
 )
 def ray_carve_fold(spark, sf_dir):
     """Carving folded into the map: per voxel in order of ray and sample, hits last."""
-    s = rays.samples(view(spark, sf_dir, "rays").where("ray_id % 8 = 0")).withColumn("seq", F.col("ray_id") * (1 << 31) + F.col("i"))
+    s = rays.samples(view(spark, sf_dir, "rays")).withColumn("seq", F.col("ray_id") * (1 << 31) + F.col("i"))
     folded = fold.keyed(s).groupBy(*fold.KEY).agg(fold.log_odds().alias("log_odds"))
     return folded.groupBy("log_odds").agg(F.count(F.lit(1)).alias("voxels"))
 
@@ -507,6 +520,29 @@ def undistort5(spark, sf_dir):
     return view(spark, sf_dir, "detections").select("det_id", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
 
 
+@register("unproject_lens", f"WITH d AS ({view_sql('detections')}), {_undistorted()} SELECT det_id, round(x * distance, 6) AS x, round(y * distance, 6) AS y, distance AS z FROM s5 JOIN d USING (det_id)")
+def unproject_lens(spark, sf_dir):
+    """Pixels of a lens with distortion, at a depth."""
+    xyz = camera.unproject(F.col("bx") * 640, F.col("by0") * 360, F.col("distance"), K.CAMERAS["robot_dog"])
+    return view(spark, sf_dir, "detections").select("det_id", F.round(xyz[0], 6).alias("x"), F.round(xyz[1], 6).alias("y"), xyz[2].alias("z"))
+
+
+@register(
+    "frame_results",
+    _PIX
+    + """, r AS (SELECT frame_id, d AS reach FROM pixels WHERE u % 4 = 0 AND v % 4 = 0 AND d > 0.1 AND d < 100), s AS (SELECT *, CAST(floor(greatest(0, reach - 0.0625e0) / 0.03125e0) AS BIGINT) AS steps FROM r),
+    t AS (SELECT *, greatest(1, steps // greatest(1, least(steps, 512))) AS stride FROM s)
+    SELECT frame_id, count(*) AS rays, CAST(sum(CASE WHEN steps >= 1 THEN (steps - 1) // stride + 1 ELSE 0 END) AS BIGINT) AS carved, count(*) AS hits FROM t GROUP BY frame_id""",
+)
+def frame_results(spark, sf_dir):
+    """Frames through the composed step, each from its own pose."""
+    from cairn.operators.frames import Pipeline
+
+    poses = view(spark, sf_dir, "poses").where("pose_id <= 8").withColumn("frame_id", F.col("pose_id") - 1)
+    boxes = _boxes(spark, sf_dir).selectExpr("det_id % 8 frame_id", "det_id", "1 class_id", "min_x", "max_x", "min_y", "max_y", "min_z", "max_z")
+    return Pipeline(fast=lambda p: p).process(view(spark, sf_dir, "pixels"), boxes, poses, CAM)["frames"]
+
+
 @register("project_pixels", f"WITH c AS ({view_sql('cloud')}), p AS (SELECT vec_id, 8e0 * x / (z + 1) + 8e0 AS u, 8e0 * y / (z + 1) + 6e0 AS v, z + 1 AS d FROM c) SELECT vec_id, CASE WHEN d > 0 AND u >= 0 AND u < 16 AND v >= 0 AND v < 12 THEN round(u, 6) END AS u, CASE WHEN d > 0 AND u >= 0 AND u < 16 AND v >= 0 AND v < 12 THEN round(v, 6) END AS v FROM p")
 def project_pixels(spark, sf_dir):
     u, v = camera.project(F.col("x"), F.col("y"), F.col("z") + 1, CAM)
@@ -592,7 +628,7 @@ def detect_argmax(spark, sf_dir):
     return detect.parsed(raw).select("det_id", "confidence", "class", "label")
 
 
-@register("detection_filters", f"WITH d AS ({view_sql('detections')}), {_PRIORS} SELECT det_id, label FROM d JOIN priors USING (class_id) WHERE confidence >= 0.5 AND distance BETWEEN 5 AND 200 AND label IN ({', '.join(repr(x) for x in detect.OUTDOOR)})")
+@register("detection_filters", f"WITH d AS ({view_sql('detections')}), {_PRIORS} SELECT det_id, label FROM d JOIN priors USING (class_id) WHERE confidence >= 0.5 AND distance BETWEEN 5 AND 200 AND label IN ('car', 'truck', 'bus', 'motorcycle', 'bicycle', 'person', 'dog', 'cat', 'bench', 'fire hydrant', 'stop sign', 'parking meter', 'potted plant', 'chair', 'dining table')")
 def detection_filters(spark, sf_dir):
     d = detect.with_priors(view(spark, sf_dir, "detections"))
     kept = d.where((F.col("confidence") >= detect.CONFIDENT) & F.col("distance").between(detect.NEAREST, detect.FARTHEST) & F.col("label").isin(*detect.OUTDOOR))
@@ -605,16 +641,27 @@ def detection_median(spark, sf_dir):
     return p.groupBy("u", "v").agg(detect.upper_median(F.collect_list("d")).alias("median"))
 
 
-@register("detection_project")
+@register(
+    "detection_project",
+    f"""WITH d AS ({view_sql('detections')}), pixels AS ({view_sql('pixels')}), {_PRIORS}, raster AS (SELECT u, v, max(d) AS d FROM pixels GROUP BY u, v),
+    box AS (SELECT det_id, class_id, CAST(floor(least(bx, 0.5e0) * 16) AS INTEGER) AS px, CAST(floor(least(by0, 0.5e0) * 12) AS INTEGER) AS py FROM d),
+    hit AS (SELECT det_id, raster.d FROM box JOIN raster ON u >= px AND u < px + 8 AND v >= py AND v < py + 6 WHERE raster.d > 0.1 AND raster.d < 200),
+    med AS (SELECT det_id, list_sort(list(d))[count(*) // 2 + 1] AS m FROM hit GROUP BY det_id),
+    w AS (SELECT det_id, class_id, m, (px + 8 * 0.5e0 - 8e0) / 8e0 * m + 0e0 AS wx, (py + 6 * 0.5e0 - 6e0) / 8e0 * m + 0e0 AS wy, m + 0e0 AS wz, 8 / 8e0 * m AS w, 6 / 8e0 * m AS h FROM box JOIN med USING (det_id) WHERE m BETWEEN 5 AND 200),
+    s AS (SELECT w.*, pw, ph, pd, coalesce(greatest(0e0, least((m - 5e0) / 45e0, 1e0)) * (1e0 - variance), 0e0) AS share FROM w LEFT JOIN priors USING (class_id)),
+    b AS (SELECT *, w * (1e0 - share) + coalesce(pw, 0e0) * share AS bw, h * (1e0 - share) + coalesce(ph, 0e0) * share AS bh, least(w, h) * (1e0 - share) + coalesce(pd, 0e0) * share AS bd FROM s)
+    SELECT det_id, class_id, m AS distance, wx + bw * -0.5e0 AS min_x, wx + bw * 0.5e0 AS max_x, wy + bh * -0.5e0 AS min_y, wy + bh * 0.5e0 AS max_y, wz + bd * -0.5e0 AS min_z, wz + bd * 0.5e0 AS max_z FROM b""",
+)
 def detection_project(spark, sf_dir):
     d = view(spark, sf_dir, "detections").selectExpr("det_id", "class_id", "least(bx, 0.5) bx", "least(by0, 0.5) by", "0.5D bw", "0.5D bh")
     raster = view(spark, sf_dir, "pixels").groupBy("u", "v").agg(F.max("d").alias("d"))
     return detect.projected(d, raster, CAM, 16, 12).select("det_id", "class_id", "distance", "min_x", "max_x", "min_y", "max_y", "min_z", "max_z")
 
 
-@register("refine_scan", FOLD + " SELECT cx, cy, cz, n AS voxels FROM (SELECT cx, cy, cz, count(*) FILTER (log_odds > 0) AS n FROM (SELECT * FROM folded WHERE ix % 8 = 0 AND iy % 8 = 0 AND iz % 8 = 0) GROUP BY cx, cy, cz) WHERE n BETWEEN 1 AND 2")
+@register("refine_scan", FOLD + " SELECT cx, cy, cz, n AS voxels FROM (SELECT cx, cy, cz, count(*) FILTER (log_odds > 0) AS n FROM folded GROUP BY cx, cy, cz) WHERE n BETWEEN 1 AND 99")
 def refine_scan(spark, sf_dir):
-    return detect.thin_chunks(voxels(spark, sf_dir).where("ix % 8 = 0 and iy % 8 = 0 and iz % 8 = 0"))
+    """Chunks of under 100 occupied voxels: these maps are too dense for the usual bound."""
+    return detect.thin_chunks(voxels(spark, sf_dir), thin=100)
 
 
 _TASKS = "event_id AS seq, CAST(user_id % 20 AS SMALLINT) AS cx, CAST(user_id % 7 AS SMALLINT) AS cy, CAST(user_id % 3 AS SMALLINT) AS cz, CAST(event_id % 3 AS INTEGER) AS priority, floor(value) AS observations"
@@ -654,21 +701,48 @@ def tick_delta(spark, sf_dir):
     return sequence.deltas(f, "value").select("session", "seq", "delta")
 
 
-@register("fps_window")
+def _steps(columns: str, table_: str = "events", session: str = "user_id % 8", by: str = "event_id") -> str:
+    """Rows of sessions in order, for a recursion over them."""
+    return f"WITH RECURSIVE e AS MATERIALIZED (SELECT {session} AS session, {by} AS seq, row_number() OVER (PARTITION BY {session} ORDER BY {by}) AS rn, {columns} FROM {table_})"
+
+
+@register(
+    "fps_window",
+    _steps("event_id / 64e0 AS t")
+    + """, s AS (SELECT session, 0::BIGINT AS rn, 0e0 AS since, 0 AS n, false AS due, 0e0 AS "at", 0 AS frames, 0e0 AS fps FROM e GROUP BY session
+      UNION ALL SELECT e.session, e.rn, CASE WHEN t - since >= 0.25 THEN t ELSE since END, CASE WHEN t - since >= 0.25 THEN 0 ELSE n + 1 END, t - since >= 0.25, t, n + 1, (n + 1) / (t - since) FROM s JOIN e ON e.session = s.session AND e.rn = s.rn + 1)
+    SELECT session, row_number() OVER (PARTITION BY session ORDER BY rn) - 1 AS tick, "at", frames, round(fps, 6) AS fps FROM s WHERE due""",
+)
 def fps_window(spark, sf_dir):
     """Ticks of each session's frames, a frame every few hundredths of a second."""
     f = table(spark, sf_dir, "events").selectExpr("user_id % 8 session", "event_id / 64D t")
     return sequence.ticks(f).withColumn("fps", F.round("fps", 6))
 
 
-@register("smoothed_path")
+@register(
+    "smoothed_path",
+    _FLOW.replace("WITH flow", "WITH RECURSIVE flow")
+    + """, a AS (SELECT f.frame_id, coalesce(dx, 0) AS dx, coalesce(dy, 0) AS dy, coalesce(magnitude, 0) AS m FROM (SELECT DISTINCT frame_id FROM flow) f LEFT JOIN m USING (frame_id)),
+    e AS MATERIALIZED (SELECT frame_id % 4 AS session, row_number() OVER (PARTITION BY frame_id % 4 ORDER BY frame_id) AS rn, dx, dy, m, dx * dx + dy * dy AS l2, dx * 0.002e0 AS lx, -dy * 0.002e0 AS ly, sqrt(greatest(0e0, m * m - (dx * dx + dy * dy))) * 0.002e0 AS lz FROM a),
+    s AS (SELECT session, 0::BIGINT AS rn, 0e0 AS x, 0e0 AS y, 0e0 AS z, 0e0 AS heading FROM e GROUP BY session
+      UNION ALL SELECT e.session, e.rn, CASE WHEN m > 0.05 THEN 0.85e0 * x + 0.15e0 * (x + cos(heading) * lx + sin(heading) * lz) ELSE x END, CASE WHEN m > 0.05 THEN 0.85e0 * y + 0.15e0 * (y + ly) ELSE y END,
+        CASE WHEN m > 0.05 THEN 0.85e0 * z + 0.15e0 * (z - sin(heading) * lx + cos(heading) * lz) ELSE z END, CASE WHEN m > 0.05 AND sqrt(l2) > 0.5 THEN heading + atan2(dy, dx) * 0.003e0 ELSE heading END FROM s JOIN e ON e.session = s.session AND e.rn = s.rn + 1)
+    SELECT session, round(arg_max(x, rn), 6) AS x, round(arg_max(y, rn), 6) AS y, round(arg_max(z, rn), 6) AS z, round(arg_max(heading, rn), 6) AS heading FROM s GROUP BY session""",
+)
 def smoothed_path(spark, sf_dir):
     means = rays.flow_means(view(spark, sf_dir, "flow"))
     path = sequence.smoothed_path(means.selectExpr("frame_id % 4 session", "frame_id seq", "dx", "dy", "magnitude"))
     return path.select("session", *(F.round(c, 6).alias(c) for c in ("x", "y", "z", "heading")))
 
 
-@register("scale_median")
+@register(
+    "scale_median",
+    _steps("(1 + value % 3) / (event_id % 4 + 0.5e0) AS ratio")
+    + """, s AS (SELECT session, 0::BIGINT AS rn, CAST([] AS DOUBLE[]) AS kept, 1e0 AS scale FROM e GROUP BY session
+      UNION ALL SELECT session, rn, kept, CASE WHEN len(kept) > 0 THEN list_sort(kept)[len(kept) // 2 + 1] ELSE 1e0 END FROM (
+        SELECT e.session, e.rn, CASE WHEN len(kept) = 0 OR (ratio >= 0.33e0 * scale AND ratio <= 3e0 * scale) THEN list_append(kept, ratio)[-20:] ELSE kept END AS kept FROM s JOIN e ON e.session = s.session AND e.rn = s.rn + 1))
+    SELECT session, round(arg_max(scale, rn), 6) AS scale, CAST(len(arg_max(kept, rn)) AS INTEGER) AS samples, len(arg_max(kept, rn)) >= 5 AS converged FROM s GROUP BY session""",
+)
 def scale_median(spark, sf_dir):
     s = table(spark, sf_dir, "events").selectExpr("user_id % 8 session", "event_id seq", "1 + value % 3 known", "event_id % 4 + 0.5D visual")
     return sequence.scales(s).withColumn("scale", F.round("scale", 6))
@@ -685,10 +759,16 @@ def short_forms(spark, sf_dir):
 
 @register("merged_voxels")
 def merged_voxels(spark, sf_dir):
-    v = voxels(spark, sf_dir).withColumn("cf", keys.pack(F.col("r").bitwiseAND(192), F.col("g").bitwiseAND(0), F.col("b").bitwiseAND(0), F.col("layer") * 0, F.col("class_id") * 0))
+    v = voxels(spark, sf_dir).withColumn("cf", keys.pack(*(F.col(c) for c in ("r", "g", "b", "layer", "class_id"))))
     return grouped.cuboids(v, log_odds=0.4, observations=2)
 
 
+@register("merged_world")
+def merged_world(spark, sf_dir):
+    """What is rendered from a point, unobserved nodes as solid, by levels of detail."""
+    return grouped.rendered(voxels(spark, sf_dir), (30.0, 0.0, 0.0), PLANES[:1], subtractive=True)
+
+
 @register("mesh_faces")
 def mesh_faces(spark, sf_dir):
     return world.faces(merged_voxels(spark, sf_dir))
@@ -792,16 +872,22 @@ def depth_lookup(spark, sf_dir):
     return view(spark, sf_dir, "pixels").select("frame_id", "u", "v", F.when(~F.isnan(d), d).alias("depth"))
 
 
-@register("raster_colour", f"WITH pixels AS ({view_sql('pixels')}), s AS (SELECT frame_id, u, v, 48 + u AS l, 65 + 2 * (u // 2) AS c FROM pixels WHERE v < 1) SELECT frame_id, u, v, CAST(l AS INTEGER) AS y, CAST(c AS INTEGER) AS cb, CAST(c + 1 AS INTEGER) AS cr FROM s")
+@register("raster_colour", f"WITH pixels AS ({view_sql('pixels')}), s AS (SELECT frame_id, u, v, 20 + v * 16 + u AS l, 30 + (v // 2) * 16 + 2 * (u // 2) AS c FROM pixels) SELECT frame_id, u, v, CAST(l AS INTEGER) AS y, CAST(c AS INTEGER) AS cb, CAST(c + 1 AS INTEGER) AS cr FROM s")
 def raster_colour(spark, sf_dir):
     from cairn.functions import raster
 
-    luma, chroma = F.lit(bytes(range(48, 64))), F.lit(bytes(range(65, 81)))
+    luma, chroma = F.lit(bytes(range(20, 20 + 192))), F.lit(bytes(range(30, 30 + 96)))  # 16 x 12 pixels
     y, cb, cr = raster.nv12_at(luma, chroma, F.lit(16), F.col("u"), F.col("v"))
-    return view(spark, sf_dir, "pixels").where("v < 1").select("frame_id", "u", "v", y.alias("y"), cb.alias("cb"), cr.alias("cr"))
+    return view(spark, sf_dir, "pixels").select("frame_id", "u", "v", y.alias("y"), cb.alias("cb"), cr.alias("cr"))
 
 
-@register("keyframes")
+@register(
+    "keyframes",
+    _steps("value / 10e0 AS m")
+    + """, s AS (SELECT session, 0::BIGINT AS rn, 0::BIGINT AS seq, 0e0 AS travel, 0 AS frames FROM e GROUP BY session
+      UNION ALL SELECT e.session, e.rn, e.seq, CASE WHEN travel >= 0.15 OR frames >= 30 THEN 0e0 ELSE travel END + m * 0.002e0, CASE WHEN travel >= 0.15 OR frames >= 30 THEN 0 ELSE frames END + 1 FROM s JOIN e ON e.session = s.session AND e.rn = s.rn + 1)
+    SELECT session, seq, frames, round(travel, 6) AS travel FROM s WHERE travel >= 0.15 OR frames >= 30""",
+)
 def keyframes(spark, sf_dir):
     e = table(spark, sf_dir, "events").selectExpr("user_id % 8 session", "event_id seq", "value / 10D magnitude")
     return sequence.keyframes(e).withColumn("travel", F.round("travel", 6))

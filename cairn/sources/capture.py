@@ -18,6 +18,19 @@ def capture(spark: SparkSession, path: str, *, per_batch: int = 16) -> DataFrame
     return wire.frames(files)
 
 
+def recorded(spark: SparkSession, path: str) -> DataFrame:
+    """The frames and status messages of all files under `path`, as a table."""
+    return wire.frames(spark.read.format("binaryFile").load(path))
+
+
+def send(messages: DataFrame, root: str, checkpoint: str, *, once: bool = False):
+    """Start the reverse channel: a stream of encoded messages (name, content) goes to files under `root`, a folder that the other side watches; nothing waits for it."""
+    from cairn.sources.maps import write_files
+
+    writer = messages.writeStream.foreachBatch(lambda b, _: write_files(b, root, "name")).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def dispatch(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, *, once: bool = False):
     """Start a query that hands each batch's messages to the handler of their kind."""
 

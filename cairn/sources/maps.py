@@ -136,7 +136,7 @@ def _read(spark: SparkSession, path: str, glob: str, decode) -> DataFrame:
 
 
 def maps_of(exported: DataFrame, key: str, **meta) -> DataFrame:
-    """(key, content): a map file's bytes for each value of `key` of an export (x, y, z, cf, obs_count). A map file fits a task by its format."""
+    """(key, content): a map file's bytes for each value of `key` of an export (x, y, z, cf, obs_count, signed_distance). A map file fits a task by its format."""
 
     def encode(rows: pd.DataFrame) -> pd.DataFrame:
         v = np.zeros(len(rows), VOXEL_2)
@@ -144,6 +144,7 @@ def maps_of(exported: DataFrame, key: str, **meta) -> DataFrame:
         for a in "xyz":
             v[a] = rows[a]
         v["cf"], v["obs"] = rows["cf"], np.minimum(rows["obs_count"], K.MOST_OBSERVATIONS)
+        v["sdf"] = rows["signed_distance"]
         return pd.DataFrame({"key": [str(rows[key].iloc[0])], "content": [encode_map({"voxelCount": len(rows), "version": 2, **meta}, v)]})
 
     return exported.groupBy(key).applyInPandas(encode, "key string, content binary")
@@ -163,6 +164,55 @@ def chunks_of(exported: DataFrame, version: int = 0) -> DataFrame:
     return exported.groupBy("cx", "cy", "cz").applyInPandas(encode, "path string, content binary")
 
 
+def write_files(files: DataFrame, root: str, name: str = "path", suffix: str = "") -> int:
+    """Write `files` (a relative path in the column `name`, content) under `root`, a folder that all executors share; returns how many.
+
+    Each task writes its rows, a file under another name first, so that a retried
+    task leaves whole files only.
+    """
+    import uuid
+
+    from pyarrow import fs
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        n = 0
+        for b in batches:
+            for p, data in zip(b["path"], b["content"], strict=True):
+                whole = f"{base}/{p}{suffix}"
+                at.create_dir(whole.rsplit("/", 1)[0], recursive=True)
+                part_of = f"{whole}.{uuid.uuid4().hex}"
+                with at.open_output_stream(part_of) as out:
+                    out.write(data)
+                at.move(part_of, whole)
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return files.select(F.col(name).alias("path"), "content").mapInPandas(part, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def save_maps(exported: DataFrame, key: str, root: str, **meta) -> int:
+    """A map file under `root` for each value of `key`; returns how many."""
+    return write_files(maps_of(exported, key, **meta), root, "key", ".botmap")
+
+
+def save_chunks(exported: DataFrame, root: str, version: int = 0) -> int:
+    """A chunk file under `root` for each chunk; returns how many."""
+    return write_files(chunks_of(exported, version), root)
+
+
+def descriptions(spark: SparkSession, path: str, glob: str = "*.botmap") -> DataFrame:
+    """(path, name, created, voxels, meta) of map files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, m.get("name"), m.get("createdAt"), len(v), json.dumps(m)) for p, (m, v) in zip(b["path"], map(decode_map, b["content"]), strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "name", "created", "voxels", "meta"]).astype({"created": "string"})
+
+    return files.mapInPandas(part, "path string, name string, created string, voxels long, meta string")
+
+
 def save(voxels: DataFrame, path: str) -> None:
     """The native form: Parquet, dealt by super-chunk columns, so that boxes prune files."""
     from cairn.functions import keys

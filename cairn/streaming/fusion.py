@@ -102,11 +102,13 @@ class Fusion:
             self.position = self.position * (1 - alpha) + position * alpha
             self.rotation = slerp(self.rotation, rotation, alpha)
 
-    def feed(self, kind: str, t: float, p: np.ndarray, q: np.ndarray, v: np.ndarray) -> None:
-        """A sample of any kind."""
+    def feed(self, kind: str, t: float, p: np.ndarray, q: np.ndarray, v: np.ndarray, score: float = 0.0) -> None:
+        """A sample of any kind; scans themselves change nothing until they are matched."""
         if kind == "video":
             self.feed_video(p, q)
         elif kind == "imu":
             self.feed_imu(q)
         elif kind == "encoder":
             self.feed_encoder(t, p, v)
+        elif kind == "match":
+            self.feed_match(p, q, score)

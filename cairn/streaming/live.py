@@ -7,61 +7,91 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from cairn import constants as K
-from cairn.operators import fold
+from cairn.operators import detect, fold
+from cairn.sources.shared import checkpointed
 from cairn.streaming.fusion import STATES, Fusion
 
-LIVE = "cx short, cy short, cz short, ix short, iy short, iz short, log_odds float, obs_count int, last_observed long"
+LIVE = "cx short, cy short, cz short, ix short, iy short, iz short, log_odds float, obs_count int, last_observed long, layer int"
 
 
 class LiveMap(StatefulProcessor):
     """A chunk's voxels as state, a map from leaf to evidence; every batch returns the leaves that it changed.
 
     Updates apply in order of seq within a batch, and batches as they arrive:
-    late rows are late.  With `ttl_ms`, leaves that aren't seen for so long leave
-    the state (where the query runs on processing time).
+    late rows are late.  With `ttl` seconds, leaves of the dynamic layer that
+    aren't seen for longer lose their evidence (log-odds zero) and stay; other
+    layers never expire.  The clock is the latest t_rel of the chunk, which goes
+    on with processing time while nothing comes in.
     """
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl: int | None = None):
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.leaves = handle.getMapState("leaves", "leaf int", "log_odds float, obs_count int, last_observed long", self.ttl_ms)
+        self.handle = handle
+        self.leaves = handle.getMapState("leaves", "leaf int", "log_odds float, obs_count int, last_observed long, layer int")
+        self.clock = handle.getValueState("clock", "t long, at_ms long")
+
+    def _expire(self, key, now: int, held: dict[int, list]) -> None:
+        """Expired leaves join `held`, those that this call changes."""
+        for (leaf,), v in list(self.leaves.iterator()):
+            v = held.get(leaf) or list(v)
+            if v[3] == K.DYNAMIC and v[2] < now - self.ttl and v[0] != 0.0:
+                held[leaf] = [0.0, *v[1:]]
+
+    def _changed(self, key, held: dict[int, list]) -> pd.DataFrame:
+        for leaf, v in held.items():
+            self.leaves.updateValue((leaf,), tuple(v))
+        return pd.DataFrame([(*key, i % 32, i // 32 % 32, i // 1024, *v) for i, v in held.items()], columns=[c.split()[0] for c in LIVE.split(", ")])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq")
         held: dict[int, list] = {}
-        for leaf, hit, t in zip((batch["ix"] + 32 * batch["iy"] + 1024 * batch["iz"]).tolist(), batch["hit"].tolist(), batch["t_rel"].tolist(), strict=True):
+        for leaf, hit, t, layer in zip((batch["ix"] + 32 * batch["iy"] + 1024 * batch["iz"]).tolist(), batch["hit"].tolist(), batch["t_rel"].tolist(), batch["layer"].tolist(), strict=True):
             if leaf not in held:
-                held[leaf] = list(self.leaves.getValue((leaf,))) if self.leaves.containsKey((leaf,)) else [0.0, 0, 0]
+                held[leaf] = list(self.leaves.getValue((leaf,))) if self.leaves.containsKey((leaf,)) else [0.0, 0, 0, 0]
             now = held[leaf]
             now[0] = float(min(np.float32(K.HIGH), max(np.float32(K.LOW), np.float32(now[0]) + np.float32(K.HIT if hit else K.MISS))))
-            now[1], now[2] = min(K.MOST_OBSERVATIONS, now[1] + int(hit)), t
-        for leaf, v in held.items():
-            self.leaves.updateValue((leaf,), tuple(v))
-        out = pd.DataFrame([(*key, i % 32, i // 32 % 32, i // 1024, *v) for i, v in held.items()], columns=[c.split()[0] for c in LIVE.split(", ")])
-        yield out
+            now[1], now[2], now[3] = min(K.MOST_OBSERVATIONS, now[1] + int(hit)), t, layer
+        if self.ttl is not None:
+            latest = max(int(batch["t_rel"].max()), self.clock.get()[0] if self.clock.exists() else 0)
+            ms = timerValues.getCurrentProcessingTimeInMs()
+            self.clock.update((latest, ms))
+            for leaf, v in held.items():
+                self.leaves.updateValue((leaf,), tuple(v))
+            self._expire(key, latest, held)
+            self.handle.registerTimer(ms + 1000 * (self.ttl + 1))
+        yield self._changed(key, held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        if self.ttl is not None and self.clock.exists():
+            t, ms = self.clock.get()
+            self._expire(key, t + (timerValues.getCurrentProcessingTimeInMs() - ms) // 1000, held)
+        yield self._changed(key, held)
 
     def close(self) -> None:
         pass
 
 
-def live_map(obs: DataFrame, *, ttl_ms: int | None = None) -> DataFrame:
-    """The changed voxels of each batch of a stream of observations; needs the RocksDB state store."""
-    rows = fold.keyed(obs).select(*fold.KEY, "seq", "hit", "t_rel")
-    return rows.groupBy("cx", "cy", "cz").transformWithStateInPandas(LiveMap(ttl_ms), LIVE, "Update", "ProcessingTime" if ttl_ms else "None")
+def live_map(obs: DataFrame, *, ttl: int | None = None) -> DataFrame:
+    """The changed voxels of each batch of a stream of observations; dynamic ones expire after `ttl` seconds. Needs the RocksDB state store."""
+    rows = fold.keyed(obs).select(*fold.KEY, "seq", "hit", "t_rel", F.col("layer").cast("int").alias("layer"))
+    return rows.groupBy("cx", "cy", "cz").transformWithStateInPandas(LiveMap(ttl), LIVE, "Update", "None" if ttl is None else "ProcessingTime")
 
 
 POSES = "session long, seq long, state string, x double, y double, z double, qx double, qy double, qz double, qw double, scale double"
 
 
 def fused(rows: pd.DataFrame, device: str, fusion: Fusion | None = None) -> tuple[Fusion, list[tuple]]:
-    """The states after each sample (seq, kind, t, px .. pz, qx .. qw, vx .. vz), in order of seq."""
+    """The states after each sample (seq, kind, t, px .. pz, qx .. qw, vx .. vz, and score for matches), in order of seq."""
     f, out = fusion or Fusion(device), []
     for s in rows.sort_values("seq").itertuples(index=False):
-        f.feed(s.kind, s.t, np.array([s.px, s.py, s.pz]), np.array([s.qx, s.qy, s.qz, s.qw]), np.array([s.vx, s.vy, s.vz]))
+        f.feed(s.kind, s.t, np.array([s.px, s.py, s.pz]), np.array([s.qx, s.qy, s.qz, s.qw]), np.array([s.vx, s.vy, s.vz]), getattr(s, "score", 0.0))
         out.append((s.seq, STATES[f.state], *f.position, *f.rotation, f.scale))
     return f, out
 
@@ -101,9 +131,31 @@ def fuse(samples: DataFrame, device: str = "robot") -> DataFrame:
     return samples.groupBy("session").transformWithStateInPandas(Fuse(device), POSES, "Append", "None")
 
 
-def refine(query_name: str, tasks, sink) -> object:
-    """Start a background pass that hands the next tasks of `tasks` to `sink(batch, id)` every five seconds."""
-    return tasks.writeStream.queryName(query_name).trigger(processingTime="5 seconds").foreachBatch(sink).start()
+class Refinement:
+    """The refinement queue of a running map: a small table (QUEUE rows at most) between passes.
+
+    A pass scans for thin chunks where the queue is empty, and hands the next
+    task to `sink(head, id)`; in the explore mode nothing is refined.
+    """
+
+    def __init__(self, voxels, sink, mode: str = "hybrid"):
+        self.voxels, self.sink, self.mode, self.queue = voxels, sink, mode, None
+
+    def __call__(self, batch: DataFrame | None, number: int) -> None:
+        if self.mode not in ("hybrid", "refine"):
+            return
+        if self.queue is None or not self.queue.limit(1).count():
+            thin = detect.thin_chunks(self.voxels()).select("cx", "cy", "cz", F.lit(2).alias("priority"), F.col("voxels").cast("double").alias("observations"))
+            self.queue = checkpointed(detect.queue(thin.withColumn("seq", F.xxhash64("cx", "cy", "cz"))))
+        head, rest = detect.dequeued(self.queue)
+        if head.limit(1).count():
+            self.sink(head, number)
+            self.queue = checkpointed(rest)
+
+
+def refine(ticks: DataFrame, voxels, sink, *, mode: str = "hybrid", seconds: int = 5):
+    """Start a background pass every `seconds`, driven by a stream of ticks (any rows): `voxels()` gives the map, `sink(head, id)` takes a task."""
+    return ticks.writeStream.trigger(processingTime=f"{seconds} seconds").foreachBatch(Refinement(voxels, sink, mode)).start()
 
 
 def preview(points: DataFrame, most: int, sink) -> object:

@@ -7,7 +7,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn import constants as K
-from cairn.functions import keys
 from cairn.operators import fold, grouped, rays, world
 from cairn.sources import maps
 
@@ -18,6 +17,7 @@ class World:
 
     voxels: DataFrame
     name: str = ""
+    created: str = ""
     mode: str = "additive"
 
     @classmethod
@@ -58,15 +58,7 @@ class World:
         """Samples of rays, as observations without colour."""
         return rays.samples(lines, eye)
 
-    def merged(self, eye: tuple[float, float, float] | None = None, planes: list | None = None) -> DataFrame:
-        """Cuboids of what is rendered; with planes, of visible chunks only."""
-        from pyspark.sql import functions as F
-
-        shown = self.voxels
-        if planes:
-            shown = shown.join(world.visible(shown.select("cx", "cy", "cz").distinct(), planes), ["cx", "cy", "cz"], "left_semi")
-        if eye is not None:  # full depth only: coarser bands read nodes without evidence
-            near = rays.lod_depth(shown.select("cx", "cy", "cz").distinct(), eye).where(F.col("depth") == K.DEPTH)
-            shown = shown.join(near.select("cx", "cy", "cz"), ["cx", "cy", "cz"], "left_semi")
-        cf = keys.pack(*(F.col(c) for c in ("r", "g", "b", "layer", "class_id")))
-        return grouped.cuboids(shown.withColumn("cf", cf))
+    def merged(self, eye: tuple[float, float, float] = (0.0, 0.0, 0.0), planes: list | tuple = ()) -> DataFrame:
+        """Cuboids of what is rendered from `eye`: chunks by their level of detail, and super-chunks far away."""
+        near = grouped.rendered(self.voxels, eye, planes, subtractive=self.mode == "subtractive")
+        return near.unionByName(grouped.rendered_far(self.voxels, eye, planes))
