@@ -1,11 +1,13 @@
 """Order-dependent operators over a session's frames, as folds over its sorted steps.
 
-A session's rows are folded in one array; sessions are bounded by a recording's
-length and spread over tasks by their key.
+A session's rows meet in one task; sessions are bounded by a recording's length
+and spread over tasks by their key.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,15 +71,20 @@ def scales(samples: DataFrame) -> DataFrame:
 def ticks(frames: DataFrame, period: float = 0.25) -> DataFrame:
     """(session, tick, at, frames, fps): a tick at the first frame `period` or more after the last one; `frames`: session, t in seconds."""
 
-    def fold(a: Column, e: Column) -> Column:
-        due = e["_at"] - a["since"] >= period
-        tick = F.struct(e["_at"].alias("at"), (a["n"] + 1).alias("frames"), ((a["n"] + 1) / (e["_at"] - a["since"])).alias("fps"))
-        ticked = F.struct(e["_at"].alias("since"), F.lit(0).alias("n"), F.concat(a["out"], F.array(tick)).alias("out"))
-        return F.when(due, ticked).otherwise(F.struct(a["since"].alias("since"), (a["n"] + 1).alias("n"), a["out"].alias("out")))
+    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(rows["t"].to_numpy(float))
+        out, since, seen = [], 0.0, 0
+        while True:
+            at = max(seen, int(np.searchsorted(t, since + period)) - 1)  # the sum may be rounded, the difference decides
+            while at < len(t) and t[at] - since < period:
+                at += 1
+            if at >= len(t):
+                break
+            out.append((key[0], len(out), t[at], at + 1 - seen, (at + 1 - seen) / (t[at] - since)))
+            since, seen = t[at], at + 1
+        return pd.DataFrame(out, columns=["session", "tick", "at", "frames", "fps"])
 
-    zero = F.struct(F.lit(0.0).alias("since"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<at:double,frames:int,fps:double>>)").alias("out"))
-    got = frames.groupBy("session").agg(F.aggregate(steps("t"), zero, fold).alias("f"))
-    return got.select("session", F.posexplode("f.out").alias("tick", "o")).select("session", F.col("tick").cast("long").alias("tick"), "o.at", "o.frames", "o.fps")
+    return frames.groupBy("session").applyInPandas(work, f"session {dict(frames.dtypes)['session']}, tick long, at double, frames int, fps double")
 
 
 def deltas(samples: DataFrame, value: str, by: str = "seq", key: str = "session") -> DataFrame:
@@ -93,12 +100,14 @@ TRAVEL, FRAMES = 0.15, 30
 def keyframes(deltas_: DataFrame) -> DataFrame:
     """(session, seq, frames, travel): where a keyframe is due in a session's flow (seq, magnitude): after TRAVEL metres or FRAMES frames since the last."""
 
-    def fold(a: Column, e: Column) -> Column:
-        travel, frames = a["travel"] + e["magnitude"] * PER_PIXEL, a["frames"] + 1
-        due = (travel >= TRAVEL) | (frames >= FRAMES)
-        out = F.when(due, F.concat(a["out"], F.array(F.struct(e["_at"].alias("seq"), frames.alias("frames"), travel.alias("travel"))))).otherwise(a["out"])
-        return F.struct(F.when(due, 0.0).otherwise(travel).alias("travel"), F.when(due, 0).otherwise(frames).alias("frames"), out.alias("out"))
-
-    zero = F.struct(F.lit(0.0).alias("travel"), F.lit(0).alias("frames"), F.expr("cast(array() as array<struct<seq:bigint,frames:int,travel:double>>)").alias("out"))
-    got = deltas_.groupBy("session").agg(F.aggregate(steps("seq", "magnitude"), zero, fold).alias("f"))
-    return got.select("session", F.explode("f.out").alias("o")).select("session", "o.*")
+    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["seq", "magnitude"])
+        out, travel, frames = [], 0.0, 0
+        for seq, step in zip(rows["seq"].tolist(), (rows["magnitude"].to_numpy(float) * PER_PIXEL).tolist(), strict=True):
+            travel, frames = travel + step, frames + 1
+            if travel >= TRAVEL or frames >= FRAMES:
+                out.append((key[0], seq, frames, travel))
+                travel, frames = 0.0, 0
+        return pd.DataFrame(out, columns=["session", "seq", "frames", "travel"])
+
+    return deltas_.groupBy("session").applyInPandas(work, f"session {dict(deltas_.dtypes)['session']}, seq long, frames int, travel double")
