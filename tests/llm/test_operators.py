@@ -425,6 +425,28 @@ def test_decontamination_query_equals_a_search(spark):
     bench = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
     want = {(d[0], i) for d in documents() for i, t in bench if flat(t) in flat(d[1] or "")}
     assert want <= got
+    # and no other pair: tiles over the whole text, wherever an item's words in shared runs of three could suffice
+    numbers, plain = {}, set()
+    items = {i: [numbers.setdefault(w, len(numbers)) for w in flat(t).split()] for i, t in bench}
+    for d in documents():
+        ids = [numbers.get(w, -1) for w in flat(d[1] or "").split()]
+        runs = {tuple(ids[k : k + 3]) for k in range(len(ids) - 2)}
+        for i, item in items.items():
+            shared = {k + j for k in range(len(item) - 2) if tuple(item[k : k + 3]) in runs for j in range(3)}
+            if len(item) >= 3 and len(shared) >= 0.8 * len(item) and sum(n for *_, n in decontamination.tiles(item, ids)) >= 0.8 * len(item):
+                plain.add((d[0], i))
+    assert {g for g in got if len(items[g[1]]) >= 3} == plain
+
+
+def test_decontamination_edges(spark):
+    item = "one two three four five"
+    docs = spark.createDataFrame([(1, f"a {item} b", "x"), (1, f"a {item} b", "x"), (None, item, "y"), (2, None, None)], "doc_id long, text string, Held string")
+    bench = spark.createDataFrame([(None, item), (5, item), (5, item), (6, "")], "item_id long, text string")
+    got = decontamination.contaminated(docs, "doc_id", "text", bench, "item_id", "text").collect()
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in got) == sorted((d, i) for d in ("1", "1", "None") for i in ("None", "5", "5"))
+    kept = decontamination.clean(docs, "text", bench, "text")
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+    assert decontamination.contaminated(docs.limit(0), "doc_id", "text", bench, "item_id", "text").count() == 0
 
 
 # --- mixing -----------------------------------------------------------------
@@ -497,6 +519,60 @@ def test_token_files_round_trip(spark, tmp_path):
     assert orc_tokens.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_encoder_equals_the_library(monkeypatch):
+    """Any mix of white space, special tokens and long words, with a memory that runs over."""
+    import public_tokenizers
+
+    monkeypatch.setattr(orc_tokens, "MEMORY_BYTES", 2000)
+    encoder, rng = orc_tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(1)
+    kinds = ["a", "b", " ", "  ", "\n", "é", "\u00a0", "<|endoftext|>", "don't", "12", " x", "漢字", "\t", " ", "Word", "!", "\x1c", "\x85", "😀", "w" * 80]
+    for k in range(40):
+        texts = ["".join(rng.choices(kinds, k=rng.randrange(0, 12))) for _ in range(40)]
+        if k % 2:
+            texts = [" ".join(t.split()) for t in texts]
+        ids, many = encoder.encode(pa.array(texts), (0,))
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert many.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+        assert encoder.known.nbytes + encoder.ids.nbytes <= 2000 + 40_000
+
+
+def test_token_query_equals_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got, at = {r.doc_id: r for r in queries.op4_orc_tokens(spark, SF).collect()}, 0
+    for i, t, *_ in documents():
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_repeated_rows_and_clashing_names_of_token_files(spark, tmp_path):
+    import public_tokenizers
+
+    df = spark.createDataFrame([(1, "same text", "x"), (1, "same text", "x"), (2, "b", "y")], "doc_id long, text string, Part string")
+    orc_tokens.write(df, "doc_id", "text", str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"), files=2)
+    got = orc_tokens.read(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [1, 1, 2] and got[0].ids == got[1].ids
+
+
+def test_a_search_by_id_skips_rows(spark, tmp_path):
+    """Row indexes and Bloom filters: a read of few ids takes few rows from the files."""
+    import public_tokenizers
+
+    df = spark.range(20_000).select((F.col("id") * 7).alias("doc_id"), F.lit("a b").alias("text"))
+    orc_tokens.write(df, "doc_id", "text", str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"), files=2)
+    ids = [7 * 15_000, 7 * 3 + 1]
+    rows = spark.read.schema("doc_id bigint, n_tokens bigint").orc(str(tmp_path / "t")).where(F.col("doc_id").isin(ids))
+    assert [r.doc_id for r in rows.collect()] == [7 * 15_000]
+    plan = rows._jdf.queryExecution().executedPlan()
+    rows.collect()
+    leaf = plan.collectLeaves().head()
+    leaf = leaf.executedPlan().collectLeaves().head() if "Adaptive" in leaf.nodeName() else leaf
+    assert 0 < leaf.metrics().apply("numOutputRows").value() <= 4 * orc_tokens.INDEX_ROWS
+
+
 def test_token_query_is_in_order(spark):
     got = queries.op4_orc_tokens(spark, SF).orderBy("doc_id").collect()
     assert got[0].start == 0 and all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False))
@@ -819,3 +895,24 @@ def test_pipeline_stages(spark):
     assert not any(b in r.text for r in kept.collect() for b in bench)
     last = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert last.count() == kept.count() and last.agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_pipeline_on_odd_and_empty_documents(spark, tmp_path):
+    """Nulls everywhere, repeated rows, a clashing extra column; and tables without rows."""
+    import corpus_pipeline
+
+    base = documents()[:60]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, Copies string, gone string"
+    rows = [(i, t, lang, s, len(t), "x", None) for i, t, lang, s in base] + [(None, base[0][1] + " more", "en", None, 1, None, "y"), (900, None, None, None, None, None, None), (901, "", "en", "a", 0, None, None), (902, "1234 5678", None, "a", 9, None, None)]
+    rows += rows[:2]
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "odd/documents.parquet"))
+    spark.createDataFrame([(1, base[3][1]), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "odd/benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    ids = {r.doc_id for r in got}
+    assert got and ids <= {i for i, *_ in base} | {None} and base[3][0] not in ids
+    docs = spark.read.parquet(str(tmp_path / "odd/documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path / "odd")).columns == docs.columns
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"odd/{name}.parquet")).limit(0).write.parquet(str(tmp_path / f"empty/{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
