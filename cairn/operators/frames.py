@@ -8,7 +8,7 @@ generators over the frames' rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +35,11 @@ class Pipeline:
     fine: Model | None = None
     mode: str = HYBRID
     detection_every: int = 1
-    counters: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def ready(self) -> bool:
+        """Whether any mode has a model."""
+        return self.fast is not None or self.fine is not None
 
     def depth(self, pixels: DataFrame) -> DataFrame | None:
         """Pixels with depth by the mode's model: the fine one only when refining, and the fast one for want of it."""

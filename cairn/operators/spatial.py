@@ -9,6 +9,7 @@ twice as wide, only for the queries left over.
 from __future__ import annotations
 
 import functools
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,6 +75,24 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, cell: float, qid:
         reach += 1
 
 
+@dataclass(frozen=True)
+class Index:
+    """Points to search, by grid cells of `cell`: what any spatial index offers, over tables of queries."""
+
+    points: DataFrame
+    cell: float
+    id: str = "id"
+
+    def count(self) -> int:
+        return self.points.count()
+
+    def nearest(self, queries: DataFrame, k: int = 1, *, exclude_self: bool = False) -> DataFrame:
+        return nearest(queries, self.points, k, cell=self.cell, qid=self.id, pid=self.id, exclude_self=exclude_self)
+
+    def within(self, queries: DataFrame, radius: float) -> DataFrame:
+        return within(queries, self.points, radius, qid=self.id, pid=self.id)
+
+
 def neighbour_means(points: DataFrame, *, pid: str, k: int = 6, cell: float = 0.1) -> DataFrame:
     """(pid, mean): the mean distance to at most k nearest others in the 27 cells around; points without any are left out."""
     pairs = _pairs(points, points, pid, pid, cell, 1).where("query_id <> point_id")

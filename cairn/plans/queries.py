@@ -829,6 +829,24 @@ def map_file_roundtrip(spark, sf_dir):
     return leaves.groupBy("cx", "cy", "cz").agg(F.count(F.lit(1)).alias("voxels"), F.max("log_odds").alias("log_odds"))
 
 
+@register("map_records", FOLD + f"SELECT {_CENTRES}, {_CF} AS cf, CAST(least(65535, obs_count) AS BIGINT) AS obs, 3.4028234663852886e38::FLOAT AS sdf FROM folded WHERE log_odds >= 0")
+def map_records(spark, sf_dir):
+    """Whole records of map files: place, colour and layer, observations, signed distance."""
+    from cairn.sources import maps
+
+    at = world.exported(voxels(spark, sf_dir)).withColumn("part", F.floor("y"))
+
+    def decode(batches):
+        import pandas as pd
+
+        for b in batches:
+            for data in b["content"]:
+                v = maps.decode_map(data)[1]
+                yield pd.DataFrame({a: v[a].astype(float) for a in "xyz"} | {"cf": v["cf"].astype("int64"), "obs": v["obs"].astype("int64"), "sdf": v["sdf"]})
+
+    return maps.maps_of(at, "part", name="records").mapInPandas(decode, "x double, y double, z double, cf long, obs long, sdf float")
+
+
 @register("wire_roundtrip", f"WITH pixels AS ({view_sql('pixels')}) SELECT frame_id AS sequence, CAST(count(*) AS INTEGER) AS width FROM pixels WHERE d IS NOT NULL GROUP BY frame_id")
 def wire_roundtrip(spark, sf_dir):
     """Frames with depth rasters, coded to length-prefixed messages and read back."""

@@ -166,3 +166,13 @@ def test_subtractive_updates_split_on_conflict():
     deep = [x for x in grouped.leaves(root) if x[0] == 5]
     assert len(deep) == 1 and deep[0][4].colour == (9, 9, 9)
     assert grouped.update(root, 1.5, 0, 0, True, 3) is None
+
+
+def test_an_index_answers_as_the_joins_do(spark):
+    rows = [(i, float(i % 7), float(i % 5), float(i % 3)) for i in range(60)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    index = spatial.Index(points, 1.0)
+    assert index.count() == 60
+    one = index.nearest(points.where("id < 3"), exclude_self=True).orderBy("query_id").collect()
+    assert [r["rank"] for r in one] == [1, 1, 1]
+    assert index.within(points.where("id = 0"), 1.0).count() == sum((x - 0) ** 2 + y**2 + z**2 <= 1 for _, x, y, z in rows)
