@@ -395,10 +395,11 @@ def _cut(shards: int, length: int):
             kept: tuple[list, list, list, list] = ([], [], [], [])
             for id_, tie, text, found in zip(b.column("id").to_pylist(), b.column("tie").to_pylist(), b.column("text"), b.column("found").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                if spans := [f["blob"] for f in found if f["kind"] == _SPANS]:  # a row a document, however many shards have settled some
+                    for column, v in zip(kept, (id_ % shards, id_, tie, merged(np.frombuffer(b"".join(spans), _SPAN)).tobytes()), strict=True):
+                        column.append(v)
                 for f in found:
                     if f["kind"] == _SPANS:
-                        for column, v in zip(kept, (id_ % shards, id_, tie, f["blob"]), strict=True):
-                            column.append(v)
                         continue
                     at = np.frombuffer(f["blob"], _STRETCH)
                     head = np.zeros(len(at), _CONTEXT)
