@@ -99,6 +99,12 @@ def _trim() -> Callable[[int], int] | None:
         return None
 
 
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def tidy(part):
     """`part`, a function of a task's batches, that gives a reused Python worker's free memory back when the task ends."""
 
@@ -107,9 +113,20 @@ def tidy(part):
         try:
             yield from part(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := _trim():
-                trim(0)
+            _release()
+
+    return run
+
+
+def tidy_group(work):
+    """`work`, a function of a large group's key and table, that gives free memory back after each."""
+
+    @functools.wraps(work)
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        try:
+            return work(key, t)
+        finally:
+            _release()
 
     return run
 

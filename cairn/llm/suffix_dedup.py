@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bounded_batches, checkpointed, mix64, slices, tidy
+from cairn.llm.common import bounded_batches, checkpointed, mix64, slices, tidy, tidy_group
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text whose anchors are computed at once, and anchors that a task holds before it sends them on.
@@ -526,10 +526,10 @@ def repeats(df: DataFrame, doc_id: str, text: str, *, length: int = LENGTH) -> D
     sent_as = "shard int, id long, tie long, kind int, blob binary"
     hot = _hot(df, text, length, shards)
     sent = texts.join(firsts.hint("shuffle_hash"), ["id", "tie"]).select("doc_id", "id", "tie", "text").mapInArrow(tidy(_find(shards, length, hot)), sent_as)
-    found = sent.groupBy("shard").applyInArrow(_shared(length), "id long, tie long, kind int, blob binary")
+    found = sent.groupBy("shard").applyInArrow(tidy_group(_shared(length)), "id long, tie long, kind int, blob binary")
     wanted = found.groupBy("id", "tie").agg(F.collect_list(F.struct("kind", "blob")).alias("found"))  # no more than a document holds
     cut = texts.join(wanted.hint("shuffle_hash"), ["id", "tie"]).mapInArrow(tidy(_cut(shards, length)), sent_as)
-    covered = cut.groupBy("shard").applyInArrow(_covered(length), "id long, tie long, kind int, blob binary")
+    covered = cut.groupBy("shard").applyInArrow(tidy_group(_covered(length)), "id long, tie long, kind int, blob binary")
     status = firsts.select("id", "tie", F.lit(1).alias("first"), F.lit(None).cast("binary").alias("blob")).unionByName(covered.select("id", "tie", F.lit(0).alias("first"), "blob"))
     status = status.groupBy("id", "tie").agg(F.max("first").alias("first"), F.collect_list("blob").alias("blobs"))
     done = texts.join(status.hint("shuffle_hash"), ["id", "tie"], "left").select("doc_id", "text", (F.coalesce("first", F.lit(0)) == 1).alias("first"), "blobs")
