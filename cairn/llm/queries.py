@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, html_text, langid, licenses, mixing, orc_tokens, simhash, suffix_dedup, toxicity, vptree
+from cairn.llm import byte_bpe, decontamination, html_text, langid, licenses, mixing, orc_tokens, simhash, suffix_dedup, toxicity, vector_codes, vptree
 from cairn.llm.common import checkpointed, fold, shared_dir, small, table
 
 
@@ -65,9 +65,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def op11_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.round_trip(docs, "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return vector_codes.label_errors(checkpointed(coded)).select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op4_orc_tokens, op5_main_text, op6_source_mixing, op7_nearest_neighbours, op8_repeated_passages, op9_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op4_orc_tokens, op5_main_text, op6_source_mixing, op7_nearest_neighbours, op8_repeated_passages, op9_license_scan, op10_decontamination, op11_merge_replay, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.ORACLE}
+    return {"op6_source_mixing": mixing.ORACLE, "op13_vector_codes": vector_codes.oracle()}
