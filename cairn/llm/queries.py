@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import byte_bpe, decontamination, html_text, langid, licenses, mixing, orc_tokens, simhash, suffix_dedup, toxicity, vector_codes, vptree
+from cairn.llm import byte_bpe, decontamination, html_text, langid, licenses, merkle, mixing, orc_tokens, simhash, suffix_dedup, toxicity, vector_codes, vptree
 from cairn.llm.common import checkpointed, fold, shared_dir, small, table
 
 
@@ -70,14 +70,21 @@ def op11_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = [merkle.lowered(c) if c == "text" else F.col(c) for c in merkle.COLUMNS]
+    claimed = F.when(F.col("doc_id").isNotNull() & (fold("doc_id", 5) == 0), merkle.leaf(tampered))
+    return merkle.folded(merkle.manifest(docs, "doc_id", "source", merkle.COLUMNS, {"claimed": claimed}), "claimed")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
     return vector_codes.label_errors(checkpointed(coded)).select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op4_orc_tokens, op5_main_text, op6_source_mixing, op7_nearest_neighbours, op8_repeated_passages, op9_license_scan, op10_decontamination, op11_merge_replay, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_language_id, op4_orc_tokens, op5_main_text, op6_source_mixing, op7_nearest_neighbours, op8_repeated_passages, op9_license_scan, op10_decontamination, op11_merge_replay, op12_merkle_manifest, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.ORACLE, "op13_vector_codes": vector_codes.oracle()}
+    return {"op6_source_mixing": mixing.ORACLE, "op12_merkle_manifest": merkle.oracle(), "op13_vector_codes": vector_codes.oracle()}
