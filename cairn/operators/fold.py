@@ -6,7 +6,8 @@ functions compose into one of their kind.  In hundredths this is exact, so
 `folded_in_runs` folds runs of BUCKET updates first, then runs of runs: no group
 holds more than BUCKET rows of a voxel at once.  `folded` adds in single
 precision as a live map does, where a sum of the same updates may differ from
-zero by rounding.
+zero by rounding; the module `runs` composes its updates before they cross the
+network.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ def log_odds(seq: str = "seq", hit: str = "hit") -> Column:
     return F.aggregate(steps, f(0.0), lambda a, e: F.greatest(f(K.LOW), F.least(f(K.HIGH), a + F.when(e["h"], f(K.HIT)).otherwise(f(K.MISS)))))
 
 
-def _last(c: str) -> Column:
-    return F.max_by(c, "seq").alias(c)
+def bit(robot: str = "robot") -> Column:
+    """The bit of a robot in a mask of observers; those beyond 63 have none."""
+    return F.when((F.col(robot) >= 0) & (F.col(robot) < 64), F.expr(f"shiftleft(1L, cast({robot} as int))")).otherwise(F.lit(0).cast("long"))
 
 
 def folded(obs: DataFrame) -> DataFrame:
@@ -46,20 +48,13 @@ def folded(obs: DataFrame) -> DataFrame:
 
     Hits count, up to the most that a node can; colour, layer, class and time
     are the last update's, be it hit or miss; robots up to 63 set their bit.
+    Runs of updates are composed where they lie (see `runs`).
     """
-    robot = F.when((F.col("robot") >= 0) & (F.col("robot") < 64), F.expr("shiftleft(1L, cast(robot as int))")).otherwise(F.lit(0).cast("long"))
-    return (
-        keyed(obs)
-        .withColumn("bit", robot)
-        .groupBy(*KEY)
-        .agg(
-            log_odds().alias("log_odds"),
-            F.least(F.lit(K.MOST_OBSERVATIONS), F.sum(F.col("hit").cast("int"))).cast("int").alias("obs_count"),
-            F.bit_or("bit").alias("observer_mask"),
-            F.max_by("t_rel", "seq").alias("last_observed"),
-            *(_last(c) for c in ("r", "g", "b", "layer", "class_id")),
-        )
-    )
+    from cairn.operators import runs
+
+    whole = runs.voxels(obs.withColumn("mask", bit()))
+    count = F.least(F.lit(K.MOST_OBSERVATIONS), F.col("hits")).cast("int")
+    return whole.select(*KEY, "log_odds", count.alias("obs_count"), F.col("mask").alias("observer_mask"), F.col("t_rel").alias("last_observed"), "r", "g", "b", "layer", "class_id")
 
 
 def _compose(a: Column, b: Column) -> Column:
@@ -88,14 +83,14 @@ def folded_in_runs(obs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def merged(state: DataFrame, batch: DataFrame) -> DataFrame:
     """Voxels of `state` after the observations of `batch`, an outer join by voxel: what is new is created, what isn't seen stays."""
-    fresh = keyed(batch).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("s"), F.col("hit").alias("h")))).alias("steps"), F.sum(F.col("hit").cast("int")).alias("hits"), F.max_by("t_rel", "seq").alias("t"), *(F.max_by(c, "seq").alias(f"new_{c}") for c in ("r", "g", "b")))
-    f = lambda v: F.lit(v).cast("float")
-    start = F.coalesce(F.col("log_odds"), f(0.0))
-    after = F.aggregate(F.coalesce("steps", F.expr("array()").cast("array<struct<s:bigint,h:boolean>>")), start, lambda a, e: F.greatest(f(K.LOW), F.least(f(K.HIGH), a + F.when(e["h"], f(K.HIT)).otherwise(f(K.MISS)))))
-    return state.join(fresh, KEY, "full_outer").select(
+    from cairn.operators import runs
+
+    new = runs.voxels(batch).select(*KEY, F.struct("lo", "hi", "steps").alias("run"), "hits", "t_rel", *(F.col(c).alias(f"new_{c}") for c in ("r", "g", "b")))
+    start = F.coalesce(F.col("log_odds"), F.lit(0.0).cast("float"))
+    return state.join(new, KEY, "full_outer").select(
         *KEY,
-        after.alias("log_odds"),
+        F.when(F.col("run").isNull(), start).otherwise(runs.applied(start, F.col("run"))).alias("log_odds"),
         F.least(F.lit(K.MOST_OBSERVATIONS), F.coalesce("obs_count", F.lit(0)) + F.coalesce("hits", F.lit(0))).cast("int").alias("obs_count"),
-        F.coalesce("t", "last_observed").alias("last_observed"),
+        F.coalesce("t_rel", "last_observed").alias("last_observed"),
         *(F.coalesce(f"new_{c}", c).alias(c) for c in ("r", "g", "b")),
     )

@@ -39,10 +39,12 @@ def marched(rays: DataFrame, camera_at: tuple[float, float, float] = (0.0, 0.0,
 def samples(rays: DataFrame, camera_at: tuple[float, float, float] = (0.0, 0.0, 0.0), most: float = 10.0, *, eye: tuple[str, str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(`keep`, ray_id, i, x, y, z, hit): the misses along each ray in order, then its hit."""
     m = marched(rays, camera_at, most, eye=eye)
-    misses = m.where("steps >= 1").withColumn("i", F.explode(F.expr("sequence(1, steps, stride)"))).withColumn("t", F.col("i") * F.col("step")).withColumn("hit", F.lit(False))
-    hits = m.where("hits = 1").withColumns({"i": F.lit((1 << 31) - 1), "t": F.col("hit_distance"), "hit": F.lit(True)})
-    both = misses.unionByName(hits)
-    return both.select(*keep, "ray_id", "i", *((F.col(f"o{a}") + F.col(f"d{a}") * F.col("t")).alias(a) for a in "xyz"), "hit")
+    last = F.lit((1 << 31) - 1)
+    misses = F.expr("if(steps >= 1, sequence(1, steps, stride), array())").cast("array<int>")
+    each = m.withColumn("i", F.explode(F.concat(misses, F.when(F.col("hits") == 1, F.array(last)).otherwise(F.array().cast("array<int>")))))
+    hit = F.col("i") == last
+    out = each.withColumns({"hit": hit, "t": F.when(hit, F.col("hit_distance")).otherwise(F.col("i") * F.col("step"))})
+    return out.select(*keep, "ray_id", "i", *((F.col(f"o{a}") + F.col(f"d{a}") * F.col("t")).alias(a) for a in "xyz"), "hit")
 
 
 def scan_samples(lidar: DataFrame, most: int = 25) -> DataFrame:

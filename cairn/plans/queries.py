@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn import constants as K
 from cairn.functions import camera, colour, keys, text
-from cairn.operators import detect, fold, grouped, rays, sequence, spatial, world
+from cairn.operators import detect, fold, grouped, rays, runs, sequence, spatial, world
 from cairn.views import table, view, view_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -469,9 +469,11 @@ def ray_carve_samples(spark, sf_dir):
 )
 def ray_carve_fold(spark, sf_dir):
     """Carving folded into the map: per voxel in order of ray and sample, hits last."""
-    s = rays.samples(view(spark, sf_dir, "rays")).withColumn("seq", F.col("ray_id") * (1 << 31) + F.col("i"))
-    folded = fold.keyed(s).groupBy(*fold.KEY).agg(fold.log_odds().alias("log_odds"))
-    return folded.groupBy("log_odds").agg(F.count(F.lit(1)).alias("voxels"))
+
+    def carve(part: DataFrame) -> DataFrame:
+        return rays.samples(part).withColumn("seq", F.col("ray_id") * (1 << 31) + F.col("i"))
+
+    return runs.voxels(view(spark, sf_dir, "rays"), "ray_id", carve).groupBy("log_odds").agg(F.count(F.lit(1)).alias("voxels"))
 
 
 _DIST = "sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz))"
