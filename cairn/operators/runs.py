@@ -78,11 +78,13 @@ def composed(key: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, end_lo, end_hi, steps
 
 
-def _runs(t: pa.Table, part: int, block: int) -> pa.Table:
+def _runs(t: pa.Table, part: int, block: int) -> list[pa.RecordBatch]:
     """One row a key of updates (x, y, z, seq, hit, mask and the LAST columns)."""
     key, inside = morton.keys(*(t.column(c).to_numpy() for c in "xyz"))
     if not inside.all():
         t, key = t.filter(pa.array(inside)), key[inside]
+    if not len(key):
+        return []
     seq = t.column("seq").to_numpy()
     order = np.lexsort((seq, key))
     key, hit = key[order], t.column("hit").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False).astype(bool)[order]
@@ -104,7 +106,7 @@ def _runs(t: pa.Table, part: int, block: int) -> pa.Table:
         "mask": np.bitwise_or.reduceat(t.column("mask").to_numpy()[order], starts) if len(starts) else n,
     }
     latest = pa.array(order[ends])
-    return pa.table({c: pa.array(columns[c]) for c in ("key", *fold.KEY, "part", "block", "first", "last", "lo", "hi", "steps", "n", "hits", "mask")} | {c: t.column(c).take(latest) for c in t.column_names if c in LAST})
+    return pa.table({c: pa.array(columns[c]) for c in ("key", *fold.KEY, "part", "block", "first", "last", "lo", "hi", "steps", "n", "hits", "mask")} | {c: t.column(c).take(latest) for c in t.column_names if c in LAST}).to_batches()
 
 
 def applied(x: Column, run: Column) -> Column:
@@ -153,10 +155,10 @@ def runs(updates: DataFrame) -> tuple[DataFrame, list[str]]:
             held.append(b)
             n += b.num_rows
             if n >= HELD:
-                yield from _runs(pa.Table.from_batches(held), number, block).to_batches()
+                yield from _runs(pa.Table.from_batches(held), number, block)
                 held, n, block = [], 0, block + 1
         if held:
-            yield from _runs(pa.Table.from_batches(held), number, block).to_batches()
+            yield from _runs(pa.Table.from_batches(held), number, block)
 
     return rows.mapInArrow(part, RUN + "".join(f", {c} {kinds[c]}" for c in last)), last
 
