@@ -9,6 +9,7 @@ levels of the octree at once, and a region of space is a few ranges of keys.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -28,7 +29,7 @@ Relation = Callable[[Sequence[float], Sequence[float]], int]
 
 
 def _table(values: list[int]) -> Column:
-    return F.array(*(F.lit(v).cast("long") for v in values))
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
 
 
 def _spread(u: Column) -> Column:
@@ -187,6 +188,23 @@ def frustum(planes: Sequence[tuple[float, float, float, float]]) -> Relation:
     return of
 
 
+def both(*relations: Relation) -> Relation:
+    """The relation to what lies in all regions."""
+    return lambda a, z: min(r(a, z) for r in relations) if all(r(a, z) >= 0 for r in relations) else -1
+
+
+def whole_chunks(relation: Relation) -> Relation:
+    """The relation to all chunks that `relation` doesn't place outside, each as a whole."""
+
+    def of(a: Sequence[float], z: Sequence[float]) -> int:
+        if z[0] - a[0] > 1:
+            return min(relation(a, z), 0)  # a corner of its box may be shown where a chunk within isn't
+        low = [math.floor(x) for x in a]
+        return -1 if relation(low, [c + 1 for c in low]) < 0 else 1
+
+    return of
+
+
 def within(parts: Ranges, name: str = "key") -> Column:
     """Whether a key lies in one of the ranges; comparisons that readers of sorted files skip row groups by."""
     out = F.lit(False)

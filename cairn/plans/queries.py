@@ -6,6 +6,7 @@ depends on scan order or keeps state across a stream.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -868,6 +869,64 @@ def wire_roundtrip(spark, sf_dir):
     return wire.frames(messages).where("kind = 'frame' and length(depth) = 2 * depth_width").select("sequence", F.col("depth_width").alias("width"))
 
 
+def _store(spark: SparkSession, sf_dir: str):
+    """The observations stored in two batches, each into the super-chunks that it touches."""
+    import uuid
+
+    from cairn.sources.shared import shared_dir
+    from cairn.sources.store import Store
+
+    obs = view(spark, sf_dir, "obs")
+    half = (obs.agg(F.max("seq")).first()[0] or 0) // 2
+    store = Store(spark, f"{shared_dir(spark)}/map-{uuid.uuid4().hex}")
+    for k, part in enumerate((F.col("seq") < half, F.col("seq") >= half)):
+        store.insert(obs.where(part), ("obs", k))
+    return store
+
+
+@register("stored_batches", FOLD + "SELECT * FROM folded")
+def stored_batches(spark, sf_dir):
+    """A stored map after two batches."""
+    return _store(spark, sf_dir).read().drop("key")
+
+
+@register("stored_sphere", FOLD + f"SELECT x, y, z FROM (SELECT {_CENTRES} FROM folded WHERE log_odds > 0) WHERE (x - 1) * (x - 1) + (y - 3) * (y - 3) + (z - 0.5) * (z - 0.5) <= 2.25")
+def stored_sphere(spark, sf_dir):
+    """What a stored map holds about a point, by ranges of Morton keys."""
+    return _store(spark, sf_dir).sphere((1.0, 3.0, 0.5), 1.5).where("log_odds > 0").select("x", "y", "z")
+
+
+@register(
+    "capture_chunks",
+    "SELECT o_custkey AS session, o_orderkey AS sequence, CAST(o_orderkey % 1000 AS DOUBLE) AS x, CAST(o_custkey % 1000 AS DOUBLE) / 4e0 AS y, -0.5e0 AS z, o_orderkey % 256 AS r, o_custkey % 256 AS g, 7::BIGINT AS b FROM orders",
+)
+def capture_chunks(spark, sf_dir):
+    """A session of frames a customer, as bytes that come in chunks of up to 61, put together again."""
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    from cairn.sources import capture, wire
+    from cairn.streaming import reassembly
+
+    def encode(batches):
+        for b in batches:
+            out = []
+            for session, sequence in zip(b.column("session").to_pylist(), b.column("sequence").to_pylist(), strict=True):
+                point = struct.pack("<3f4B", sequence % 1000, session % 1000 / 4, -0.5, sequence % 256, session % 256, 7, 0)
+                out.append(wire.prefixed(wire.encode_frame(wire.Frame(sequence, 1.0, points=point, point_count=1, flags=wire.COLOURED))))
+            yield pa.RecordBatch.from_arrays([b.column("session"), b.column("sequence"), pa.array(out, pa.binary())], ["session", "sequence", "message"])
+
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("sequence"))
+    coded = orders.mapInArrow(encode, "session long, sequence long, message binary")
+    before = Window.partitionBy("session").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    placed = coded.withColumn("start", F.col("session") + F.coalesce(F.sum(F.octet_length("message")).over(before), F.lit(0)))
+    cut = placed.withColumn("skip", F.explode(F.expr("sequence(0, octet_length(message) - 1, 61)")))
+    chunks = cut.select("session", (F.col("start") + F.col("skip")).alias("at"), F.expr("substring(message, skip + 1, 61)").alias("chunk"))
+    frames = reassembly.recorded(chunks)
+    points = capture.world_points(frames).drop("i")
+    return frames.select("session", "sequence").join(points, "sequence")
+
+
 @register("pose_json", f"WITH p AS ({view_sql('poses')}) SELECT pose_id, px, py, pz, qx, qy, qz, qw FROM p")
 def pose_json(spark, sf_dir):
     """Poses through JSON and back."""

@@ -163,3 +163,11 @@ def preview(points: DataFrame, most: int, sink) -> object:
     from cairn.operators.world import strided
 
     return points.writeStream.trigger(processingTime="2 seconds").foreachBatch(lambda b, i: sink(strided(b, most, ["x", "y", "z"]), i)).start()
+
+
+def stored(obs: DataFrame, root: str, checkpoint: str, *, name: str = "live", once: bool = False):
+    """Start a query that inserts each batch of a stream of observations into the map stored under `root`, once: a batch that a restart repeats changes nothing."""
+    from cairn.sources.store import Store
+
+    writer = obs.writeStream.foreachBatch(lambda b, i: Store(b.sparkSession, root).insert(b, (name, i))).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
