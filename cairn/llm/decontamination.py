@@ -30,46 +30,86 @@ from cairn.llm.licenses import words_of
 
 TILE, COVERAGE = 3, 0.8
 BLOCK_BYTES = 16 << 20
-_BASE, _MOD = 1_000_003, (1 << 61) - 1
-
-
-def karp_rabin(ids: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-    """(start, rolling hash) of each window of `size` free words."""
-    top, h, run = pow(_BASE, size, _MOD), 0, 0
-    for i, w in enumerate(ids):
-        if not free[i] or w < 0:
-            h, run = 0, 0
-            continue
-        h, run = (h * _BASE + w + 1) % _MOD, run + 1
-        if run > size:
-            h = (h - top * (ids[i - size] + 1)) % _MOD
-        if run >= size:
-            yield i - size + 1, h
+_BASE = 1_000_003
+
+
+def karp_rabin(ids: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the windows of `size` free words; negative words are in none."""
+    n = len(ids) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    bad = np.concatenate([[0], np.cumsum(~free | (ids < 0))])
+    starts = np.flatnonzero(bad[size:] == bad[:-size])
+    part, width = ids.astype(np.uint64) + np.uint64(1), 1  # hashes of `width` words, doubled
+    whole, done, base = np.zeros(len(ids), np.uint64), 0, _BASE
+    while True:
+        if size & width:
+            shifted = np.zeros_like(part)
+            shifted[: len(part) - done] = part[done:]
+            whole, done = whole * np.uint64(base) + shifted, done + width
+        if 2 * width > size:
+            return starts, whole[starts]
+        ahead = np.zeros_like(part)
+        ahead[: len(part) - width] = part[width:]
+        part, width, base = part * np.uint64(base) + ahead, 2 * width, base * base % (1 << 64)
+
+
+def common_runs(item: np.ndarray, text: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(words, start in item, start in text) of the longest common runs of `size` free words or more, one for each run.
+
+    A run is extended from its first word only, all runs a word at a time, so
+    texts that repeat themselves cost item times text in short array operations,
+    not in runs times their length.
+    """
+    i_at, i_hash = karp_rabin(item, free_a, size)
+    j_at, j_hash = karp_rabin(text, free_b, size)
+    order = np.lexsort((j_at, j_hash))
+    j_at, j_hash = j_at[order], j_hash[order]
+    first, last = np.searchsorted(j_hash, i_hash, "left"), np.searchsorted(j_hash, i_hash, "right")
+    before = np.append(np.where(free_b, text, -1), -1)  # the last one stands before the first word
+    found_i, found_j = [], []
+    for i, a, z in zip(i_at.tolist(), first.tolist(), last.tolist(), strict=True):
+        if z > a:
+            j = j_at[a:z]
+            if i and free_a[i - 1] and item[i - 1] >= 0:
+                j = j[before[j - 1] != item[i - 1]]  # else the run has begun before
+            found_i.append(np.full(len(j), i))
+            found_j.append(j)
+    if not found_i:
+        return (np.zeros(0, np.int64),) * 3
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    n, on = np.zeros(len(i), np.int64), np.arange(len(i))
+    while len(on):
+        x, y = i[on] + n[on], j[on] + n[on]
+        inside = (x < len(item)) & (y < len(text))
+        on, x, y = on[inside], x[inside], y[inside]
+        on = on[free_a[x] & free_b[y] & (item[x] == text[y]) & (item[x] >= 0)]
+        n[on] += 1
+    real = n >= size
+    return n[real], i[real], j[real]
 
 
 def tiles(item: list[int], text: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
     """Tiles (start in item, start in text, words), longest first; negative words match nothing."""
-    free_a, free_b, out = [True] * len(item), [True] * len(text), []
-    size = max(least, min(len(item), len(text), 32))
+    a, b = np.asarray(item, np.int64), np.asarray(text, np.int64)
+    free_a, free_b, out = np.ones(len(a), bool), np.ones(len(b), bool), []
+    size = max(least, min(len(a), len(b), 32))
     while True:
-        at = defaultdict(list)
-        for j, h in karp_rabin(text, free_b, size):
-            at[h].append(j)
-        found = []
-        for i, h in karp_rabin(item, free_a, size):
-            for j in at.get(h, ()):
-                n = 0
-                while i + n < len(item) and j + n < len(text) and free_a[i + n] and free_b[j + n] and item[i + n] == text[j + n] >= 0:
-                    n += 1
-                if n >= size:
-                    found.append((n, i, j))
-        if found and (most := max(found)[0]) > 2 * size:
+        n, i, j = common_runs(a, b, free_a, free_b, size)
+        if len(n) and (most := int(n.max())) > 2 * size:
             size = most
             continue
-        for n, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if all(free_a[i : i + n]) and all(free_b[j : j + n]):
-                out.append((i, j, n))
-                free_a[i : i + n], free_b[j : j + n] = [False] * n, [False] * n
+        while len(n):
+            top = np.flatnonzero(n == n.max())
+            best = top[np.lexsort((j[top], i[top]))[0]]
+            m, p, q = int(n[best]), int(i[best]), int(j[best])
+            out.append((p, q, m))
+            free_a[p : p + m], free_b[q : q + m] = False, False
+            # of runs that the tile meets, what follows it is left
+            skip = np.maximum(np.where((i < p + m) & (i + n > p), p + m - i, 0), np.where((j < q + m) & (j + n > q), q + m - j, 0))
+            n, i, j = n - skip, i + skip, j + skip
+            left = n >= size
+            n, i, j = n[left], i[left], j[left]
         if size == least:
             return out
         size = max(least, size // 2)

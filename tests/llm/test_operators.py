@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -370,6 +371,49 @@ def test_tiles_are_longest_first_and_reach_over_moved_parts():
     assert decontamination.tiles(item, [-1] * 20) == []
 
 
+def plain_tiles(item, text, least=3):
+    """The same tiling word by word: every common run of each start is extended by itself."""
+    free_a, free_b, out = [True] * len(item), [True] * len(text), []
+    size = max(least, min(len(item), len(text), 32))
+    while True:
+        found = []
+        for i in range(len(item)):
+            for j in range(len(text)):
+                n = 0
+                while i + n < len(item) and j + n < len(text) and free_a[i + n] and free_b[j + n] and item[i + n] == text[j + n] >= 0:
+                    n += 1
+                if n >= size:
+                    found.append((n, i, j))
+        if found and max(found)[0] > 2 * size:
+            size = max(found)[0]
+            continue
+        for n, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
+            if all(free_a[i : i + n]) and all(free_b[j : j + n]):
+                out.append((i, j, n))
+                free_a[i : i + n], free_b[j : j + n] = [False] * n, [False] * n
+        if size == least:
+            return out
+        size = max(least, size // 2)
+
+
+def test_tiles_equal_a_plain_tiling():
+    r = random.Random(5)
+    for _ in range(400):
+        v, least = r.choice([1, 2, 3, 8, 50]), r.choice([1, 2, 3])
+        item = [r.randint(0, v) for _ in range(r.randint(least, r.choice([6, 30, 70])))]
+        text = [r.randint(-1, v) for _ in range(r.randint(0, r.choice([6, 30, 70])))]
+        if text and r.random() < 0.5:
+            a, p = r.randrange(len(item)), r.randint(0, len(text))
+            text[p:p] = item[a : a + r.randint(1, 60)]
+        assert decontamination.tiles(item, text, least) == plain_tiles(item, text, least)
+
+
+def test_texts_that_repeat_themselves_are_tiled_in_bounded_time():
+    began = time.process_time()
+    assert decontamination.tiles([k % 2 for k in range(400)], [k % 2 for k in range(20_000)]) == [(0, 0, 400)]
+    assert time.process_time() - began < 2
+
+
 def test_contaminated(spark):
     words = [f"w{i}" for i in range(40)]
     item = " ".join(words)
