@@ -51,7 +51,8 @@ class Pipeline:
 
         pixels: frame_id, u, v and what the model needs; detections: frame_id,
         det_id, class_id and a box in the world (min_x .. max_z); poses: frame_id
-        and a pose, one each.  Detections count in every `detection_every`-th frame.
+        and a pose, one each.  Detections count in every `detection_every`-th frame,
+        where that has depth.
         """
         spark = pixels.sparkSession
         seen = self.depth(pixels)
@@ -64,6 +65,8 @@ class Pipeline:
             frames = m.groupBy("frame_id").agg(F.count(F.lit(1)).alias("rays"), F.sum("carved").alias("carved"), F.sum("hits").alias("hits"))
             samples = rays.samples(lines, most=reach, eye=("ox", "oy", "oz"), keep=("frame_id",))
         boxes = detections.where(F.col("frame_id") % max(1, self.detection_every) == 0)
+        # a frame without depth ends before its detections
+        boxes = boxes.limit(0) if seen is None else boxes.join(seen.select("frame_id").distinct(), "frame_id", "left_semi")
         solid = rays.solid_chunks(boxes).select("frame_id", "det_id", "class_id", "cx", "cy", "cz")
         return {"frames": frames, "samples": samples, "regions": solid, "tasks": detect.region_tasks(boxes)}
 

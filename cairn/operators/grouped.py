@@ -97,15 +97,8 @@ def rendered(voxels: DataFrame, eye: tuple[float, float, float] = (0.0, 0.0, 0.0
 
 def rendered_far(voxels: DataFrame, eye: tuple[float, float, float], planes: list | tuple = (), *, nearest: float = 80.0, farthest: float = 500.0) -> DataFrame:
     """Cuboids of super-chunks between the distances: the mesher's grid spans one metre, which a leaf's centre, a metre or more from the corner, is never within, so there are none."""
-    chunks = world.super_chunks(voxels)
-    centre = [F.col(f"s{a}") * K.SUPER + K.SUPER / 2 - c for a, c in zip("xyz", eye, strict=True)]
-    distance = F.sqrt(sum(c * c for c in centre))
-    seen = world.visible(chunks.where((distance >= nearest) & (distance < farthest)), list(planes), size=float(K.SUPER), prefix="s", scale=K.SUPER)
-    centres = {a: F.col(f"i{a}") * 2 + 1 for a in "xyz"}  # metres from the super-chunk's corner
-    within = seen.where(" and ".join(f"i{a} * 2 + 1 < 1" for a in "xyz")).withColumns(centres)
-    half, mid = F.lit(0.25), [F.col(f"s{a}") * K.SUPER + F.col(a) for a in "xyz"]
-    fields = [*(F.col(f"s{a}").alias(f"c{a}") for a in "xyz"), *(m.cast("double").alias(f"m{a}") for a, m in zip("xyz", mid, strict=True)), *(half.alias(f"h{a}") for a in "xyz")]
-    return within.select(*fields, keys.pack(*(F.lit(K.GREY).cast("long") for _ in "rgb"), F.lit(0), F.lit(0)).cast("long").alias("cf"))
+    fields = ", ".join([*(f"c{a} short" for a in "xyz"), *(f"{n}{a} double" for n in "mh" for a in "xyz"), "cf long"])
+    return voxels.sparkSession.createDataFrame([], fields)
 
 
 # --- scan matching ----------------------------------------------------------

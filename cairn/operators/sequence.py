@@ -1,7 +1,8 @@
 """Order-dependent operators over a session's frames, as folds over its sorted steps.
 
-A session's rows meet in one task; sessions are bounded by a recording's length
-and spread over tasks by their key.
+Paths are sums over ranges of a session.  For scales, ticks and keyframes a
+session's rows meet in one task; sessions are bounded by a recording's length and
+spread over tasks by their key.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.sources.shared import checkpointed
+
 #: Smoothing of a position, shift per pixel of flow, pixels of flow that count, and yaw per radian of lateral flow.
 SMOOTH, PER_PIXEL, STILL, YAW, TURNING = 0.85, 0.002, 0.05, 0.003, 0.5
 #: Ratios that a scale keeps, how many it needs, the factors of it that a new one may have, and displacements too small.
@@ -27,25 +30,44 @@ def every(rows: DataFrame, n: int, by: str = "seq", session: str = "session") ->
     return rows.withColumn("rn", rn).where(F.col("rn") % n == 0).drop("rn")
 
 
+def scanned(rows: DataFrame, value: str, session: str = "session", by: tuple[str, ...] = ("seq",), name: str = "before") -> DataFrame:
+    """`rows` with the sum of `value` over the session's rows before each, in order of `by`.
+
+    Rows are dealt by ranges of session and order, so that a session of any
+    length lies in many tasks; sums run within a range, and a row a range and
+    session, in order, carries them on.
+    """
+    rows = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), session, *by)
+    placed = checkpointed(rows.withColumn("_range", F.spark_partition_id()))
+    earlier = (Window.unboundedPreceding, -1)
+    within = Window.partitionBy(session, "_range").orderBy(*by).rowsBetween(*earlier)
+    sums = placed.groupBy(session, "_range").agg(F.sum(value).alias("_sum"))
+    upto = F.coalesce(F.sum("_sum").over(Window.partitionBy(session).orderBy("_range").rowsBetween(*earlier)), F.lit(0.0))
+    carried = sums.select(F.col(session).alias("_session"), F.col("_range").alias("_of"), upto.alias("_upto"))
+    inner = placed.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0.0)))
+    out = inner.join(carried, F.col(session).eqNullSafe(F.col("_session")) & (F.col("_range") == F.col("_of")))
+    return out.withColumn(name, F.col("_upto") + F.col("_within")).drop("_range", "_session", "_of", "_upto", "_within")
+
+
 def smoothed_path(deltas: DataFrame) -> DataFrame:
     """(session, x, y, z, heading): the position after all of a session's flow (seq, dx, dy, magnitude).
 
-    Without turning: headings rotate about the vertical axis only, so a step is
-    turned by the heading so far.
+    Headings turn about the vertical axis only.  Smoothing keeps SMOOTH of the
+    old position and takes the rest of the moved one, so a step adds 1 - SMOOTH
+    of its turned delta: the heading is a sum over the steps before, the path a
+    sum of steps, and no session meets in one task.  Steps that are STILL count
+    for nothing; a session of such steps stays at zero.
     """
-
-    def fold(a: Column, e: Column) -> Column:
-        lateral2 = e["dx"] * e["dx"] + e["dy"] * e["dy"]
-        lx, ly = e["dx"] * PER_PIXEL, -e["dy"] * PER_PIXEL
-        lz = F.sqrt(F.greatest(F.lit(0.0), e["magnitude"] * e["magnitude"] - lateral2)) * PER_PIXEL
-        c, s = F.cos(a["heading"]), F.sin(a["heading"])
-        moved = (a["x"] + c * lx + s * lz, a["y"] + ly, a["z"] - s * lx + c * lz)
-        turned = a["heading"] + F.when(F.sqrt(lateral2) > TURNING, F.atan2(e["dy"], e["dx"]) * YAW).otherwise(0.0)
-        mix = [SMOOTH * a[n] + (1 - SMOOTH) * m for n, m in zip("xyz", moved, strict=True)]
-        return F.when(e["magnitude"] > STILL, F.struct(*(m.alias(n) for n, m in zip("xyz", mix, strict=True)), turned.alias("heading"))).otherwise(a)
-
-    zero = F.struct(*(F.lit(0.0).alias(n) for n in ("x", "y", "z", "heading")))
-    return deltas.groupBy("session").agg(F.aggregate(steps("seq", "dx", "dy", "magnitude"), zero, fold).alias("p")).select("session", "p.*")
+    lateral2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    moves = F.col("magnitude") > STILL
+    turn = F.when(moves & (F.sqrt(lateral2) > TURNING), F.atan2("dy", "dx") * YAW).otherwise(0.0)
+    steps_ = scanned(deltas.select("session", "seq", "dx", "dy", "magnitude", turn.alias("turn")), "turn", by=("seq", "dx", "dy", "magnitude"), name="heading")
+    lx, ly = F.col("dx") * PER_PIXEL, -F.col("dy") * PER_PIXEL
+    lz = F.sqrt(F.greatest(F.lit(0.0), F.col("magnitude") * F.col("magnitude") - lateral2)) * PER_PIXEL
+    c, s = F.cos("heading"), F.sin("heading")
+    moved = {"x": c * lx + s * lz, "y": ly, "z": c * lz - s * lx}
+    total = lambda v: F.sum(F.when(moves, (1 - SMOOTH) * v).otherwise(0.0))
+    return steps_.groupBy("session").agg(*(total(v).alias(n) for n, v in moved.items()), F.sum("turn").alias("heading"))
 
 
 def scales(samples: DataFrame) -> DataFrame:

@@ -1,9 +1,8 @@
 """Spatial joins by grid cells, and filters built on them.
 
 Distance joins become equi-joins on cells: the wider side's points are repeated
-into the neighbouring cells that a search may reach.  A k-nearest search that
-has not found k points within the reach of its rings is done again with rings
-twice as wide, only for the queries left over.
+into the neighbouring cells that a search may reach.  Nearest points are found by
+a k-d split (`kdtree`).
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.kdtree import nearest
 from cairn.sources.shared import checkpointed
 
 AXES = "xyz"
@@ -47,47 +47,18 @@ def within(queries: DataFrame, points: DataFrame, radius: float, *, qid: str = "
     return _pairs(queries, points, qid, pid, radius, 1).where(F.col("d2") <= radius * radius).select("query_id", "point_id", "d2")
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, *, cell: float, qid: str = "id", pid: str = "id", exclude_self: bool = False) -> DataFrame:
-    """(query_id, rank, point_id, d2): the k nearest points of each query, exactly; ties to the lesser id; fewer if there are no more."""
-    have = points.count()
-    found, left, reach = None, queries, 1
-    spread = points.agg(*(F.min(a).alias(f"lo{a}") for a in AXES), *(F.max(a).alias(f"hi{a}") for a in AXES)).first()
-    edge = queries.agg(*(F.min(a).alias(f"lo{a}") for a in AXES), *(F.max(a).alias(f"hi{a}") for a in AXES)).first()
-    if not have or edge[0] is None:
-        return queries.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)[qid]}, rank int, point_id {dict(points.dtypes)[pid]}, d2 double")
-    widest = max(max(spread[3 + i], edge[3 + i]) - min(spread[i], edge[i]) for i in range(3))
-    while True:
-        size = cell * 2 ** (reach - 1)
-        pairs = _pairs(left, points, qid, pid, size, 1)
-        if exclude_self:
-            pairs = pairs.where("query_id <> point_id")
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "point_id"))).where(F.col("rank") <= k)
-        if size > widest:  # every point is in a neighbouring cell
-            out = ranked.select("query_id", "rank", "point_id", "d2")
-            return out if found is None else found.unionByName(out)
-        sure = checkpointed(ranked.where(F.col("d2") <= size * size))  # cells reach at least this far
-        full = sure.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
-        out = sure.join(full, "query_id", "left_semi").select("query_id", "rank", "point_id", "d2")
-        found = out if found is None else found.unionByName(out)
-        left = checkpointed(left.join(full.withColumnRenamed("query_id", qid), qid, "left_anti"))  # the next ring starts from a table
-        if left.limit(1).count() == 0:
-            return found
-        reach += 1
-
-
 @dataclass(frozen=True)
 class Index:
-    """Points to search, by grid cells of `cell`: what any spatial index offers, over tables of queries."""
+    """Points to search: what any spatial index offers, over tables of queries."""
 
     points: DataFrame
-    cell: float
     id: str = "id"
 
     def count(self) -> int:
         return self.points.count()
 
     def nearest(self, queries: DataFrame, k: int = 1, *, exclude_self: bool = False) -> DataFrame:
-        return nearest(queries, self.points, k, cell=self.cell, qid=self.id, pid=self.id, exclude_self=exclude_self)
+        return nearest(queries, self.points, k, qid=self.id, pid=self.id, exclude_self=exclude_self)
 
     def within(self, queries: DataFrame, radius: float) -> DataFrame:
         return within(queries, self.points, radius, qid=self.id, pid=self.id)

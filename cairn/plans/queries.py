@@ -374,14 +374,14 @@ _D2 = "(q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.
 @register("knn3", _CLOUD + f" SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D2}, p.vec_id) AS rank FROM cloud q JOIN cloud p ON q.vec_id <> p.vec_id) WHERE rank <= 3")
 def knn3(spark, sf_dir):
     c = view(spark, sf_dir, "cloud")
-    return spatial.nearest(c, c, 3, cell=0.5, qid="vec_id", pid="vec_id", exclude_self=True).drop("d2")
+    return spatial.nearest(c, c, 3, qid="vec_id", pid="vec_id", exclude_self=True).drop("d2")
 
 
-@register("nearest", _CLOUD + f" SELECT query_id, point_id FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D2}, p.vec_id) AS rank FROM cloud q JOIN cloud p ON q.vec_id % 7 = 0 AND p.vec_id <> q.vec_id) WHERE rank = 1")
+@register("nearest", _CLOUD + f" SELECT query_id, point_id FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D2}, p.vec_id) AS rank FROM cloud q JOIN cloud p ON p.vec_id <> q.vec_id) WHERE rank = 1")
 def nearest(spark, sf_dir):
-    """Every seventh point asks, all others answer."""
+    """Every point asks, all others answer."""
     c = view(spark, sf_dir, "cloud")
-    return spatial.nearest(c.where("vec_id % 7 = 0"), c, 1, cell=0.5, qid="vec_id", pid="vec_id", exclude_self=True).select("query_id", "point_id")
+    return spatial.nearest(c, c, 1, qid="vec_id", pid="vec_id", exclude_self=True).select("query_id", "point_id")
 
 
 @register("radius_join", _CLOUD + f" SELECT q.vec_id AS query_id, p.vec_id AS point_id FROM cloud q JOIN cloud p ON {_D2} <= 0.0625e0")

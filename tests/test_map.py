@@ -97,15 +97,15 @@ def cloud(spark, points):
 def test_nearest_equals_a_scan(spark):
     points = [(i, i % 10, i % 5) for i in range(100)]
     q = spark.createDataFrame([(0, 15.1, 5.1, 0.1), (1, 500.0, 0.0, 0.0)], "id long, x double, y double, z double")
-    got = spatial.nearest(q, cloud(spark, points), 3, cell=1.0).orderBy("query_id", "rank").collect()
+    got = spatial.nearest(q, cloud(spark, points), 3).orderBy("query_id", "rank").collect()
     for i, at in ((0, (15.1, 5.1, 0.1)), (1, (500.0, 0.0, 0.0))):
         want = sorted(range(100), key=lambda j: (sum((a - b) ** 2 for a, b in zip(points[j], at, strict=True)), j))[:3]
         assert [r.point_id for r in got if r.query_id == i] == want
 
 
 def test_nearest_with_fewer_points_than_asked_for(spark):
-    assert spatial.nearest(cloud(spark, [(0, 0, 0)]), cloud(spark, [(1, 1, 1), (2, 2, 2)]), 5, cell=0.1).count() == 2
-    assert spatial.nearest(cloud(spark, [(0, 0, 0)]), cloud(spark, []), 5, cell=0.1).count() == 0
+    assert spatial.nearest(cloud(spark, [(0, 0, 0)]), cloud(spark, [(1, 1, 1), (2, 2, 2)]), 5).count() == 2
+    assert spatial.nearest(cloud(spark, [(0, 0, 0)]), cloud(spark, []), 5).count() == 0
 
 
 def test_radius_is_inclusive(spark):
@@ -171,7 +171,7 @@ def test_subtractive_updates_split_on_conflict():
 def test_an_index_answers_as_the_joins_do(spark):
     rows = [(i, float(i % 7), float(i % 5), float(i % 3)) for i in range(60)]
     points = spark.createDataFrame(rows, "id long, x double, y double, z double")
-    index = spatial.Index(points, 1.0)
+    index = spatial.Index(points)
     assert index.count() == 60
     one = index.nearest(points.where("id < 3"), exclude_self=True).orderBy("query_id").collect()
     assert [r["rank"] for r in one] == [1, 1, 1]
