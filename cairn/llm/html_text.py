@@ -8,7 +8,9 @@ to tags, up to FULL, is smoothed with a Gaussian; the threshold between the
 clusters is a standard deviation of the smoothed ratios.
 
 Articles are content, but for the containers in them whose smoothed ratios lie
-under the threshold on average: blocks of links, readers' comments.  On a page
+under the threshold on average and that are link text for the greater part, or
+stand under a heading of their own behind all that is content: readers' comments.
+Other plain text stays, however short.  On a page
 without any, lines at or above the threshold, by themselves and smoothed, settle
 the content regions: all lines within a container of one, headings included, and
 what stands between two of its lines.  Lines inside menus, headers, footers,
@@ -44,6 +46,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 AROUND = frozenset(
     "ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login social share sharing related recommended recommendations comment comments commentlist disqus replies reply widget toolbar pagination pager search complementary contentinfo".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li dd dt figcaption caption td th tr tbody thead tfoot legend summary hr address".split())
 LISTS = frozenset("ul ol dl dir table blockquote pre figure hgroup".split())
 ARTICLES = frozenset(("article", "main"))
@@ -56,6 +59,9 @@ class Line:
     tags: int
     article: int
     container: int
+    #: Characters within links, without blanks, and whether it is a heading.
+    linked: int = 0
+    heading: bool = False
 
 
 @dataclass
@@ -80,14 +86,14 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open, self.lines, self.parts, self.tags, self.numbers, self.plain = [Element("", 0, False, 0, inline=Counter())], [], [], 0, 0, False
-        self.up, self.blocks = {0: -1}, Counter()
+        self.up, self.blocks, self.linked = {0: -1}, Counter(), 0
 
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip() if self.parts else ""
         top = self.open[-1]
         if text and not top.skipped:
-            self.lines.append(Line(text, self.tags, top.article, top.container if self.plain else top.holder))
-        self.parts, self.tags, self.plain = [], 0, False
+            self.lines.append(Line(text, self.tags, top.article, top.container if self.plain else top.holder, self.linked, self.open[top.block].tag in HEADINGS))
+        self.parts, self.tags, self.plain, self.linked = [], 0, False, 0
 
     def _skips(self, tag: str, attrs: list[tuple[str, str | None]], article: int) -> bool:
         if tag in SKIPPED or (tag == "header" and not article):
@@ -169,6 +175,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.open[-1].skipped:
             self.parts.append(data)
+            if self.open[-1].link:
+                self.linked += sum(map(len, data.split()))
             self.plain = self.plain or (not self.open[-1].link and not data.isspace())
 
     def close(self) -> None:
@@ -209,20 +217,31 @@ def chosen(lines: list[Line], up: dict[int, int]) -> list[Line]:
 
 
 def _of_articles(lines: list[Line], up: dict[int, int], smooth: np.ndarray, least: float) -> list[Line]:
-    """All lines but those in a container within their article whose smoothed ratios are under `least` on average."""
-    total, many = Counter(), Counter()
-    for x, s in zip(lines, smooth.tolist(), strict=True):
-        total[x.container] += s
-        many[x.container] += 1
+    """All lines but those in a container within their article whose smoothed ratios are under `least` on average, if it is links or comes under a heading behind the content."""
+    total, many, chars, linked, headings, first = Counter(), Counter(), Counter(), Counter(), Counter(), {}
+    for i, (x, s) in enumerate(zip(lines, smooth.tolist(), strict=True)):
+        c = x.container
+        total[c] += s
+        many[c] += 1
+        chars[c] += len(x.text) - x.text.count(" ")
+        linked[c] += x.linked
+        headings[c] += x.heading
+        first.setdefault(c, i)
     for c in sorted(up, reverse=True):  # a container comes after its own
         if many[c] and up[c] >= 0:
-            total[up[c]] += total[c]
-            many[up[c]] += many[c]
-    low = {}  # whether a container, or one that it is in, goes
+            for n in (total, many, chars, linked, headings):
+                n[up[c]] += n[c]
+            first[up[c]] = min(first[c], first.get(up[c], first[c]))
     articles = {x.article for x in lines}
+    low, gone = {}, {}  # whether a container, or one that it is in, has low ratios; whether it goes
     for c in sorted(up):
         low[c] = c not in articles and (low.get(up[c], False) or (many[c] > 0 and total[c] < least * many[c]))
-    return [x for x in lines if not low[x.container]]
+    end = {x.article: i for i, x in enumerate(lines) if not low[x.container]}
+    of = {c: lines[i].article for c, i in first.items()}
+    for c in sorted(up):
+        own = many[c] > 0 and total[c] < least * many[c] and (2 * linked[c] > chars[c] or (headings[c] > 0 and first[c] > end.get(of[c], -1)))
+        gone[c] = c not in articles and (gone.get(up[c], False) or own)
+    return [x for x in lines if not gone[x.container]]
 
 
 def _of_regions(lines: list[Line], up: dict[int, int], ratio: np.ndarray, smooth: np.ndarray, least: float) -> list[Line]:
@@ -255,7 +274,7 @@ def main_text(html: str | None) -> str:
 def extract(df: DataFrame, html: str) -> DataFrame:
     """`df` with text, the main text of `html`, and n_chars, its code points.
 
-    Repeated rows are kept; columns named like the new ones are replaced.
+    A null or empty page, or one without text, has the empty text.  Repeated rows are kept; columns named like the new ones are replaced.
     """
 
     def work(b: pa.RecordBatch) -> list[pa.Array]:

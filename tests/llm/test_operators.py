@@ -679,6 +679,15 @@ def test_low_ratios_within_an_article_go(monkeypatch):
     assert "MoreNext\nReader thoughts\nnice post" in html_text.main_text(page)
 
 
+def test_plain_text_stays_however_short():
+    """Short paragraphs in containers of their own, tables of numbers and closing words have low ratios and no links."""
+    text = "A paragraph of the text that goes on for quite a while and has many words. " * 3
+    page = f"<article><h1>Q</h1><div><p>Yes.</p></div><div><p>No.</p></div><p>{text}</p><div><table><tr><td>1</td><td>2</td></tr></table></div><div><p>End.</p></div><div><p>See <a href='x'>it</a> there.</p></div></article>"
+    assert html_text.main_text(page).split("\n") == ["Q", "Yes.", "No.", text.strip(), "1", "2", "End.", "See it there."]
+    links = "<div><a href='a'>More of this</a> or <a href='b'>that one</a></div>"
+    assert html_text.main_text(page.replace("<div><p>No.", links + "<div><p>No.")) == html_text.main_text(page)
+
+
 @pytest.mark.parametrize("piece", ["<b>x<i>", "<b>x</i>", "<div><b>x", "<p><span>x</em>", "<ul><li>x", "<div>x</p>", '<span class="ad">x'])
 def test_unclosed_tags_take_no_longer(piece):
     import time
