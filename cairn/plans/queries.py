@@ -311,7 +311,13 @@ def pack_unpack(spark, sf_dir):
 
 
 def _bands(channel: int) -> str:
-    return "CASE " + " ".join(f"WHEN h < {most} THEN {rgb[channel]}" for most, rgb in colour.HEIGHT_BANDS) + f" ELSE {colour.ABOVE[channel]} END"
+    # fixed values, spelt out for the checking engine: red, green and blue
+    bands = (
+        "CASE WHEN h < -0.15 THEN 220 WHEN h < 0.04 THEN 80 WHEN h < 0.45 THEN 55 WHEN h < 1.1 THEN 225 WHEN h < 2.0 THEN 220 ELSE 110 END",
+        "CASE WHEN h < -0.15 THEN 40 WHEN h < 0.04 THEN 100 WHEN h < 0.45 THEN 185 WHEN h < 1.1 THEN 185 WHEN h < 2.0 THEN 90 ELSE 120 END",
+        "CASE WHEN h < -0.15 THEN 40 WHEN h < 0.04 THEN 160 WHEN h < 0.45 THEN 90 WHEN h < 1.1 THEN 45 WHEN h < 2.0 THEN 45 ELSE 210 END",
+    )
+    return bands[channel]
 
 
 @register("height_color", f"WITH obs AS ({view_sql('obs')}) SELECT seq, " + ", ".join(f"{_bands(i)} AS {c}" for i, c in enumerate("rgb")) + " FROM (SELECT seq, y * 0.5e0 - 0.5e0 AS h FROM obs)")
@@ -601,7 +607,29 @@ def flow_correspondences(spark, sf_dir):
 
 # --- detections and refinement ----------------------------------------------
 
-_PRIORS = "priors(class_id, label, pw, ph, pd, variance, layer) AS (VALUES " + ", ".join(f"({c}, '{n}', {w}e0, {h}e0, {d}e0, {v}e0, {y})" for c, n, w, h, d, v, y in K.PRIORS) + ")"
+# The size priors, spelt out for the checking engine.
+_PRIORS = """priors(class_id, label, pw, ph, pd, variance, layer) AS (VALUES
+  (1, 'person', 0.5e0, 1.7e0, 0.3e0, 0.3e0, 2),
+  (2, 'bicycle', 0.5e0, 1.0e0, 1.8e0, 0.2e0, 2),
+  (3, 'car', 1.8e0, 1.5e0, 4.5e0, 0.3e0, 0),
+  (4, 'motorcycle', 0.8e0, 1.1e0, 2.2e0, 0.2e0, 2),
+  (5, 'bus', 2.5e0, 3.2e0, 12.0e0, 0.3e0, 0),
+  (6, 'truck', 2.5e0, 3.0e0, 8.0e0, 0.4e0, 0),
+  (7, 'dog', 0.3e0, 0.5e0, 0.7e0, 0.4e0, 2),
+  (8, 'cat', 0.2e0, 0.3e0, 0.4e0, 0.3e0, 2),
+  (9, 'chair', 0.5e0, 0.9e0, 0.5e0, 0.2e0, 1),
+  (10, 'dining table', 1.2e0, 0.75e0, 0.8e0, 0.3e0, 1),
+  (11, 'couch', 2.0e0, 0.85e0, 0.9e0, 0.3e0, 1),
+  (12, 'bed', 1.6e0, 0.6e0, 2.0e0, 0.3e0, 1),
+  (13, 'potted plant', 0.4e0, 0.6e0, 0.4e0, 0.5e0, 1),
+  (14, 'tv', 1.0e0, 0.6e0, 0.1e0, 0.4e0, 1),
+  (15, 'door', 0.8e0, 2.0e0, 0.1e0, 0.15e0, 0),
+  (16, 'window', 1.0e0, 1.2e0, 0.1e0, 0.3e0, 0),
+  (17, 'wall', 3.0e0, 2.8e0, 0.2e0, 0.5e0, 0),
+  (18, 'fire hydrant', 0.3e0, 0.7e0, 0.3e0, 0.1e0, 0),
+  (19, 'stop sign', 0.6e0, 0.6e0, 0.05e0, 0.1e0, 0),
+  (20, 'bench', 1.5e0, 0.8e0, 0.5e0, 0.2e0, 1),
+  (21, 'parking meter', 0.3e0, 1.2e0, 0.3e0, 0.1e0, 0))"""
 
 
 @register(
