@@ -46,15 +46,20 @@ def dispatch(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], N
 
 def world_points(frames: DataFrame) -> DataFrame:
     """(sequence, i, x, y, z, r, g, b) of the world points of frames, 16 bytes each; colours are zero without the flag."""
+    import numpy as np
     import pyarrow as pa
 
     def part(batches):
         for b in batches:
-            rows = []
-            for sequence, data, flags in zip(b.column("sequence").to_pylist(), b.column("points").to_pylist(), b.column("flags").to_pylist(), strict=True):
-                rows += [(sequence, i, *p[:6]) for i, p in enumerate(wire.points_of(data or b"", bool((flags or 0) & wire.COLOURED)).tolist())]
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["sequence", "i", "x", "y", "z", "r", "g", "b"])
+            parts = [p or b"" for p in b.column("points").to_pylist()]
+            many = np.array([len(p) // wire.POINT for p in parts], np.int64)
+            points = wire.points_of(b"".join(p[: n * wire.POINT] for p, n in zip(parts, many.tolist(), strict=True)), True)
+            row = np.repeat(np.arange(len(many)), many)
+            flags = b.column("flags").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coloured = (flags & wire.COLOURED)[row] != 0
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            at = [pa.array(points[a].astype(np.float64)) for a in "xyz"]
+            colours = [pa.array(np.where(coloured, points[c], 0).astype(np.int64)) for c in "rgb"]
+            yield pa.RecordBatch.from_arrays([b.column("sequence").take(pa.array(row)), pa.array(place), *at, *colours], ["sequence", "i", "x", "y", "z", "r", "g", "b"])
 
     return frames.select("sequence", "points", "flags").mapInArrow(part, "sequence long, i long, x double, y double, z double, r long, g long, b long")
