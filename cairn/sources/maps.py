@@ -167,28 +167,11 @@ def chunks_of(exported: DataFrame, version: int = 0) -> DataFrame:
 def write_files(files: DataFrame, root: str, name: str = "path", suffix: str = "") -> int:
     """Write `files` (a relative path in the column `name`, content) under `root`, a folder that all executors share; returns how many.
 
-    Each task writes its rows, a file under another name first, so that a retried
-    task leaves whole files only.
+    All of them appear when all are written, or none (see `files`).
     """
-    import uuid
+    from cairn.sources import files as sink
 
-    from pyarrow import fs
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
-        n = 0
-        for b in batches:
-            for p, data in zip(b["path"], b["content"], strict=True):
-                whole = f"{base}/{p}{suffix}"
-                at.create_dir(whole.rsplit("/", 1)[0], recursive=True)
-                part_of = f"{whole}.{uuid.uuid4().hex}"
-                with at.open_output_stream(part_of) as out:
-                    out.write(data)
-                at.move(part_of, whole)
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    return files.select(F.col(name).alias("path"), "content").mapInPandas(part, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return sink.written(files.select(F.col(name).alias("path"), "content"), root, suffix)
 
 
 def save_maps(exported: DataFrame, key: str, root: str, **meta) -> int:
