@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from cairn import constants as K
 from cairn.operators.rays import solid_chunks
+from cairn.sources.shared import checkpointed
 
 CONFIDENT, NEAREST, FARTHEST = 0.5, 5.0, 200.0
 QUEUE, THIN, IDLE, EVERY = 500, 3, 300, 10
+#: Pixels of a depth raster that all tasks hold; a larger one is joined by shuffling.
+RASTER = 1 << 20
 # Labels of what is found outdoors.
 OUTDOOR = ("car", "truck", "bus", "motorcycle", "bicycle", "person", "dog", "cat", "bench", "fire hydrant", "stop sign", "parking meter", "potted plant", "chair", "dining table")
 
@@ -57,14 +60,19 @@ def projected(detections: DataFrame, pixels: DataFrame, cam: tuple, width: int,
 
     The depth raster (u, v, d) is sampled within each box, five a side or so;
     depths outside (0.1, 200) don't count, medians outside [5, 200] go.
+
+    Detections are never sent to all tasks: their table's file says nothing about
+    the number of their samples.  The raster is, once its pixels are counted.
     """
+    raster = checkpointed(pixels.select("u", "v", "d").where((F.col("d") > 0.1) & (F.col("d") < FARTHEST)))
+    raster = F.broadcast(raster) if raster.count() <= RASTER else raster.hint("merge")
     cut = lambda c, n: F.floor(F.col(c) * n).cast("int")
     box = detections.withColumns({"px": cut("bx", width), "py": cut("by", height), "pw": cut("bw", width), "ph": cut("bh", height)})
     box = box.withColumn("step", F.greatest(F.lit(1), F.floor(F.least("pw", "ph") / 5)).cast("int")).where("pw > 0 and ph > 0")
     grid = box.withColumn("dx", F.explode(F.expr("sequence(0, pw - 1, step)"))).withColumn("dy", F.explode(F.expr("sequence(0, ph - 1, step)")))
-    hit = grid.withColumns({"u": F.col("px") + F.col("dx"), "v": F.col("py") + F.col("dy")}).join(pixels.select("u", "v", "d"), ["u", "v"]).where((F.col("d") > 0.1) & (F.col("d") < FARTHEST))
+    hit = grid.withColumns({"u": F.col("px") + F.col("dx"), "v": F.col("py") + F.col("dy")}).join(raster, ["u", "v"])
     med = hit.groupBy("det_id").agg(upper_median(F.collect_list("d")).alias("median")).where(F.col("median").between(NEAREST, FARTHEST))
-    out = box.join(med, "det_id")
+    out = box.join(med.hint("merge"), "det_id")
     fx, fy, cx, cy = cam[:4]
     m = F.col("median")
     out = out.withColumns({"wx": (F.col("px") + F.col("pw") * 0.5 - cx) / fx * m + at[0], "wy": (F.col("py") + F.col("ph") * 0.5 - cy) / fy * m + at[1], "wz": m + at[2], "w": F.col("pw") / fx * m, "h": F.col("ph") / fy * m, "distance": m})
