@@ -880,21 +880,40 @@ def map_records(spark, sf_dir):
 
 @register("wire_roundtrip", f"WITH pixels AS ({view_sql('pixels')}) SELECT frame_id AS sequence, CAST(count(*) AS INTEGER) AS width FROM pixels WHERE d IS NOT NULL GROUP BY frame_id")
 def wire_roundtrip(spark, sf_dir):
-    """Frames with depth rasters, coded to length-prefixed messages and read back."""
+    """Frames with depth rasters, coded to length-prefixed messages and read back; a raster wider than a message's field goes as strips, a message each."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     from cairn.sources import wire
 
-    def encode(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        depth = rows.sort_values(["u", "v", "d"])["d"].to_numpy().astype("<f2")
-        f = wire.Frame(int(key[0]), 1.0, image=b"\xff\xd8", depth_width=len(depth), depth_height=1, depth=depth.tobytes())
+    def message(frame: int, depth: np.ndarray) -> pa.RecordBatch:
+        f = wire.Frame(frame, 1.0, image=b"\xff\xd8", depth_width=len(depth), depth_height=1, depth=depth.tobytes())
         status = wire.prefixed(wire.encode_status((1, 2, 3, 4, 5, 6)))
-        return pd.DataFrame({"content": [status + wire.prefixed(wire.encode_frame(f)) + wire.prefixed(wire.stop_marker()) + np.bytes_(b"rest")]})
+        content = status + wire.prefixed(wire.encode_frame(f)) + wire.prefixed(wire.stop_marker()) + b"rest"
+        return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
 
-    pixels = view(spark, sf_dir, "pixels").where("d is not null")
-    messages = pixels.groupBy("frame_id").applyInPandas(encode, "content binary")
-    return wire.frames(messages).where("kind = 'frame' and length(depth) = 2 * depth_width").select("sequence", F.col("depth_width").alias("width"))
+    def encode(batches):
+        frame, held = None, np.zeros(0, "<f2")
+        for b in batches:
+            ids, depth = (b.column(c).to_numpy() for c in ("frame_id", "d"))
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []
+            for a, z in zip(starts, [*starts[1:], len(ids)]):
+                if len(held) and ids[a] != frame:
+                    yield message(frame, held)
+                    held = held[:0]
+                frame, held = int(ids[a]), np.concatenate([held, depth[a:z].astype("<f2")])
+                while len(held) >= wire.WIDEST:
+                    yield message(frame, held[: wire.WIDEST])
+                    held = held[wire.WIDEST :]
+        if len(held):
+            yield message(frame, held)
+
+    # dealt by ranges, so that neither a frame nor a task's rows meet in one piece
+    pixels = view(spark, sf_dir, "pixels").where("d is not null").select("frame_id", "u", "v", "d")
+    order = ["frame_id", "u", "v", "d"]
+    messages = pixels.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).mapInArrow(encode, "content binary")
+    strips = wire.frames(messages).where("kind = 'frame' and length(depth) = 2 * depth_width")
+    return strips.groupBy("sequence").agg(F.sum("depth_width").cast("int").alias("width"))
 
 
 def _store(spark: SparkSession, sf_dir: str):
