@@ -964,14 +964,13 @@ def capture_chunks(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([b.column("session"), b.column("sequence"), pa.array(out, pa.binary())], ["session", "sequence", "message"])
 
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("sequence"))
-    coded = orders.mapInArrow(encode, "session long, sequence long, message binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that the work on few bytes isn't merged into few tasks
+    coded = orders.mapInArrow(encode, "session long, sequence long, message binary").repartition(parts, "session")
     before = Window.partitionBy("session").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
     placed = coded.withColumn("start", F.col("session") + F.coalesce(F.sum(F.octet_length("message")).over(before), F.lit(0)))
     cut = placed.withColumn("skip", F.explode(F.expr("sequence(0, octet_length(message) - 1, 61)")))
     chunks = cut.select("session", (F.col("start") + F.col("skip")).alias("at"), F.expr("substring(message, skip + 1, 61)").alias("chunk"))
-    frames = reassembly.recorded(chunks)
-    points = capture.world_points(frames).drop("i")
-    return frames.select("session", "sequence").join(points, "sequence")
+    return capture.world_points(reassembly.recorded(chunks), keep=("session",)).drop("i")
 
 
 @register("pose_json", f"WITH p AS ({view_sql('poses')}) SELECT pose_id, px, py, pz, qx, qy, qz, qw FROM p")

@@ -44,11 +44,14 @@ def dispatch(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], N
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def world_points(frames: DataFrame) -> DataFrame:
-    """(sequence, i, x, y, z, r, g, b) of the world points of frames, 16 bytes each; colours are zero without the flag."""
+def world_points(frames: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(`keep`, sequence, i, x, y, z, r, g, b) of the world points of frames, 16 bytes each; colours are zero without the flag."""
     import numpy as np
     import pyarrow as pa
 
+    own = [*keep, "sequence"]
+    kinds = dict(frames.dtypes)
+
     def part(batches):
         for b in batches:
             parts = [p or b"" for p in b.column("points").to_pylist()]
@@ -60,6 +63,6 @@ def world_points(frames: DataFrame) -> DataFrame:
             place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             at = [pa.array(points[a].astype(np.float64)) for a in "xyz"]
             colours = [pa.array(np.where(coloured, points[c], 0).astype(np.int64)) for c in "rgb"]
-            yield pa.RecordBatch.from_arrays([b.column("sequence").take(pa.array(row)), pa.array(place), *at, *colours], ["sequence", "i", "x", "y", "z", "r", "g", "b"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row)) for c in own), pa.array(place), *at, *colours], [*own, "i", "x", "y", "z", "r", "g", "b"])
 
-    return frames.select("sequence", "points", "flags").mapInArrow(part, "sequence long, i long, x double, y double, z double, r long, g long, b long")
+    return frames.select(*own, "points", "flags").mapInArrow(part, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", " * bool(keep) + "sequence long, i long, x double, y double, z double, r long, g long, b long")
