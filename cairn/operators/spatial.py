@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.kdtree import nearest
@@ -66,8 +66,7 @@ class Index:
 
 def neighbour_means(points: DataFrame, *, pid: str, k: int = 6, cell: float = 0.1) -> DataFrame:
     """(pid, mean): the mean distance to at most k nearest others in the 27 cells around; points without any are left out."""
-    pairs = _pairs(points, points, pid, pid, cell, 1).where("query_id <> point_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "point_id"))).where(F.col("rank") <= k)
+    ranked = nearest(points, points, k, qid=pid, pid=pid, exclude_self=True, cell=cell)
     return ranked.groupBy(F.col("query_id").alias(pid)).agg(F.avg(F.sqrt("d2")).alias("mean"))
 
 
