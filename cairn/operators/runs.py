@@ -12,16 +12,22 @@ into samples), unless the tasks' ranges are apart as they are.  Each task
 composes its updates per voxel in NumPy, keyed by Morton key, and yields one row
 a voxel.  Runs then meet in a tree of FAN tasks' runs a group, so the largest
 group depends on neither the data nor the number of tasks.
+
+Rays that repeat (`carved`) need not all be marched: a settled run makes what
+came before it void, so the last rays of each shape, those with the same origin,
+direction and length, tell nearly every voxel's value; the shapes through the
+others are asked for more rays until none is left out.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn import constants as K
@@ -31,6 +37,8 @@ from cairn.sources.shared import checkpointed
 
 #: Updates that a segment holds while it is evaluated, rows a task holds before it composes them, and runs that meet in a group.
 SEGMENT, HELD, FAN = 64, 1 << 20, 64
+#: Rows that a task carves at most; rays of a shape that are marched first, and how many times as many in each further round; voxels that all tasks hold.
+CARVED, FIRST, MORE, SHARED = 1 << 16, 128, 16, 1 << 19
 LOW, HIGH, HIT, MISS = (np.float32(v) for v in (K.LOW, K.HIGH, K.HIT, K.MISS))
 LAST = ("t_rel", "r", "g", "b", "layer", "class_id")
 RUN = "key long, cx short, cy short, cz short, ix short, iy short, iz short, part int, block int, first long, last long, lo float, hi float, steps string, n long, hits long, mask long"
@@ -135,11 +143,11 @@ def _met(rows: DataFrame, last: list[str], part: Column, block: Column) -> DataF
     return grouped.select("key", *fold.KEY, "part", "block", "first", "last", F.col("f.lo").alias("lo"), F.col("f.hi").alias("hi"), settled.alias("steps"), "n", "hits", "mask", *last)
 
 
-def spans(df: DataFrame, seq: str) -> tuple[bool, int, int]:
-    """Whether the partitions of `df`, as they are, hold ranges of `seq` that don't meet; their number, and the rows of the largest.  One pass over that column."""
+def spans(df: DataFrame, seq: str) -> tuple[bool, int, int, int]:
+    """Whether the partitions of `df`, as they are, hold ranges of `seq` that don't meet; their number, the rows of the largest, and all.  One pass over that column."""
     each = df.groupBy(F.spark_partition_id().alias("p")).agg(F.min(seq).alias("a"), F.max(seq).alias("z"), F.count(F.lit(1)).alias("n")).collect()  # a row for each task
     ends = sorted((r["a"], r["z"]) for r in each)
-    return all(x[1] < y[0] for x, y in zip(ends, ends[1:])), max((r["p"] + 1 for r in each), default=1), max((r["n"] for r in each), default=0)
+    return all(x[1] < y[0] for x, y in zip(ends, ends[1:])), max((r["p"] + 1 for r in each), default=1), max((r["n"] for r in each), default=0), sum(r["n"] for r in each)
 
 
 def runs(updates: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -169,14 +177,14 @@ def voxels(obs: DataFrame, by: str = "seq", carve: Callable[[DataFrame], DataFra
     Rows apply in order of seq; null ones come first.  `carve` turns rows into
     updates with a seq of their own that rises with the column `by`, so that only
     rows are dealt, not updates.  Where tasks' ranges of `by` already lie apart,
-    as in a recording, nothing is dealt (but few rows to be carved are, to share that work).  Should ranges meet in a retried
+    as in a recording, nothing is dealt (but rows to be carved are, to share that work, CARVED or so a task).  Should ranges meet in a retried
     task, that is an error, not a wrong sum.
     """
     obs = obs.withColumn(by, F.coalesce(F.col(by).cast("long"), F.lit(-(1 << 62))))
-    lie, parts, most = spans(obs, by)
-    lie = lie and not (carve and parts < obs.sparkSession.sparkContext.defaultParallelism)  # carving is work to share
+    lie, parts, most, rows = spans(obs, by)
+    lie = lie and not (carve and (parts < obs.sparkSession.sparkContext.defaultParallelism or most > CARVED))  # carving is work to share
     if not lie:
-        parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // CARVED) if carve else 1)
         obs = obs.repartitionByRange(parts, by)
     dealt = obs.sortWithinPartitions(by)
     rows, last = runs(carve(dealt) if carve else dealt)
@@ -190,3 +198,40 @@ def voxels(obs: DataFrame, by: str = "seq", carve: Callable[[DataFrame], DataFra
     whole = _met(rows, last, F.lit(0), F.lit(0))
     value = applied(F.lit(0.0).cast("float"), F.struct("lo", "hi", "steps"))
     return whole.select("key", *fold.KEY, value.alias("log_odds"), "lo", "hi", "steps", "n", "hits", "mask", *last)
+
+
+def carved(rays: DataFrame, by: str, carve: Callable[[DataFrame], DataFrame], shape: tuple[str, ...]) -> DataFrame:
+    """(cx .. iz, log_odds) of the voxels of `rays` after all of them, from zero on; as `voxels` gives them, to the last bit.
+
+    `carve` yields updates (`by`, x, y, z, seq, hit); rays that agree in `shape` yield
+    the same but for seq, which rises with `by`.  A round marches the last rays of each shape.  In a voxel, all
+    updates after the last one that was left out are there; if they settle it, or
+    none was left out, its value is known.  Shapes through other voxels go into
+    the next round with more rays, at last with all.
+    """
+    at = lambda rows: fold.keyed(carve(rows))
+    known, left, n = [], None, FIRST
+    while True:
+        w = Window.partitionBy(*shape).orderBy(F.desc(by))
+        last = checkpointed(rays.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n + 1))  # limited before the shuffle, too
+        mine = lambda rows, left=left: rows if left is None else rows.join(F.broadcast(left), fold.KEY, "left_semi")
+        out = checkpointed(mine(at(last.where(F.col("_n") == n + 1).drop("_n"))).groupBy(*fold.KEY).agg(F.max("seq").alias("_out")))
+        if left is None and out.count() > SHARED:  # too many to hold: every ray is marched
+            return voxels(rays, by, carve).select(*fold.KEY, "log_odds")
+
+        def after(part: DataFrame, mine=mine, out=out) -> DataFrame:
+            updates = mine(at(part)).join(F.broadcast(out), fold.KEY, "left")  # counted
+            return updates.where(F.col("_out").isNull() | (F.col("seq") > F.col("_out")))
+
+        got = checkpointed(voxels(last.where(F.col("_n") <= n).drop("_n"), by, after).select(*fold.KEY, "log_odds", "lo", "hi"))
+        whole = got.join(F.broadcast(out), fold.KEY, "left").where(F.col("_out").isNull() | (F.col("lo") == F.col("hi")))
+        known.append(whole.select(*fold.KEY, "log_odds"))
+        left = checkpointed(out.join(known[-1], fold.KEY, "left_anti").select(*fold.KEY))
+        if not left.count():
+            return functools.reduce(DataFrame.unionByName, known)
+        heads = last.where(F.col("_n") == 1).drop("_n")
+        through = at(heads).join(F.broadcast(left), fold.KEY, "left_semi").select(F.col(by).alias("_by")).distinct()
+        shapes = checkpointed(heads.join(through.hint("merge"), F.col(by) == F.col("_by"), "left_semi").select(*(F.col(c).alias(f"_{c}") for c in shape)).distinct())
+        if shapes.count() <= SHARED:
+            rays = rays.join(F.broadcast(shapes), functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in shape)), "left_semi")
+        n *= MORE

@@ -480,7 +480,8 @@ def ray_carve_fold(spark, sf_dir):
     def carve(part: DataFrame) -> DataFrame:
         return rays.samples(part).withColumn("seq", F.col("ray_id") * (1 << 31) + F.col("i"))
 
-    return runs.voxels(view(spark, sf_dir, "rays"), "ray_id", carve).groupBy("log_odds").agg(F.count(F.lit(1)).alias("voxels"))
+    shape = tuple(f"{n}{a}" for n in "od" for a in "xyz") + ("hit_distance",)
+    return runs.carved(view(spark, sf_dir, "rays"), "ray_id", carve, shape).groupBy("log_odds").agg(F.count(F.lit(1)).alias("voxels"))
 
 
 _DIST = "sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz))"
