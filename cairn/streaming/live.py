@@ -97,12 +97,24 @@ def fused(rows: pd.DataFrame, device: str, fusion: Fusion | None = None) -> tupl
 
 
 def replay(samples: DataFrame, device: str = "robot") -> DataFrame:
-    """Pose fusion over a recording: a row per sample and session."""
+    """Pose fusion over a recording: a row per sample and session.
 
-    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in fused(rows, device)[1]], columns=[c.split()[0] for c in POSES.split(", ")])
+    Sessions are dealt to tasks and read in order; a task holds a batch of
+    samples and the fusion of the session that it is in, whatever its length.
+    """
 
-    return samples.groupBy("session").applyInPandas(work, POSES)
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, held = None, None
+        for b in batches:
+            for key, rows in b.groupby("session", dropna=False):  # nulls last, as sorted
+                key = None if pd.isna(key) else key
+                held, out = fused(rows, device, held if key == name else None)
+                name = key
+                yield pd.DataFrame([(key, *r) for r in out], columns=[c.split()[0] for c in POSES.split(", ")])
+
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by ranges, as few sessions' hashes would meet
+    dealt = samples.repartitionByRange(parts, F.asc_nulls_last("session")).sortWithinPartitions(F.asc_nulls_last("session"), F.asc_nulls_last("seq"))
+    return dealt.mapInPandas(part, POSES)
 
 
 class Fuse(StatefulProcessor):
