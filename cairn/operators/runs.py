@@ -36,7 +36,7 @@ from cairn.operators import fold
 from cairn.sources.shared import checkpointed
 
 #: Updates that a segment holds while it is evaluated, rows a task holds before it composes them, and runs that meet in a group.
-SEGMENT, HELD, FAN = 64, 1 << 17, 64
+SEGMENT, HELD, FAN = 64, 1 << 19, 64
 #: Rows that a task carves at most; rays of a shape that are marched first, and how many times as many in each further round; voxels that all tasks hold.
 CARVED, FIRST, MORE, SHARED = 1 << 16, 128, 16, 1 << 19
 LOW, HIGH, HIT, MISS = (np.float32(v) for v in (K.LOW, K.HIGH, K.HIT, K.MISS))

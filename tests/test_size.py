@@ -232,10 +232,10 @@ def test_sessions_are_replayed_in_batches(spark):
 
 
 def test_a_task_holds_a_bounded_piece_of_its_updates(spark):
-    """300,000 updates of one task are composed in pieces of 131,072 or a batch more, which the fold puts together."""
+    """1,200,000 updates of one task are composed in pieces of 524,288 or a batch more, which the fold puts together."""
     from cairn.operators import runs
 
-    rows = spark.range(0, 300_000, 1, 1).selectExpr("id seq", "0.5D + id % 3 x", "0.5D y", "0.5D z", "id % 5 < 2 hit")
+    rows = spark.range(0, 1_200_000, 1, 1).selectExpr("id seq", "0.5D + id % 3 x", "0.5D y", "0.5D z", "id % 5 < 2 hit")
     pieces = runs.runs(rows)[0].groupBy("block").agg(F.sum("n").alias("n")).collect()
-    assert len(pieces) == 3 and max(p.n for p in pieces) <= (1 << 17) + 10_000
-    assert sorted(r.n for r in runs.voxels(rows).select("n").collect()) == [100_000] * 3
+    assert len(pieces) == 3 and max(p.n for p in pieces) <= (1 << 19) + 10_000
+    assert sorted(r.n for r in runs.voxels(rows).select("n").collect()) == [400_000] * 3
